@@ -24,7 +24,6 @@ SPLIT_ORIGINS = [LAST - back for back in (10, 8, 6, 4, 2)]
 EVALUATION_ORIGIN = LAST - 2
 SINCE = "1998-01-01"
 COMPANY = "  customer#000000007 "
-LINE_CHUNK = [F.col("SOURCE_RELEASE"), F.col("SOURCE_ROW_NUMBER.l_shipdate"), F.col("SOURCE_ROW_NUMBER.l_partkey")]
 
 
 def query(function: Query) -> Query:
@@ -86,7 +85,7 @@ def first_version(spark, folder):
 @query
 def revision_counts(spark, folder):
     cases = versions.canonical_cases(src.line_cases(spark, folder, names=True, received=True))
-    return versions.revision_counts(cases, LINE_CHUNK, class_value=src.CLASS, unique_order=False)
+    return versions.revision_counts(cases, src.line_chunk(), class_value=src.CLASS, unique_order=False)
 
 
 @query

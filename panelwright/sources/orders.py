@@ -3,7 +3,7 @@
 Dates stay dates and the row order inside a release is a struct of the line's own columns, which is
 the same on every run whatever the file layout."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.calendar import fiscal_quarter_index, quarter_label
@@ -22,7 +22,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def release_of(day) -> F.Column:
+def release_of(day: Column) -> Column:
     return quarter_label(fiscal_quarter_index(day))
 
 
@@ -81,6 +81,11 @@ def line_cases(spark: SparkSession, folder: str, names: bool = False, received:
     return lines.select(*columns)
 
 
+def line_chunk() -> list[Column]:
+    """Consecutive runs of a line case's versions, for operators that must not see it whole."""
+    return [F.col("SOURCE_RELEASE"), F.col("SOURCE_ROW_NUMBER.l_shipdate"), F.col("SOURCE_ROW_NUMBER.l_partkey")]
+
+
 def _places(spark: SparkSession, folder: str) -> DataFrame:
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
