@@ -160,6 +160,11 @@ def activity_panel(
     return dense_panel(rollup_cases(cases, certified))
 
 
+def lookup_id(df: DataFrame, company: str) -> DataFrame:
+    """Rows of one company, found by the id of its normalised name."""
+    return df.where(F.col("EMPLOYER_ID") == company_id(company))
+
+
 def lookup(panel: DataFrame, company: str) -> DataFrame:
-    """One company's history by quarter, found by the id of its normalised name."""
-    return panel.where(F.col("EMPLOYER_ID") == company_id(company)).orderBy("FISCAL_QUARTER")
+    """One company's history, ordered by quarter."""
+    return lookup_id(panel, company).orderBy("FISCAL_QUARTER")
