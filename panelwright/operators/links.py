@@ -3,7 +3,7 @@
 Both sides are reduced to distinct keys before they meet, so a key with very many rows is one row on
 each side of every join."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.calendar import fiscal_year
@@ -18,8 +18,11 @@ def _with_year(df: DataFrame) -> DataFrame:
     return df.withColumn("fiscal_year", fiscal_year(F.col("SOURCE_RELEASE")))
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return _with_year(df.where(F.col("CASE_NUMBER").isNotNull() & (F.col("CASE_NUMBER") != "")))
+def _keyed(df: DataFrame, empty: bool = False) -> DataFrame:
+    """Rows with a case number. The release counters take empty text for missing; the audit over
+    all releases does not (``empty=True``)."""
+    known = F.col("CASE_NUMBER").isNotNull()
+    return _with_year(df.where(known if empty else known & (F.col("CASE_NUMBER") != "")))
 
 
 def release_locations(parents: DataFrame, order_by: str = "SOURCE_ROW_NUMBER") -> DataFrame:
@@ -56,12 +59,12 @@ def location_match(linked: DataFrame) -> DataFrame:
     return counted.withColumn("match_pct", pct(F.col("matching_cases"), F.col("comparable_cases")))
 
 
-def child_cases(children: DataFrame) -> DataFrame:
-    return _keyed(children).groupBy("SOURCE_RELEASE", "fiscal_year", "CASE_NUMBER").agg(F.count("*").alias("rows"))
+def child_cases(children: DataFrame, empty: bool = False) -> DataFrame:
+    return _keyed(children, empty).groupBy("SOURCE_RELEASE", "fiscal_year", "CASE_NUMBER").agg(F.count("*").alias("rows"))
 
 
-def parent_years(parents: DataFrame) -> DataFrame:
-    return _keyed(parents).select("fiscal_year", "CASE_NUMBER").distinct()
+def parent_years(parents: DataFrame, empty: bool = False) -> DataFrame:
+    return _keyed(parents, empty).select("fiscal_year", "CASE_NUMBER").distinct()
 
 
 def multi_child_keys(children: DataFrame) -> DataFrame:
@@ -74,11 +77,11 @@ def multi_child_keys(children: DataFrame) -> DataFrame:
 
 def linked_children(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Distinct (release, case) of the children with flags: a main in the same year, a main at all."""
-    years = parent_years(parents)
+    years = parent_years(parents, empty=True)
     same = years.withColumn("same_year", F.lit(True))
     anywhere = years.select("CASE_NUMBER").distinct().withColumn("any_year", F.lit(True))
     return (
-        child_cases(children)
+        child_cases(children, empty=True)
         .join(same, ["fiscal_year", "CASE_NUMBER"], "left")
         .join(anywhere, "CASE_NUMBER", "left")
         .na.fill(False, ["same_year", "any_year"])
@@ -87,17 +90,22 @@ def linked_children(children: DataFrame, parents: DataFrame) -> DataFrame:
 
 def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Per release: worksite rows without a same-year main, and cases and rows without any."""
+    alone, nowhere = ~F.col("same_year") & (F.col("CASE_NUMBER") != ""), ~F.col("any_year")
+
+    def rows(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("rows"))), F.lit(0))
+
     return linked_children(children, parents).groupBy("SOURCE_RELEASE").agg(
-        F.coalesce(F.sum(F.when(~F.col("same_year"), F.col("rows"))), F.lit(0)).alias("worksite_rows_without_same_year_main"),
-        F.count_if(~F.col("any_year")).alias("worksite_cases_without_any_selected_main"),
-        F.coalesce(F.sum(F.when(~F.col("any_year"), F.col("rows"))), F.lit(0)).alias("worksite_rows_without_any_selected_main"),
+        rows(alone).alias("worksite_rows_without_same_year_main"),
+        F.count_if(nowhere).alias("worksite_cases_without_any_selected_main"),
+        rows(nowhere).alias("worksite_rows_without_any_selected_main"),
     )
 
 
 def linked_elsewhere(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Per release: worksite cases whose main is only found in another year."""
-    years = parent_years(parents)
-    cases = child_cases(children)
+    years = parent_years(parents, empty=True)
+    cases = child_cases(children, empty=True)
     elsewhere = cases.join(years, ["fiscal_year", "CASE_NUMBER"], "left_anti").join(
         years.select("CASE_NUMBER").distinct(), "CASE_NUMBER", "left_semi"
     )

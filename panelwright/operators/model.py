@@ -99,12 +99,12 @@ def forest(settings: dict) -> Pipeline:
 
 
 def boosting(settings: dict) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="level_features", labelCol=LABEL, predictionCol="level", probabilityCol="level_probability",
-        rawPredictionCol="level_margins", maxIter=settings["trees"], maxDepth=settings["depth"],
-        stepSize=settings["rate"], minInstancesPerNode=settings.get("leaf", 20), subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", seed=SEED,
+    trees = GBTClassifier(
+        featuresCol="level_features", labelCol=LABEL, predictionCol="level", maxIter=settings["trees"],
+        maxDepth=settings["depth"], stepSize=settings["rate"], minInstancesPerNode=settings.get("leaf", 20),
+        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED,
     )
+    return trees.setProbabilityCol("level_probability").setRawPredictionCol("level_margins")
 
 
 def level_features() -> VectorAssembler:
@@ -114,7 +114,8 @@ def level_features() -> VectorAssembler:
 
 def trend_line() -> LogisticRegression:
     """Logistic line over the trees' margin and the trends, coefficients held to their signs."""
-    bound = float("inf")
+    # Finite, since saved models do not load infinite bounds; far beyond any coefficient.
+    bound = 1e6
     signs = [1, *TRENDS.values()]
     low = [0.0 if sign > 0 else -bound for sign in signs]
     high = [bound if sign > 0 else 0.0 for sign in signs]

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.functions.numeric import round_binary
+
 RELEASES = "release string, kind string, name string, size_bytes long, modified_at timestamp, sha256 string, path string, rows long, seq long"
 OUTPUTS = "name string, version string, path string, rows long, seq long"
 
@@ -62,7 +64,7 @@ def write_csv(df: DataFrame, path: str, digits: int | None = None) -> None:
     if digits is not None:
         for name, kind in df.dtypes:
             if kind in ("double", "float"):
-                text = F.format_string(f"%.{digits}f", F.col(name).cast("double"))
+                text = F.format_string(f"%.{digits}f", round_binary(F.col(name).cast("double"), digits))
                 df = df.withColumn(name, F.when(F.col(name).isNotNull(), text))
     df.write.option("header", "true").mode("overwrite").csv(path)
 
