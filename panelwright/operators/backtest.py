@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import evaluate
 from panelwright.operators.features import FEATURES
 from panelwright.operators.model import TRENDS, Selection, calibrated, fit, predict_with
-from panelwright.operators.quality import enforce, enforce_split
+from panelwright.operators.quality import enforce, enforce_splits
 
 SAMPLE = 512
 TOLERANCE = 1e-7
@@ -31,7 +31,7 @@ def backtest(examples: DataFrame, selection: Selection) -> DataFrame:
     origin = selection.plan["evaluation_origin"]
     if selection.plan["selection_origin"] + 2 > origin:
         raise ValueError("Model selection overlaps evaluation outcomes")
-    enforce_split(examples, origin, FEATURES)
+    enforce_splits(examples, [origin], FEATURES)
     training, evaluation = evaluate.rolling_split(examples, origin)
     scored = evaluate.with_baselines(evaluation, training)
     for method, settings in selection.parameters.items():

@@ -7,6 +7,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.session import cut_lineage
+
 CHUNKS = 256
 # The reported points of a distribution.
 QUANTILES = {"min": 0.0, "median": 0.5, "p90": 0.9, "p99": 0.99, "max": 1.0}
@@ -51,6 +53,8 @@ def distribution(df: DataFrame, value: str) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(
         F.count("*").alias("rows")
     )
+    # Distinct values only; read several times below.
+    counts = cut_lineage(counts)
     running = running_totals(value_chunks(counts, "value"), [], "value", ["rows"])
     total = counts.agg(F.sum("rows").alias("total"), F.sum(F.col("value") * F.col("rows")).alias("weight"))
     # One row of totals, so the pairing adds a column and no rows.

@@ -9,6 +9,7 @@ from panelwright.functions.calendar import quarter_label
 from panelwright.functions.numeric import clip, smoothed_rate
 from panelwright.operators.cumulative import running_totals, value_chunks
 from panelwright.operators.quality import violation
+from panelwright.session import cut_lineage
 
 LOSS_EPS = 1e-7
 # Open-ended reliability thresholds, in percent.
@@ -67,7 +68,7 @@ def scores(df: DataFrame, label: str = "target_active", probability: str = "prob
     points = df.groupBy(*by, F.col(probability).cast("double").alias("p")).agg(
         F.count("*").alias("rows"), F.sum(y).cast("long").alias("hits")
     )
-    points = points.withColumn("misses", F.col("rows") - F.col("hits"))
+    points = cut_lineage(points.withColumn("misses", F.col("rows") - F.col("hits")))
     ranked = running_totals(value_chunks(points, "p"), by, "p", ["rows", "hits"], descending=True)
     p, hits, misses = F.col("p"), F.col("hits"), F.col("misses")
     misses_above = F.col("running_rows") - F.col("running_hits") - misses

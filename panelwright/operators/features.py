@@ -118,36 +118,47 @@ def season_features(
 ) -> DataFrame:
     """One row per horizon with the statistics of the target's season among quarters up to t.
 
-    The newest such quarter is T-4, so season totals are expanding sums of (entity, season), read
-    back 4-h rows on the company's own timeline."""
+    Each of the four seasons has its own expanding totals on the company's timeline, and a target
+    picks the ones of its season: no second sort order, no join."""
     c, w = F.col(metric), timeline(entity, period)
-    season = Window.partitionBy(entity, (F.col(period) % YEAR)).orderBy(period)
-    past = season.rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.withColumn(
-        "season",
-        F.struct(
-            F.count(c).over(past).alias("n"),
-            F.sum(c).over(past).alias("cases"),
-            _count(c > 0, past).alias("active"),
-            c.alias("last"),
-        ),
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def totals(season: int) -> Column:
+        inside = F.col(period) % YEAR == season
+        return F.struct(
+            F.sum(inside.cast("long")).over(past).alias("n"),
+            F.sum(F.when(inside, c).otherwise(0)).over(past).alias("cases"),
+            F.sum((inside & (c > 0)).cast("long")).over(past).alias("active"),
+        )
+
+    held = rows.withColumns(
+        {
+            "seasons": F.array(*[totals(season) for season in range(YEAR)]),
+            **{f"last_year_{h}": F.lag(c, YEAR - h).over(w) for h in horizons},
+        }
     )
-    seen = totals.withColumns({f"season_{h}": F.lag("season", YEAR - h).over(w) for h in horizons})
-    choices = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"season_{h}").alias("s")) for h in horizons])
-    spread = seen.withColumn("choice", F.explode(choices)).drop("season", *[f"season_{h}" for h in horizons])
-    s = F.col("choice.s")
-    target = F.col(period) + F.col("choice.horizon")
+    choices = F.array(*[
+        F.struct(
+            F.lit(h).alias("horizon"),
+            (F.col(period) + h).alias("target_quarter"),
+            F.col(f"last_year_{h}").alias("last"),
+            F.col("seasons")[(F.col(period) + h) % YEAR].alias("s"),
+        )
+        for h in horizons
+    ])
+    spread = held.select(*rows.columns, F.inline(choices))
+    target, s = F.col("target_quarter"), F.col("s")
+    # A season not seen yet has no statistics, as has a target whose T-4 lies before the history.
+    known = F.col("last").isNotNull()
     return spread.withColumns(
         {
-            "horizon": F.col("choice.horizon"),
-            "target_quarter": target,
-            "same_quarter_observations": s["n"],
-            "same_quarter_last_year": s["last"],
-            "same_quarter_mean": _double(s["cases"]) / s["n"],
-            "same_quarter_active_rate": _double(s["active"]) / s["n"],
+            "same_quarter_observations": F.when(known, s["n"]),
+            "same_quarter_last_year": F.col("last"),
+            "same_quarter_mean": F.when(known, _double(s["cases"]) / s["n"]),
+            "same_quarter_active_rate": F.when(known, _double(s["active"]) / s["n"]),
             **{f"target_q{k + 1}": (target % YEAR == k).cast("int") for k in range(YEAR)},
         }
-    ).drop("choice")
+    ).drop("last", "s")
 
 
 def market_totals(panel: DataFrame, metric: str = "LCA_CASES", period: str = "quarter") -> DataFrame:

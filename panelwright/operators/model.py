@@ -20,7 +20,7 @@ from panelwright.functions.calendar import number_label
 from panelwright.functions.numeric import log_odds
 from panelwright.operators.evaluate import log_loss, rolling_split
 from panelwright.operators.features import FEATURES
-from panelwright.operators.quality import enforce_split
+from panelwright.operators.quality import enforce_splits
 
 SEED = 42
 LABEL = "target_active"
@@ -253,8 +253,8 @@ def train(examples: DataFrame, last: int, candidates: dict[str, list[dict]] | No
     """Search, calibrate and fit through the last quarter; pass a stored examples table."""
     candidates = candidates or CANDIDATES
     plan = time_plan(last)
-    for origin in (*plan["tuning_origins"], plan["calibration_origin"], plan["selection_origin"]):
-        enforce_split(examples, origin, FEATURES)
+    origins = [*plan["tuning_origins"], plan["calibration_origin"], plan["selection_origin"]]
+    enforce_splits(examples, origins, FEATURES)
     parameters, losses = search(examples, candidates, plan["tuning_origins"])
     lines, used = choose_calibration(examples, parameters, plan)
     training = examples.where(F.col(LABEL).isNotNull() & (F.col("target_quarter") <= last)).persist()

@@ -134,36 +134,40 @@ SPLIT_CHECKS = (
 )
 
 
-def split_violations(examples: DataFrame, origin: int, features: Sequence[str]) -> DataFrame:
-    """What makes a rolling split at ``origin`` unusable; one aggregation over the examples."""
+def split_violations(examples: DataFrame, origins: Sequence[int], features: Sequence[str]) -> DataFrame:
+    """What makes a rolling split at each origin unusable; one aggregation over the examples."""
     label, target = F.col("target_active"), F.col("target_quarter")
-    training = label.isNotNull() & (target <= origin)
-    evaluation = label.isNotNull() & (F.col("origin") == origin)
     finite = F.lit(True)
     for name in features:
         value = F.col(name).cast("double")
         finite = finite & F.coalesce(~F.isnan(value) & (F.abs(value) != float("inf")), F.lit(False))
 
-    def flag(bad: Column) -> Column:
-        return F.when(bad, 1).otherwise(0).cast("long")
-
-    counts = examples.agg(
-        F.count_if(training & (F.col("origin") >= origin)).alias("training_overlaps_origin"),
-        flag(F.count_if(training) == 0).alias("missing_training_rows"),
-        flag(F.count_if(evaluation) == 0).alias("missing_evaluation_rows"),
-        flag((F.count_if(training & (label == 1)) == 0) | (F.count_if(training & (label == 0)) == 0)).alias("single_training_class"),
-        (
-            flag(F.count_if(evaluation & (target == origin + 1)) == 0)
-            + flag(F.count_if(evaluation & (target == origin + 2)) == 0)
-        ).alias("missing_outcome_quarter"),
-        F.count_if(label.isNotNull() & ~label.isin(0, 1)).alias("invalid_label"),
-        F.count_if(target != F.col("origin") + F.col("horizon")).alias("horizon_mismatch"),
-        F.count_if(~finite).alias("nonfinite_feature"),
-    )
-    checks = F.array(*[F.struct(F.lit(name).alias("check"), F.col(name).cast("long").alias("violations")) for name in SPLIT_CHECKS])
-    return counts.select(F.explode(checks).alias("c")).select("c.check", "c.violations")
-
-
-def enforce_split(examples: DataFrame, origin: int, features: Sequence[str]) -> None:
-    found = split_violations(examples, origin, features).where("violations > 0")
-    enforce(found.select("check", F.lit(str(origin)).alias("key"), F.col("violations").cast("string").alias("detail")))
+    def absent(rows: Column) -> Column:
+        return F.when(F.count_if(rows) == 0, 1).otherwise(0)
+
+    def found(origin: int) -> list[Column]:
+        training = label.isNotNull() & (target <= origin)
+        evaluation = label.isNotNull() & (F.col("origin") == origin)
+        one_class = (F.count_if(training & (label == 1)) == 0) | (F.count_if(training & (label == 0)) == 0)
+        return [
+            F.count_if(training & (F.col("origin") >= origin)),
+            absent(training),
+            absent(evaluation),
+            F.when(one_class, 1).otherwise(0),
+            absent(evaluation & (target == origin + 1)) + absent(evaluation & (target == origin + 2)),
+            F.count_if(label.isNotNull() & ~label.isin(0, 1)),
+            F.count_if(target != F.col("origin") + F.col("horizon")),
+            F.count_if(~finite),
+        ]
+
+    reports = [
+        F.struct(F.lit(check).alias("check"), value.cast("long").alias("violations"), F.lit(origin).alias("split_origin"))
+        for origin in origins
+        for check, value in zip(SPLIT_CHECKS, found(origin))
+    ]
+    return examples.agg(F.array(*reports).alias("reports")).select(F.inline("reports"))
+
+
+def enforce_splits(examples: DataFrame, origins: Sequence[int], features: Sequence[str]) -> None:
+    found = split_violations(examples, origins, features).where("violations > 0")
+    enforce(found.select("check", F.col("split_origin").cast("string").alias("key"), F.col("violations").cast("string").alias("detail")))

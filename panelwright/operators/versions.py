@@ -76,17 +76,18 @@ def revision_counts(
     ``chunk`` must follow ``order_by``: its columns split a key's rows into consecutive runs that
     each fit a task. Where the order may tie, exact copies are counted before anything is sorted."""
     compared = [name for name in fields if name in df.columns]
+    rows = df.withColumn("copies", F.lit(1))
+    if not unique_order:
+        kept = dict.fromkeys([key, *order_by, *compared, date_column])
+        rows = df.groupBy(*kept).agg(F.count("*").alias("copies"))
     quarter = fiscal_quarter_index(date_of(df, date_column))
-    rows = df.select(
+    rows = rows.select(
         F.col(key).alias("key"),
         F.struct(*chunk).alias("chunk"),
         F.struct(*order_by).alias("order"),
         F.struct(*[F.col(name) for name in compared], quarter.alias("quarter")).alias("now"),
+        "copies",
     )
-    if unique_order:
-        rows = rows.withColumn("copies", F.lit(1))
-    else:
-        rows = rows.groupBy("key", "chunk", "order", "now").agg(F.count("*").alias("copies"))
 
     def differences(now: Column, before: Column) -> dict[str, Column]:
         known = before.isNotNull()

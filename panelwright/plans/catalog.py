@@ -10,6 +10,7 @@ from panelwright.functions.calendar import (
 )
 from panelwright.functions.text import name_table
 from panelwright.operators import cumulative, evaluate, features, links, panel, profile, quality, versions
+from panelwright.session import cut_lineage
 from panelwright.sources import orders as src
 from panelwright.sources.releases import standardize
 from panelwright.sources.schema import TableSpec, validate_headers
@@ -240,6 +241,11 @@ def _order_panel(spark, folder, positions=False):
     return panel.dense_panel(_order_counts(spark, folder, positions), last=LAST)
 
 
+def _examples(spark, folder):
+    """Examples over the panel as a stored table, which companies and market both read."""
+    return features.build_examples(cut_lineage(_order_panel(spark, folder).select("EMPLOYER_ID", "EMPLOYER_NAME", "quarter", "LCA_CASES")))
+
+
 @query
 def company_quarter_counts(spark, folder):
     return _order_counts(spark, folder)
@@ -349,7 +355,7 @@ def market_features(spark, folder):
 
 @query
 def labeled_examples(spark, folder):
-    return features.build_examples(_order_panel(spark, folder))
+    return _examples(spark, folder)
 
 
 # Evaluation ----------------------------------------------------------------------------------
@@ -357,24 +363,17 @@ def labeled_examples(spark, folder):
 
 @query
 def rolling_split_sizes(spark, folder):
-    return evaluate.split_sizes(features.build_examples(_order_panel(spark, folder)), SPLIT_ORIGINS)
+    return evaluate.split_sizes(_examples(spark, folder), SPLIT_ORIGINS)
 
 
 @query
 def split_checks(spark, folder):
     """The evaluation split, and one so late that its second outcome quarter is unknown."""
-    examples = features.build_examples(_order_panel(spark, folder))
-    reports = [
-        quality.split_violations(examples, origin, features.FEATURES).withColumn("split_origin", F.lit(origin))
-        for origin in (EVALUATION_ORIGIN, LAST - 1)
-    ]
-    return reports[0].unionByName(reports[1])
+    return quality.split_violations(_examples(spark, folder), [EVALUATION_ORIGIN, LAST - 1], features.FEATURES)
 
 
 def _baseline_predictions(spark, folder):
-    training, evaluation = evaluate.rolling_split(
-        features.build_examples(_order_panel(spark, folder)), EVALUATION_ORIGIN
-    )
+    training, evaluation = evaluate.rolling_split(_examples(spark, folder), EVALUATION_ORIGIN)
     return evaluate.with_baselines(evaluation, training)
 
 

@@ -1,6 +1,7 @@
 """Session helpers. On a cluster the session is given; these only fill what is unset."""
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The same rows as a table written once to the shared folder: later plans start from its files,
+    which survive lost executors, and nothing upstream runs again."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

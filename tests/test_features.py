@@ -102,13 +102,13 @@ def test_splits_never_reach_past_the_origin(spark):
     training, evaluation = evaluate.rolling_split(examples, ORIGIN)
     assert training.agg(F.max("target_quarter")).first()[0] == ORIGIN
     assert evaluation.agg(F.min("target_quarter")).first()[0] == ORIGIN + 1
-    quality.enforce_split(examples, ORIGIN, features.FEATURES)
+    quality.enforce_splits(examples, [ORIGIN], features.FEATURES)
     last = max(q for _, _, q, _ in rows)
     with pytest.raises(ValueError, match="missing_outcome_quarter"):
-        quality.enforce_split(examples, last - 1, features.FEATURES)
+        quality.enforce_splits(examples, [last - 1], features.FEATURES)
     broken = examples.withColumn("recent_slope", F.lit(float("nan")).cast("float"))
     with pytest.raises(ValueError, match="nonfinite_feature"):
-        quality.enforce_split(broken, ORIGIN, features.FEATURES)
+        quality.enforce_splits(broken, [ORIGIN], features.FEATURES)
 
 
 def scored(spark, labels, probabilities):
