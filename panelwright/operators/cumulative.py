@@ -56,9 +56,9 @@ def distribution(df: DataFrame, value: str) -> DataFrame:
     # Distinct values only; read several times below.
     counts = cut_lineage(counts)
     running = running_totals(value_chunks(counts, "value"), [], "value", ["rows"])
-    total = counts.agg(F.sum("rows").alias("total"), F.sum(F.col("value") * F.col("rows")).alias("weight"))
-    # One row of totals, so the pairing adds a column and no rows.
-    ranked = running.withColumn("at", F.lit(1)).join(F.broadcast(total.withColumn("at", F.lit(1))), "at")
+    weight = F.sum(F.col("value") * F.col("rows"))
+    totals = counts.agg(F.struct(F.sum("rows").alias("rows"), weight.alias("weight"))).scalar()
+    ranked = running.withColumns({"total": totals["rows"], "weight": totals["weight"]})
 
     def at_rank(rank: Column) -> Column:
         return F.min(F.when(F.col("running_rows") > rank, F.col("value")))

@@ -107,6 +107,7 @@ def dense_panel(
         end = counts.agg(latest.alias("row")).select(f"row.{period}").scalar()
     else:
         end = F.lit(last)
+        counts = counts.where(F.col(period) <= last)
     w = Window.partitionBy(entity).orderBy(period)
     until = F.coalesce(F.lead(period).over(w) - 1, end)
     held = counts.withColumn("until", until)

@@ -6,6 +6,7 @@ read to discover releases; the binary content column is pruned from the scan."""
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelwright.session import cut_lineage
 from panelwright.sources.schema import PROVENANCE, SPECS, TableSpec, validate_headers
 
 # Names of landed releases.
@@ -99,8 +100,10 @@ def _numbered(df: DataFrame, per: Column, index: Column | None) -> DataFrame:
     placed = placed.withColumn("_id", index if index is not None else F.monotonically_increasing_id())
     splits = placed.groupBy("_file", "_at").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
     ahead = Window.partitionBy(F.lit(0)).orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per input split of a single release.
-    offsets = splits.select("_file", "_at", "_first", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"))
+    # One row per input split of a single release; stored, so that the join knows its size and
+    # sends it to the rows rather than the rows through a shuffle.
+    before = F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before")
+    offsets = cut_lineage(splits.select("_file", "_at", "_first", before))
     joined = placed.join(offsets, ["_file", "_at"])
     return joined.withColumn("SOURCE_ROW_NUMBER", F.col("_id") - F.col("_first") + F.col("_before") + 2).drop(
         "_at", "_id", "_first", "_before"
