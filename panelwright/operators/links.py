@@ -114,25 +114,25 @@ def linked_elsewhere(children: DataFrame, parents: DataFrame) -> DataFrame:
 
 def same_year_links(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Per worksite release: its rows and cases that meet a main of the same year, with shares."""
-    per_year = parent_years(parents).groupBy("fiscal_year").agg(F.count("*").alias("unique_main_case_numbers"))
-    flagged = child_cases(children).join(
-        parent_years(parents).withColumn("same_year", F.lit(True)), ["fiscal_year", "CASE_NUMBER"], "left"
-    )
+    years = parent_years(parents)
+    per_year = years.groupBy("fiscal_year").agg(F.count("*").alias("unique_main_case_numbers"))
+    # Rows without a case are one group per release here and meet no main.
+    counted = _with_year(children).groupBy("SOURCE_RELEASE", "fiscal_year", "CASE_NUMBER").agg(F.count("*").alias("rows"))
+    flagged = counted.join(years.withColumn("same_year", F.lit(True)), ["fiscal_year", "CASE_NUMBER"], "left")
     found = F.col("same_year").isNotNull()
-    counted = flagged.groupBy("SOURCE_RELEASE", "fiscal_year").agg(
-        F.sum("rows").alias("keyed_rows"),
-        F.coalesce(F.sum(F.when(found, F.col("rows"))), F.lit(0)).alias("worksite_rows_matching_main"),
+    keyed_rows = F.coalesce(F.col("CASE_NUMBER") != "", F.lit(False))
+
+    def rows(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("rows"))), F.lit(0))
+
+    per_release = flagged.groupBy("SOURCE_RELEASE", "fiscal_year").agg(
+        F.sum("rows").alias("source_rows"),
+        rows(~keyed_rows).alias("missing_case_number"),
+        rows(keyed_rows).alias("keyed_rows"),
+        rows(found).alias("worksite_rows_matching_main"),
         F.count_if(found).alias("main_cases_with_same_year_worksite_row"),
     )
-    everything = _with_year(children).groupBy("SOURCE_RELEASE", "fiscal_year").agg(
-        F.count("*").alias("source_rows"),
-        F.count_if(F.col("CASE_NUMBER").isNull() | (F.col("CASE_NUMBER") == "")).alias("missing_case_number"),
-    )
-    joined = (
-        everything.join(counted, ["SOURCE_RELEASE", "fiscal_year"], "left")
-        .join(per_year, "fiscal_year", "left")
-        .na.fill(0)
-    )
+    joined = per_release.join(per_year, "fiscal_year", "left").na.fill(0)
     mains, linked = F.col("unique_main_case_numbers"), F.col("main_cases_with_same_year_worksite_row")
     matched, keyed = F.col("worksite_rows_matching_main"), F.col("keyed_rows")
     return joined.select(

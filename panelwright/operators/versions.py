@@ -3,7 +3,7 @@
 A key may repeat without limit, so nothing here brings a key's rows together in one task: picks are
 map-side aggregates, and revisions are compared inside chunks of a key and then across chunk edges."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,19 +39,21 @@ def missing_keys(df: DataFrame, key: str = "CASE_NUMBER") -> DataFrame:
     return df.agg(F.count_if(~has_text(F.col(key))).alias("rows_without_case_number"))
 
 
-def _pick(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], pick) -> DataFrame:
-    payload = F.struct(*[name for name in df.columns if name not in keys])
-    order = F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
-    return df.groupBy(*keys).agg(pick(payload, order).alias("picked")).select(*keys, "picked.*")
+def _pick(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], pick: Callable) -> DataFrame:
+    """One row per key by the smallest or largest order. The order leads the compared struct, so it
+    travels once, and rows tied on it are told apart by their other columns: same pick on every run."""
+    rest = [name for name in df.columns if name not in keys and name not in order_by]
+    picked = df.groupBy(*keys).agg(pick(F.struct(*order_by, *rest)).alias("picked"))
+    return picked.select(*keys, "picked.*").select(*df.columns)
 
 
 def latest_version(df: DataFrame, keys: Sequence[str] = ("CASE_NUMBER",), order_by: Sequence[str] = ORDER) -> DataFrame:
     """The last row of each key; it replaces every field, so filter by class afterwards."""
-    return _pick(df, keys, order_by, F.max_by)
+    return _pick(df, keys, order_by, F.max)
 
 
 def first_version(df: DataFrame, keys: Sequence[str] = ("CASE_NUMBER",), order_by: Sequence[str] = ORDER) -> DataFrame:
-    return _pick(df, keys, order_by, F.min_by)
+    return _pick(df, keys, order_by, F.min)
 
 
 def source_chunk(rows: int = 1_000_000) -> list[Column]:

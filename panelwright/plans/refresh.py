@@ -61,6 +61,16 @@ def audit(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: store.write_output(table, root, name, version) for name, table in tables.items()}
 
 
+def stored_cases(spark: SparkSession, root: str) -> DataFrame:
+    """All stored main rows, once their counts agree with the ledger and every position is a number."""
+    raw = store.read_releases(spark, root)
+    counts = raw.groupBy(F.col("SOURCE_RELEASE").alias("release")).agg(F.count("*").alias("rows"))
+    recorded = store.release_ledger(spark, root).where("kind = 'main' and rows > 0").select("release", "rows")
+    quality.enforce(quality.count_mismatches(counts, recorded))
+    quality.enforce(panel.invalid_values(raw, CLASS))
+    return raw
+
+
 def release_window(spark: SparkSession, root: str) -> tuple[int, int]:
     """First and last stored release as quarter indices."""
     row = store.release_ledger(spark, root).where("kind = 'main'").agg(F.min("release"), F.max("release")).first()
@@ -78,8 +88,7 @@ def decision_panel(spark: SparkSession, root: str) -> DataFrame:
     version = store.input_version(spark, root)
     if store.is_current(spark, root, "company_activity", version):
         return store.read_output(spark, root, "company_activity")
-    raw = store.read_releases(spark, root)
-    quality.enforce(panel.invalid_values(raw, CLASS))
+    raw = stored_cases(spark, root)
     cases = panel.eligible_cases(cut_lineage(panel.latest_cases(raw, "DECISION_DATE")), CLASS)
     built = panel.company_quarters(panel.dense_panel(panel.rollup_cases(cases)))
     store.write_output(profile.case_quality(raw, CLASS), root, "company_activity_quality", version)
@@ -94,8 +103,7 @@ def receipt_panel(spark: SparkSession, root: str) -> DataFrame:
     first, last = release_window(spark, root)
     if last - first + 1 < MIN_QUARTERS:
         raise ValueError(f"Need at least {MIN_QUARTERS} quarters of releases")
-    raw = store.read_releases(spark, root)
-    quality.enforce(panel.invalid_values(raw, CLASS))
+    raw = stored_cases(spark, root)
     latest = cut_lineage(panel.latest_cases(raw, "RECEIVED_DATE"))
     quality.enforce(quality.case_violations(raw, latest, CLASS))
     cases = panel.in_window(panel.eligible_cases(latest, CLASS), first, last)
@@ -154,6 +162,18 @@ def company_profile(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
+def write_profile(spark: SparkSession, root: str, folder: str) -> None:
+    """The profile as files: quarters and coverage as CSV, everything else as JSON."""
+    companies, source = company_profile(spark, root), source_profile(spark, root)
+    labeled = {"quarter": quarter_label(F.col("quarter"))}
+    quarters = companies.pop("quarters").withColumns(labeled).orderBy("quarter")
+    store.write_csv(quarters, f"{folder}/quarters", digits=2)
+    covered = source.pop("coverage").withColumns(labeled).orderBy("SOURCE_RELEASE", "quarter")
+    store.write_csv(covered, f"{folder}/source_coverage")
+    for name, table in (companies | source).items():
+        store.write_json(table, f"{folder}/{name}")
+
+
 def train(spark: SparkSession, root: str, candidates: dict | None = None) -> model.Selection:
     """Models for the stored inputs, published with the version they were trained on."""
     version = store.input_version(spark, root)

@@ -111,6 +111,14 @@ def test_only_new_and_changed_releases_are_read(spark, tmp_path):
     (raw / "LCA_Disclosure_Data_FY2027_Q3.csv").unlink()
     assert refresh.ingest(spark, str(raw), root) == []
     assert store.release_ledger(spark, root).count() == 2
+    with pytest.raises(ValueError, match="invalid_positions"):
+        refresh.stored_cases(spark, root)
+    row = store.release_ledger(spark, root).where("release = 'FY2027_Q1'").first().asDict()
+    store._append(spark, f"{root}/ledger/releases", store.RELEASES, [
+        (row["release"], row["kind"], row["name"], row["size_bytes"], row["modified_at"], row["sha256"], row["path"], 7, 1000)
+    ])
+    with pytest.raises(ValueError, match="row_count_changed FY2027_Q1: 1 vs 7"):
+        refresh.stored_cases(spark, root)
     tables = refresh.audit(spark, root)
     assert tables["release_quality"].where("SOURCE_RELEASE = 'FY2027_Q2'").first()["duplicate_case_number_rows"] == 1
     land(raw, "FY2027_Q4", [ROW], HEADERS[1:] + ("ODD",))

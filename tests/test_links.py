@@ -70,3 +70,47 @@ def test_rows_without_a_case_leave_the_shares_alone(spark):
     assert (same["source_rows"], same["missing_case_number"]) == (7, 2)
     assert same["same_year_worksite_to_main_match_pct"] == 60.0
     assert tuple(links.orphans(sites, main).first()) == ("FY2022_Q4", 2, 2, 2)
+
+
+def test_a_case_holding_a_third_of_the_rows_counts_like_any_other(spark):
+    """Hot and missing keys against plain sets."""
+    import random
+    from collections import Counter
+
+    draw = random.Random(8)
+
+    def case():
+        return draw.choice(["HOT", None, "", f"K{draw.randrange(80)}", f"K{draw.randrange(80)}"])
+
+    releases = ["FY2022_Q1", "FY2022_Q3", "FY2023_Q2"]
+    main = [(case(), draw.choice(releases)) for _ in range(300)]
+    sites = [("HOT" if i % 3 else case(), draw.choice(releases)) for i in range(1200)]
+    schema = "CASE_NUMBER string, SOURCE_RELEASE string"
+    parents, children = spark.createDataFrame(main, schema), spark.createDataFrame(sites, schema).repartition(4)
+
+    years = {}
+    for c, r in main:
+        if c is not None:
+            years.setdefault(c, set()).add(r[:6])
+    same = {r["SOURCE_RELEASE"]: r for r in links.same_year_links(children, parents).collect()}
+    lost = {r["SOURCE_RELEASE"]: r for r in links.orphans(children, parents).collect()}
+    moved = {r["SOURCE_RELEASE"]: r[1] for r in links.linked_elsewhere(children, parents).collect()}
+    for release in releases:
+        rows = [c for c, r in sites if r == release]
+        counts = Counter(c for c in rows if c)
+        here = {c for c in counts if release[:6] in years.get(c, ())}
+        mains = sum(release[:6] in y for c, y in years.items() if c)
+        found = same[release]
+        assert found["source_rows"] == len(rows) and found["missing_case_number"] == sum(not c for c in rows)
+        assert found["main_cases_with_same_year_worksite_row"] == len(here)
+        assert found["worksite_rows_matching_main"] == sum(counts[c] for c in here)
+        assert found["unique_main_case_numbers"] == mains
+        audited = Counter(c for c in rows if c is not None)
+        gone = {c for c in audited if c not in years}
+        assert tuple(lost[release])[1:] == (
+            sum(n for c, n in counts.items() if c not in here), len(gone), sum(audited[c] for c in gone)
+        )
+        assert moved.get(release, 0) == sum(c in years and release[:6] not in years[c] for c in audited)
+    overlaps = {(r["left"], r["right"]): r["shared_case_numbers"] for r in versions.release_overlaps(parents).collect()}
+    held = {r: {c for c, x in main if x == r and c is not None} for r in releases}
+    assert overlaps == {(a, b): len(held[a] & held[b]) for a in releases for b in releases if a < b}

@@ -109,6 +109,9 @@ def test_landed_quarters_to_models_and_forecast(spark, tmp_path):
     profiles = refresh.company_profile(spark, root) | refresh.source_profile(spark, root)
     assert profiles["summary"].first()["companies"] == 12
     assert profiles["missing_keys"].first()[0] == 0 and profiles["totals"].count() == 19
+    refresh.write_profile(spark, root, str(tmp_path / "profile"))
+    written = spark.read.option("header", "true").csv(str(tmp_path / "profile" / "quarters"))
+    assert written.count() == 19 and written.where("quarter = 'FY2022_Q1'").first()["PREVIOUSLY_ACTIVE_RATE_PERCENT"] is None
     assert refresh.decision_panel(spark, root).where("LCA_CASES > 0").count() == sum(r[3] > 0 for r in rows)
 
     revised = [("X1", "Certified", "2026-10-05", "2026-10-05", "", "H-1B", "COMPANY 1", "15-2051", "X", "NY", "1", 1)]
