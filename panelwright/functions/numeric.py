@@ -13,23 +13,19 @@ def round_binary(value: Column, digits: int = 2) -> Column:
     Here the fraction is taken as an integer count of 2**-52 and compared with the half exactly;
     true ties go to the even digit."""
     scale, unit = 10**digits, 2**FRACTION_BITS
-
-    def rounded(x: Column) -> Column:
-        size = F.abs(x)
-        whole = F.floor(size)
-        scaled = (size - whole) * F.lit(float(unit))
-        count = F.floor(scaled)
-        below = (scaled - count) * scale
-        total = count * scale + F.floor(below)
-        digit = F.shiftright(total, FRACTION_BITS)
-        rest = total - F.shiftleft(digit, FRACTION_BITS)
-        half = F.lit(unit // 2)
-        even = whole * scale + digit
-        tie = (rest == half) & (below == F.floor(below))
-        up = F.when(tie, even.bitwiseAND(F.lit(1))).otherwise((rest >= half).cast("long"))
-        return F.signum(x) * ((even + up) / F.lit(float(scale)))
-
-    return F.transform(F.array(value), rounded)[0]
+    size = F.abs(value)
+    whole = F.floor(size)
+    scaled = (size - whole) * F.lit(float(unit))
+    count = F.floor(scaled)
+    below = (scaled - count) * scale
+    total = count * scale + F.floor(below)
+    digit = F.shiftright(total, FRACTION_BITS)
+    rest = total - F.shiftleft(digit, FRACTION_BITS)
+    half = F.lit(unit // 2)
+    even = whole * scale + digit
+    tie = (rest == half) & (below == F.floor(below))
+    up = F.when(tie, even.bitwiseAND(F.lit(1))).otherwise((rest >= half).cast("long"))
+    return F.signum(value) * ((even + up) / F.lit(float(scale)))
 
 
 def pct(numerator: Column, denominator: Column, digits: int = 2) -> Column:

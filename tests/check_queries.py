@@ -44,7 +44,11 @@ def connect(folder: str):
 
 def compare(spark, con, name: str, folder: str) -> str:
     """Empty when rows and column names agree, else what differs."""
-    ours = entry.queries()[name](spark, folder).toArrow()
+    return difference(entry.queries()[name](spark, folder), con, name)
+
+
+def difference(built, con, name: str) -> str:
+    ours = built.toArrow()
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return ""

@@ -1,13 +1,11 @@
-"""What the planner makes of the operators: shuffles, pruning, pushdown, and no pairing joins."""
+"""What the planner makes of the operators: shuffles, pruning, pushdown."""
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions.calendar import label_number
 from panelwright.operators import features, panel, versions
-from panelwright.plans import catalog
 from panelwright.session import cut_lineage
 from panelwright.sources import orders as src
 from tests import data
@@ -28,12 +26,6 @@ def exchanges(text):
     return re.findall(r"(?<!Reused)Exchange hashpartitioning\(([^)]*)\)", text)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.REGISTRY))
-def test_no_query_pairs_rows_without_a_key(spark, name):
-    text = plan(catalog.REGISTRY[name](spark, SMALL))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_company_windows_share_one_shuffle(spark):
     rows = cut_lineage(data.activity(spark, [(e, n, q, int(c)) for e, n, q, c in data.activity_rows(10, 4)]))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
