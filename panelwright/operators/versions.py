@@ -72,11 +72,14 @@ def revision_counts(
     class_value: str = "H-1B",
     date_column: str = "DECISION_DATE",
     unique_order: bool = True,
+    levels: Sequence[int] = (),
 ) -> DataFrame:
     """How often a key's next version differs from the one before, in total and per field.
 
     ``chunk`` must follow ``order_by``: its columns split a key's rows into consecutive runs that
-    each fit a task. Where the order may tie, exact copies are counted before anything is sorted."""
+    each fit a task. Runs then meet at their edges: first inside each shorter prefix of the chunk
+    columns named by ``levels``, at last inside the key, so that no step sees too many of them.
+    Where the order may tie, exact copies are counted before anything is sorted."""
     compared = [name for name in fields if name in df.columns]
     rows = df.withColumn("copies", F.lit(1))
     if not unique_order:
@@ -85,7 +88,7 @@ def revision_counts(
     quarter = fiscal_quarter_index(date_of(df, date_column))
     rows = rows.select(
         F.col(key).alias("key"),
-        F.struct(*chunk).alias("chunk"),
+        *[part.alias(f"chunk{i}") for i, part in enumerate(chunk)],
         F.struct(*order_by).alias("order"),
         F.struct(*[F.col(name) for name in compared], quarter.alias("quarter")).alias("now"),
         "copies",
@@ -107,19 +110,31 @@ def revision_counts(
     def totals(now: Column, before: Column) -> dict[str, Column]:
         return {name: F.sum(flag.cast("long")) for name, flag in differences(now, before).items()}
 
-    inside = Window.partitionBy("key", "chunk").orderBy("order")
-    runs = rows.withColumn("before", F.lag("now").over(inside)).groupBy("key", "chunk").agg(
-        F.sum("copies").alias("rows"),
-        F.min_by("now", "order").alias("head"),
-        F.max_by("now", "order").alias("tail"),
-        *[total.alias(name) for name, total in totals(F.col("now"), F.col("before")).items()],
-    )
-    across = Window.partitionBy("key").orderBy("chunk")
+    def runs_of(edges: DataFrame, parts: Sequence[str], order: Column, head: str, tail: str) -> DataFrame:
+        """One row per (key, parts): its ends and what changed inside."""
+        changes = totals(F.col(head), F.col("before"))
+        inner = {name: F.sum(name) + total if name in edges.columns else total for name, total in changes.items()}
+        return edges.groupBy("key", *parts).agg(
+            F.sum("copies").alias("copies"),
+            F.min_by(head, order).alias("head"),
+            F.max_by(tail, order).alias("tail"),
+            *[total.alias(name) for name, total in inner.items()],
+        )
+
+    parts = [f"chunk{i}" for i in range(len(chunk))]
+    inside = Window.partitionBy("key", *parts).orderBy("order")
+    runs = runs_of(rows.withColumn("before", F.lag("now").over(inside)), parts, F.col("order"), "now", "now")
+    for width in levels:
+        kept, order = parts[:width], F.struct(*parts[width:])
+        along = Window.partitionBy("key", *kept).orderBy(*parts[width:])
+        runs = runs_of(runs.withColumn("before", F.lag("tail").over(along)), kept, order, "head", "tail")
+        parts = kept
+    across = Window.partitionBy("key").orderBy(*parts)
     edges = runs.withColumns(
         {"before": F.lag("tail").over(across), "starts": F.row_number().over(across)}
     )
     at_edge = totals(F.col("head"), F.col("before"))
-    repeats = F.sum(F.col("rows") - (F.col("starts") == 1).cast("long"))
+    repeats = F.sum(F.col("copies") - (F.col("starts") == 1).cast("long"))
     return edges.agg(
         F.coalesce(repeats, F.lit(0)).alias("repeated_rows"),
         *[

@@ -86,7 +86,9 @@ def first_version(spark, folder):
 @query
 def revision_counts(spark, folder):
     cases = versions.canonical_cases(src.line_cases(spark, folder, names=True, received=True))
-    return versions.revision_counts(cases, src.line_chunk(), class_value=src.CLASS, unique_order=False)
+    return versions.revision_counts(
+        cases, src.line_chunk(), class_value=src.CLASS, unique_order=False, levels=src.LINE_LEVELS
+    )
 
 
 @query
@@ -282,9 +284,8 @@ def company_lookup(spark, folder):
 
 @query
 def reconcile_totals(spark, folder):
-    cases = panel.eligible_cases(
-        panel.latest_cases(src.order_cases(spark, folder), "RECEIVED_DATE"), src.CLASS
-    )
+    latest = panel.latest_cases(src.order_cases(spark, folder), "RECEIVED_DATE")
+    cases = cut_lineage(panel.eligible_cases(latest, src.CLASS))
     built = panel.dense_panel(panel.rollup_cases(cases, src.CERTIFIED), last=LAST)
     metrics = ["LCA_CASES", "REQUESTED_POSITIONS"]
     by_quarter = built.groupBy("quarter").agg(*[F.sum(name).alias(name) for name in metrics])
@@ -294,7 +295,7 @@ def reconcile_totals(spark, folder):
 @query
 def panel_violations(spark, folder):
     """The gates over a panel without zero filling, so that gaps show."""
-    counts = _order_counts(spark, folder, positions=False)
+    counts = cut_lineage(_order_counts(spark, folder, positions=False))
     labeled = counts.withColumn("FISCAL_QUARTER", quarter_label(F.col("quarter")))
     return quality.count_by_check(quality.panel_violations(labeled), quality.PANEL_CHECKS)
 
@@ -326,7 +327,7 @@ def first_four_activity(spark, folder):
 
 @query
 def transition_rates(spark, folder):
-    return profile.transition_rates(_order_panel(spark, folder))
+    return profile.transition_rates(cut_lineage(_order_panel(spark, folder)))
 
 
 @query

@@ -95,9 +95,14 @@ def line_cases(spark: SparkSession, folder: str, names: bool = False, received:
     return lines.select(*columns)
 
 
+# Chunks of a line case meet inside their ship date first: at most one per date is left of a case.
+LINE_LEVELS = (2,)
+
+
 def line_chunk() -> list[Column]:
     """Consecutive runs of a line case's versions, for operators that must not see it whole."""
-    return [F.col("SOURCE_RELEASE"), F.col("SOURCE_ROW_NUMBER.l_shipdate"), F.col("SOURCE_ROW_NUMBER.l_partkey")]
+    block = F.shiftright(F.col("SOURCE_ROW_NUMBER.l_partkey"), 20)
+    return [F.col("SOURCE_RELEASE"), F.col("SOURCE_ROW_NUMBER.l_shipdate"), block]
 
 
 def _places(spark: SparkSession, folder: str) -> DataFrame:

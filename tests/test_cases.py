@@ -110,8 +110,12 @@ def test_revisions_across_chunks_match_a_plain_scan(spark):
         expected["h1b_changed_rows"] += changed and row[2] == "H-1B"
         expected["decision_quarter_changed_rows"] += season.get(row[3]) != season.get(last[3])
         expected["visa_class_changed_rows"] += row[2] != last[2]
-    for chunk, unique in ((versions.source_chunk(7), True), (versions.source_chunk(100), False)):
-        found = versions.revision_counts(versions.canonical_cases(df), chunk, unique_order=unique).first().asDict()
+    blocks = [F.col("SOURCE_RELEASE"), F.floor(F.col("SOURCE_ROW_NUMBER") / 50), F.floor(F.col("SOURCE_ROW_NUMBER") / 5)]
+    for chunk, unique, levels in (
+        (versions.source_chunk(7), True, ()), (versions.source_chunk(100), False, ()), (blocks, True, (2, 1)),
+    ):
+        cases = versions.canonical_cases(df)
+        found = versions.revision_counts(cases, chunk, unique_order=unique, levels=levels).first().asDict()
         assert {name: found[name] for name in expected} == expected
 
 
