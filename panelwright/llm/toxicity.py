@@ -2,7 +2,7 @@
 
 Texts are folded first: letters that look like Latin ones and digits that stand for letters become those
 letters, and everything between words becomes a space. The lexicon is learned from labelled rows: words
-whose presence marks toxic texts, weighted by their log-odds. Phrases around such words that occur in
+whose presence marks toxic texts, weighted by their log-odds less one standard error. Phrases around such words that occur in
 harmless texts only are exceptions. An Aho-Corasick automaton over words finds terms and exceptions in one
 pass; terms inside an exception do not count. The summed weight and its share of the length give the score
 through a logistic curve.
@@ -29,7 +29,7 @@ from panelwright.session import cut_lineage
 
 MODULUS, HELD = 5, 0
 TERMS, PHRASES = 256, 256
-CERTAINTY = 4.0  # standard errors by which a term's log-odds must exceed zero
+CERTAINTY, LEAST_ODDS = 3.0, 2.5  # a term's log-odds, at least and in standard errors
 LEAST_TEXTS = 3
 
 # Letters that look like a Latin one, and digits that stand for a letter.
@@ -129,8 +129,9 @@ def learn_lexicon(sample: DataFrame) -> dict[tuple[str, ...], float | None]:
     weight = odds(F.col("bad"), toxic) - odds(F.col("good"), harmless)
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     terms = (
-        counts.withColumn("weight", weight).where((F.col("bad") >= LEAST_TEXTS) & (F.col("weight") > CERTAINTY * error))
-        .orderBy(F.desc(F.col("weight") / error), "word").limit(TERMS).collect()
+        counts.withColumn("weight", weight)
+        .where((F.col("bad") >= LEAST_TEXTS) & (F.col("weight") > LEAST_ODDS) & (F.col("weight") > CERTAINTY * error))
+        .withColumn("weight", F.col("weight") - error).orderBy(F.desc("weight"), "word").limit(TERMS).collect()
     )
     lexicon: dict[tuple[str, ...], float | None] = {(row.word,): row.weight for row in terms}
 
