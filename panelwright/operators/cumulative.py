@@ -18,8 +18,10 @@ def value_chunks(df: DataFrame, value: str, chunks: int = CHUNKS) -> DataFrame:
     """Add ``chunk``: near-equal consecutive ranges of ``value``, split at approximate quantiles.
 
     The at most ``chunks`` split points are fitted once and become constants, so every later use of
-    the column sees the same ranges."""
+    the column sees the same ranges. Without values there is one empty range."""
     points = df.approxQuantile(value, [i / chunks for i in range(1, chunks)], 0.25 / chunks)
+    if not points:
+        return df.withColumn("chunk", F.lit(0.0))
     splits = [float("-inf"), *sorted(set(points)), float("inf")]
     return Bucketizer(splits=splits, inputCol=value, outputCol="chunk").transform(df)
 

@@ -9,9 +9,11 @@ from panelwright.functions.calendar import date_of, fiscal_quarter_index, quarte
 from panelwright.functions.numeric import round_binary
 from panelwright.functions.text import case_key, company_id, entity_id, has_text, strip, with_normalized_name
 from panelwright.operators.versions import ORDER, canonical_cases, latest_version
+from panelwright.session import cut_lineage
 
 CASE_DATES = ("DECISION_DATE", "RECEIVED_DATE")
-POSITIONS_PATTERN = r"^[1-9][0-9]*\z"
+# A positive number of at most 18 digits, so that every accepted one fits a long.
+POSITIONS_PATTERN = r"^[1-9][0-9]{0,17}\z"
 METRICS = ("LCA_CASES", "CERTIFIED_CASES", "REQUESTED_POSITIONS")
 
 
@@ -86,10 +88,6 @@ def rollup_cases(cases: DataFrame, certified: str = "Certified") -> DataFrame:
     )
 
 
-def period_bounds(df: DataFrame, period: str = "quarter") -> DataFrame:
-    return df.agg(F.min(period).alias("first_quarter"), F.max(period).alias("last_quarter"))
-
-
 def dense_panel(
     counts: DataFrame,
     entity: str = "EMPLOYER_ID",
@@ -100,11 +98,10 @@ def dense_panel(
     """Zero-filled rows from each entity's first period to ``last``, by default the last of all.
 
     Each row stretches to the period before its entity's next one, so the spine costs one window
-    and no join, and no entity's rows are gathered."""
+    and no join, and no entity's rows are gathered. ``counts`` is read twice to find the last period;
+    pass a stored table."""
     if last is None:
-        # Reads every column on purpose: the same aggregate is then shared, not run twice.
-        latest = F.max(F.struct(period, *[name for name in counts.columns if name != period]))
-        end = counts.agg(latest.alias("row")).select(f"row.{period}").scalar()
+        end = counts.agg(F.max(period)).scalar()
     else:
         end = F.lit(last)
         counts = counts.where(F.col(period) <= last)
@@ -158,7 +155,7 @@ def activity_panel(
     cases = eligible_cases(latest_cases(raw, date_column, order_by), class_value)
     if window is not None:
         cases = in_window(cases, *window)
-    return dense_panel(rollup_cases(cases, certified))
+    return dense_panel(cut_lineage(rollup_cases(cases, certified)))
 
 
 def lookup_id(df: DataFrame, company: str) -> DataFrame:

@@ -18,11 +18,10 @@ from panelwright.sources.schema import TableSpec, validate_headers
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
-# The panel's window and the origins of the rolling splits, on the calendar of the order tables.
-FIRST, LAST = label_number("FY1995_Q2"), label_number("FY2001_Q4")
+# An inner window of the calendar of the order tables; the filters by it are the features.
 INNER_FIRST, INNER_LAST = label_number("FY1996_Q1"), label_number("FY2000_Q4")
-SPLIT_ORIGINS = [LAST - back for back in (10, 8, 6, 4, 2)]
-EVALUATION_ORIGIN = LAST - 2
+# Quarters before the last one at which the rolling splits stand, and the one that is evaluated.
+SPLITS_BACK, EVALUATED_BACK = (10, 8, 6, 4, 2), 2
 SINCE = "1998-01-01"
 COMPANY = "  customer#000000007 "
 
@@ -240,12 +239,20 @@ def _order_counts(spark, folder, positions=True):
 
 
 def _order_panel(spark, folder, positions=False):
-    return panel.dense_panel(_order_counts(spark, folder, positions), last=LAST)
+    """The panel over a stored rollup, which its last quarter is read from too."""
+    return panel.dense_panel(cut_lineage(_order_counts(spark, folder, positions)))
 
 
 def _examples(spark, folder):
     """Examples over the panel as a stored table, which companies and market both read."""
-    return features.build_examples(cut_lineage(_order_panel(spark, folder).select("EMPLOYER_ID", "EMPLOYER_NAME", "quarter", "LCA_CASES")))
+    columns = ["EMPLOYER_ID", "EMPLOYER_NAME", "quarter", "LCA_CASES"]
+    return features.build_examples(cut_lineage(_order_panel(spark, folder).select(*columns)))
+
+
+def _dated_examples(spark, folder) -> tuple[DataFrame, int]:
+    """Stored examples, which all parts of a query read, and the panel's last quarter (one row)."""
+    examples = cut_lineage(_examples(spark, folder))
+    return examples, examples.agg(F.coalesce(F.max("origin"), F.lit(0))).first()[0]
 
 
 @query
@@ -255,7 +262,7 @@ def company_quarter_counts(spark, folder):
 
 @query
 def dense_panel(spark, folder):
-    return panel.dense_panel(_order_counts(spark, folder))
+    return _order_panel(spark, folder, positions=True)
 
 
 @query
@@ -274,7 +281,7 @@ def excluded_cases(spark, folder):
 
 @query
 def quarterly_change(spark, folder):
-    return panel.company_quarters(panel.dense_panel(_order_counts(spark, folder)))
+    return panel.company_quarters(_order_panel(spark, folder, positions=True))
 
 
 @query
@@ -286,7 +293,7 @@ def company_lookup(spark, folder):
 def reconcile_totals(spark, folder):
     latest = panel.latest_cases(src.order_cases(spark, folder), "RECEIVED_DATE")
     cases = cut_lineage(panel.eligible_cases(latest, src.CLASS))
-    built = panel.dense_panel(panel.rollup_cases(cases, src.CERTIFIED), last=LAST)
+    built = panel.dense_panel(cut_lineage(panel.rollup_cases(cases, src.CERTIFIED)))
     metrics = ["LCA_CASES", "REQUESTED_POSITIONS"]
     by_quarter = built.groupBy("quarter").agg(*[F.sum(name).alias(name) for name in metrics])
     return profile.reconcile(by_quarter, profile.period_totals(cases), "quarter", metrics, only_differing=False)
@@ -302,9 +309,13 @@ def panel_violations(spark, folder):
 
 @query
 def empty_quarters(spark, folder):
-    """The line cases' receipt quarters against a window two quarters wider on both sides."""
+    """The line cases' receipt quarters against the quarters of all orders, two more on both sides."""
     totals = profile.period_totals(_line_class_cases(spark, folder, "RECEIVED_DATE"))
-    return profile.empty_period_violations(totals, FIRST - 2, LAST + 2)
+    index = fiscal_quarter_index(F.col("o_orderdate").cast("date"))
+    bounds = src.table(spark, folder, "orders").agg(F.min(index), F.max(index)).first()  # one row
+    if bounds[0] is None:
+        bounds = (0, -5)
+    return profile.empty_period_violations(totals, bounds[0] - 2, bounds[1] + 2)
 
 
 # Panel profile -------------------------------------------------------------------------------
@@ -364,17 +375,20 @@ def labeled_examples(spark, folder):
 
 @query
 def rolling_split_sizes(spark, folder):
-    return evaluate.split_sizes(_examples(spark, folder), SPLIT_ORIGINS)
+    examples, last = _dated_examples(spark, folder)
+    return evaluate.split_sizes(examples, [last - back for back in SPLITS_BACK])
 
 
 @query
 def split_checks(spark, folder):
     """The evaluation split, and one so late that its second outcome quarter is unknown."""
-    return quality.split_violations(_examples(spark, folder), [EVALUATION_ORIGIN, LAST - 1], features.FEATURES)
+    examples, last = _dated_examples(spark, folder)
+    return quality.split_violations(examples, [last - EVALUATED_BACK, last - 1], features.FEATURES)
 
 
 def _baseline_predictions(spark, folder):
-    training, evaluation = evaluate.rolling_split(_examples(spark, folder), EVALUATION_ORIGIN)
+    examples, last = _dated_examples(spark, folder)
+    training, evaluation = evaluate.rolling_split(examples, last - EVALUATED_BACK)
     return evaluate.with_baselines(evaluation, training)
 
 

@@ -1,9 +1,10 @@
 """The registered queries as plain SQL over the order tables, written apart from the operators."""
 
 from panelwright.operators.features import FEATURES
-from panelwright.plans.catalog import (
-    EVALUATION_ORIGIN, FIRST, INNER_FIRST, INNER_LAST, LAST, SINCE, SPLIT_ORIGINS,
-)
+from panelwright.plans.catalog import EVALUATED_BACK, INNER_FIRST, INNER_LAST, SINCE, SPLITS_BACK
+
+LAST = "(SELECT max(q) FROM panel)"
+EVALUATED = f"({LAST} - {EVALUATED_BACK})"
 
 
 def quarter(day: str) -> str:
@@ -16,11 +17,16 @@ def label(index: str) -> str:
 
 def name(value: str) -> str:
     upper = f"upper(trim(regexp_replace({value}, '\\s+', ' ', 'g')))"
-    suffix = r"(?:\s*,\s*|\s+)(L\.?L\.?C\.?|L\.?L\.?P\.?|INC\.?|CORP\.?|LTD\.?)$"
-    found = f"regexp_extract({upper}, '{suffix}', 1)"
+    last = f"string_split(replace({upper}, ',', ' '), ' ')[-1]"
+    bare = f"replace({last}, '.', '')"
+    # The suffixes, as an undotted last word with another word before it.
+    initials = f"({bare} IN ('LLC', 'LLP') AND NOT contains({last}, '..') AND NOT starts_with({last}, '.'))"
+    word = f"({last} IN ('INC', 'CORP', 'LTD', 'INC.', 'CORP.', 'LTD.'))"
+    head = f"rtrim(left({upper}, length({upper}) - length({last})))"
     return (
-        f"CASE WHEN {found} = '' THEN {upper} "
-        f"ELSE regexp_replace({upper}, '{suffix}', ' ') || replace({found}, '.', '') END"
+        f"CASE WHEN length({last}) < length({upper}) AND ({initials} OR {word}) "
+        f"THEN rtrim(CASE WHEN ends_with({head}, ',') THEN left({head}, length({head}) - 1) ELSE {head} END) || ' ' || {bare} "
+        f"ELSE {upper} END"
     )
 
 
@@ -180,11 +186,11 @@ BASELINES = f"""
 {EXAMPLES},
 predictions AS (
   SELECT target_quarter, target_active,
-         (SELECT avg(target_active) FROM examples WHERE target_active IS NOT NULL AND target_quarter <= {EVALUATION_ORIGIN}) AS global_rate,
+         (SELECT avg(target_active) FROM examples WHERE target_active IS NOT NULL AND target_quarter <= {EVALUATED}) AS global_rate,
          CAST(CAST((CAST(CAST(CAST(history_active_rate AS DOUBLE) * history_quarters AS FLOAT) AS DOUBLE) + 1)
               / (CAST(history_quarters AS DOUBLE) + 2) AS FLOAT) AS DOUBLE) AS company_rate,
          CAST(CAST((CAST(active_last4 AS DOUBLE) + 1) / 6 AS FLOAT) AS DOUBLE) AS recent_rate
-  FROM examples WHERE target_active IS NOT NULL AND origin = {EVALUATION_ORIGIN}
+  FROM examples WHERE target_active IS NOT NULL AND origin = {EVALUATED}
 ),
 long AS (
   SELECT target_quarter, target_active AS y, 'global_rate' AS model, global_rate AS p FROM predictions
@@ -240,7 +246,7 @@ pairs AS (SELECT * FROM history WHERE next_q = q + 1 AND n >= 4)
 """
 
 
-def split_checks(origin: int) -> str:
+def split_checks(origin: str) -> str:
     train = f"target_active IS NOT NULL AND target_quarter <= {origin}"
     test = f"target_active IS NOT NULL AND origin = {origin}"
     checks = {
@@ -254,7 +260,7 @@ def split_checks(origin: int) -> str:
         "nonfinite_feature": "count(*) FILTER (WHERE " + " OR ".join(f"{f} IS NULL OR NOT isfinite({f})" for f in FEATURES) + ")",
     }
     return " UNION ALL ".join(
-        f"SELECT '{check}' AS \"check\", CAST({value} AS BIGINT) AS violations, {origin} AS split_origin FROM examples"
+        f"SELECT '{check}' AS \"check\", CAST({value} AS BIGINT) AS violations, CAST({origin} AS INTEGER) AS split_origin FROM examples"
         for check, value in checks.items()
     )
 
@@ -414,7 +420,8 @@ def statements() -> dict[str, str]:
               WHERE hi - lo + 1 <> n OR hi <> (SELECT max(q) FROM counts)
             UNION ALL SELECT 'history_without_start', count(*) FROM per_company
               JOIN counts ON counts.id = per_company.id AND counts.q = lo WHERE cases <= 0""",
-        "empty_quarters": f"""WITH {LINES}, axis AS (SELECT unnest(generate_series({FIRST - 2}, {LAST + 2})) AS q)
+        "empty_quarters": f"""WITH {LINES}, axis AS (
+              SELECT unnest(generate_series(min({quarter('o_orderdate')}) - 2, max({quarter('o_orderdate')}) + 2)) AS q FROM orders)
             SELECT 'empty_quarter' AS "check", {label('q')} AS key, 'no case in this quarter' AS detail
             FROM axis WHERE q NOT IN (SELECT received_q FROM class_cases)""",
         "quarter_overview": f"""WITH {PANEL} SELECT q AS quarter, CAST(sum(cases) AS BIGINT) AS "LCA_CASES",
@@ -458,13 +465,13 @@ def statements() -> dict[str, str]:
             CAST(growth AS DOUBLE) AS market_annual_growth, has_year AS market_has_previous_year, k AS market_active_companies,
             company_change AS market_company_change, season_mean AS market_season_mean FROM market_features""",
         "labeled_examples": f"WITH {EXAMPLES} SELECT * FROM examples",
-        "rolling_split_sizes": f"""WITH {EXAMPLES}, origins AS (SELECT unnest({SPLIT_ORIGINS}) AS o)
+        "rolling_split_sizes": f"""WITH {EXAMPLES}, origins AS (SELECT {LAST} - unnest({list(SPLITS_BACK)}) AS o)
             SELECT CAST(o AS INTEGER) AS split_origin, count(*) FILTER (WHERE target_quarter <= o) AS training_rows,
               count(*) FILTER (WHERE target_quarter <= o AND target_active = 1) AS training_active,
               count(*) FILTER (WHERE origin = o) AS evaluation_rows,
               count(*) FILTER (WHERE origin = o AND target_active = 1) AS evaluation_active
             FROM examples, origins WHERE target_active IS NOT NULL GROUP BY o""",
-        "split_checks": f"WITH {EXAMPLES} {split_checks(EVALUATION_ORIGIN)} UNION ALL {split_checks(LAST - 1)}",
+        "split_checks": f"WITH {EXAMPLES} {split_checks(EVALUATED)} UNION ALL {split_checks(f'({LAST} - 1)')}",
         "baseline_scores": f"""WITH {BASELINES}, periods AS (
               SELECT 'all' AS period, * FROM long UNION ALL SELECT {label('target_quarter')}, * FROM long),
             ranked AS (

@@ -14,20 +14,22 @@ MIN_QUARTERS = 5
 
 
 def ingest(spark: SparkSession, landing: str, root: str, force: bool = False, with_worksites: bool = False) -> list[str]:
-    """Store new and changed releases; returns their labels. Gates run before anything is written."""
-    files = landed.fingerprint_files(spark, landing)
+    """Store new and changed releases of the kinds asked for; returns their labels. What is pending is
+    decided by name, size and time; gates run before anything is written."""
+    files = landed.landed_files(spark, landing)
     catalog = landed.release_catalog(files, with_worksites).persist()
     quality.enforce(landed.catalog_violations(files, catalog))
-    known = store.release_ledger(spark, root).persist()
+    known = store.release_ledger(spark, root).where(F.col("kind").isin(landed.kinds(with_worksites))).persist()
     if not catalog.take(1):
         raise FileNotFoundError(f"No releases landed in {landing}")
     # One row per release: metadata, never the releases' data.
     pending = catalog if force else store.pending_releases(catalog, known)
     entries = [row.asDict() for row in pending.orderBy("release", "kind").collect()]
-    frames = [
-        landed.read_release(spark, f"{landing.rstrip('/')}/{entry['name']}", entry["release"], entry["kind"])
-        for entry in entries
-    ]
+    frames = []
+    for entry in entries:
+        path = f"{landing.rstrip('/')}/{entry['name']}"
+        frames.append(landed.read_release(spark, path, entry["release"], entry["kind"]))
+        quality.enforce(landed.surplus_cells(spark, path))
     for entry, frame in zip(entries, frames):
         store.store_release(frame, root, entry)
     for row in store.withdrawn_releases(catalog, known).collect():
@@ -57,7 +59,7 @@ def audit(spark: SparkSession, root: str) -> dict[str, DataFrame]:
             "case_links_by_year": links.case_links_by_year(sites, main),
             "global_case_links": links.global_case_links(sites, main),
         }
-    version = store.input_version(spark, root)
+    version = store.input_version(spark, root, "main", "worksites")
     return {name: store.write_output(table, root, name, version) for name, table in tables.items()}
 
 
@@ -90,7 +92,7 @@ def decision_panel(spark: SparkSession, root: str) -> DataFrame:
         return store.read_output(spark, root, "company_activity")
     raw = stored_cases(spark, root)
     cases = panel.eligible_cases(cut_lineage(panel.latest_cases(raw, "DECISION_DATE")), CLASS)
-    built = panel.company_quarters(panel.dense_panel(panel.rollup_cases(cases)))
+    built = panel.company_quarters(panel.dense_panel(cut_lineage(panel.rollup_cases(cases))))
     store.write_output(profile.case_quality(raw, CLASS), root, "company_activity_quality", version)
     return store.write_output(built, root, "company_activity", version, ["EMPLOYER_ID", "FISCAL_QUARTER"])
 
@@ -213,9 +215,12 @@ def predict_company(spark: SparkSession, root: str, company: str, method: str =
     return history, found.withColumns(labeled)
 
 
-def refresh(spark: SparkSession, landing: str, root: str, candidates: dict | None = None) -> dict[str, str]:
-    """Ingest what landed, rebuild what depends on it, retrain."""
-    ingest(spark, landing, root)
+def refresh(
+    spark: SparkSession, landing: str, root: str, candidates: dict | None = None, with_worksites: bool = False
+) -> dict[str, str]:
+    """Ingest what landed, report its quality and links, rebuild what depends on it, retrain."""
+    ingest(spark, landing, root, with_worksites=with_worksites)
+    audit(spark, root)
     train(spark, root, candidates)
     last = release_window(spark, root)[1]
     return {"trained_through": number_label(last), "target_quarter": number_label(last + 1)}

@@ -1,6 +1,6 @@
 """Session helpers. On a cluster the session is given; these only fill what is unset."""
 
-import tempfile
+import atexit
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,20 +29,39 @@ def local_session(cores: int = 8, partitions: int | None = None, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage; a local run without one gets its own."""
+    """The cluster's shared folder for cut lineage: ``spark.checkpoint.dir``, else the folder set on the
+    context, else one in the warehouse, which every executor reaches too."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="panelwright-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_scratch: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder for intermediate tables, deleted when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = f"{shared_dir(spark).rstrip('/')}/tables/{app}"
+        atexit.register(clear_scratch, spark)
+    return _scratch[app]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far; frames read from them must not be used afterwards."""
+    folder = _scratch.pop(spark.sparkContext.applicationId, None) if spark.sparkContext._jsc is not None else None
+    if folder is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows as a table written once to the shared folder: later plans start from its files,
     which survive lost executors, and nothing upstream runs again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

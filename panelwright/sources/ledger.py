@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.numeric import round_binary
+from panelwright.sources.releases import content_fingerprint
 
 RELEASES = "release string, kind string, name string, size_bytes long, modified_at timestamp, sha256 string, path string, rows long, seq long"
 OUTPUTS = "name string, version string, path string, rows long, seq long"
@@ -23,7 +24,8 @@ def _entries(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def _current(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [name for name in entries.columns if name not in keys]
-    newest = entries.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("e")).select(*keys, "e.*")
+    # Two writers can take the same number; the folder then decides, so that all readers see one of them.
+    newest = entries.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("seq", "path")).alias("e")).select(*keys, "e.*")
     return newest.where(F.col("path").isNotNull())
 
 
@@ -80,9 +82,9 @@ def store_release(df: DataFrame, root: str, entry: dict) -> int:
     seq = _next_seq(spark, ledger, RELEASES)
     path = f"{root}/{entry['kind']}/{entry['release']}/v{seq:08d}-{uuid4().hex[:8]}"
     write_table(df, path)
-    rows = spark.read.parquet(path).count()
-    fields = [entry[name] for name in ("release", "kind", "name", "size_bytes", "modified_at", "sha256")]
-    _append(spark, ledger, RELEASES, [(*fields, path, rows, seq)])
+    rows, sha256 = content_fingerprint(spark.read.parquet(path)).first()
+    fields = [entry[name] for name in ("release", "kind", "name", "size_bytes", "modified_at")]
+    _append(spark, ledger, RELEASES, [(*fields, sha256, path, rows, seq)])
     return rows
 
 
@@ -101,11 +103,12 @@ def read_releases(spark: SparkSession, root: str, kind: str = "main", columns: S
     return table.select(*columns) if columns else table
 
 
-def input_version(spark: SparkSession, root: str, kind: str = "main") -> str:
-    """One hash over the (release, fingerprint) pairs every output depends on."""
-    pairs = F.sort_array(F.collect_list(F.concat_ws(":", "release", "sha256")))
-    row = release_ledger(spark, root).where(F.col("kind") == kind).agg(F.sha2(F.concat_ws("|", pairs), 256).alias("v"))
-    return row.first()["v"]
+def input_version(spark: SparkSession, root: str, *kinds: str) -> str:
+    """One hash over the (kind, release, fingerprint) of every stored release of the kinds (main, if none
+    is named) that an output depends on."""
+    pairs = F.sort_array(F.collect_list(F.concat_ws(":", "kind", "release", "sha256")))
+    known = release_ledger(spark, root).where(F.col("kind").isin(*(kinds or ("main",))))
+    return known.agg(F.sha2(F.concat_ws("|", pairs), 256).alias("v")).first()["v"]
 
 
 def is_current(spark: SparkSession, root: str, name: str, version: str) -> bool:

@@ -1,10 +1,16 @@
 """Landed releases: discovery, fingerprints, and the scan to the fixed schema.
 
 A release is one file, or one folder of part files, named after it. Only paths, sizes and times are
-read to discover releases; the binary content column is pruned from the scan."""
+read to discover releases; the binary content column is pruned from the scan. A release's fingerprint is
+taken from its standardised rows, once, when it is stored."""
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from panelwright.session import cut_lineage
 from panelwright.sources.schema import PROVENANCE, SPECS, TableSpec, validate_headers
@@ -12,19 +18,24 @@ from panelwright.sources.schema import PROVENANCE, SPECS, TableSpec, validate_he
 # Names of landed releases.
 MAIN_NAME = r"(?i)^LCA_Disclosure_Data_(FY20\d{2}_Q[1-4])(\.(csv|json|parquet))?$"
 WORKSITE_NAME = r"(?i)^LCA_Worksites_FY_?(20\d{2}_Q[1-4])(\.(csv|json|parquet))?$"
-HASH_LIMIT = 1 << 30
+
+
+# Quotes inside quoted cells are doubled; blanks belong to the cell.
+CSV = {"header": "true", "quote": '"', "escape": '"'}
 
 
 def landed_files(spark: SparkSession, landing: str) -> DataFrame:
     """Every landed file with the name of its release: its own, or its folder's under ``landing``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(landing)
-    root = landing.rstrip("/").rsplit("/", 1)[-1]
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(landing)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = system.makeQualified(place).toString()
     return files.select("path", "length", "modificationTime").transform(lambda df: with_release(df, root))
 
 
 def with_release(files: DataFrame, root: str) -> DataFrame:
     """Add release name, label and kind; temporary office files are left out."""
-    below = F.element_at(F.split(F.col("path"), f"/{root}/"), -1)
+    below = F.substring("path", len(root.rstrip("/")) + 2, 1 << 16)
     name = F.split_part(below, F.lit("/"), F.lit(1))
     worksite = F.concat(F.lit("FY"), F.regexp_extract("name", WORKSITE_NAME, 1))
     named = files.withColumn("name", name).where(~F.col("name").startswith("~$"))
@@ -37,35 +48,25 @@ def with_release(files: DataFrame, root: str) -> DataFrame:
     )
 
 
-def fingerprint_files(spark: SparkSession, landing: str, hashed: bool = True) -> DataFrame:
-    """Per landed file: size, time and fingerprint.
-
-    Files under 1 GiB are hashed by content on the executors; larger ones, which do not fit a row,
-    by name, size and time."""
-    files = landed_files(spark, landing)
-    stamp = F.sha2(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime")), 256)
-    if not hashed:
-        return files.withColumn("sha256", stamp)
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(landing)
-    content = content.where(F.col("length") < HASH_LIMIT).select("path", F.sha2("content", 256).alias("content_sha"))
-    return files.join(content, "path", "left").withColumn("sha256", F.coalesce("content_sha", stamp)).drop("content_sha")
+def content_fingerprint(rows: DataFrame) -> DataFrame:
+    """One row: the number of rows and a digest of them that does not depend on their order. The file
+    name is left out."""
+    value = F.xxhash64(*[name for name in rows.columns if name != PROVENANCE[1]])
+    sums = rows.agg(
+        F.count("*").alias("rows"), F.sum(value.cast("decimal(38,0)")).alias("total"), F.bit_xor(value).alias("mixed")
+    )
+    return sums.select("rows", F.sha2(F.concat_ws("|", "rows", "total", "mixed"), 256).alias("sha256"))
 
 
 def release_catalog(files: DataFrame, with_worksites: bool = False) -> DataFrame:
-    """One row per release and kind: name, size, newest time, fingerprint. Bounded by releases."""
-    kinds = ["main", "worksites"] if with_worksites else ["main"]
-    known = files.where(F.col("kind").isin(kinds))
-    columns = [
-        F.sum("length").alias("size_bytes"),
-        F.max("modificationTime").alias("modified_at"),
-        F.count("*").alias("files"),
-    ]
-    if "sha256" in files.columns:
-        parts = F.sort_array(F.collect_list(F.struct("path", "sha256")))["sha256"]
-        columns.append(
-            F.when(F.count("*") == 1, F.max("sha256")).otherwise(F.sha2(F.concat_ws(",", parts), 256)).alias("sha256")
-        )
-    return known.groupBy("release", "kind", "name").agg(*columns)
+    """One row per release and kind: name, size, newest time. Bounded by releases."""
+    return files.where(F.col("kind").isin(kinds(with_worksites))).groupBy("release", "kind", "name").agg(
+        F.sum("length").alias("size_bytes"), F.max("modificationTime").alias("modified_at"), F.count("*").alias("files")
+    )
+
+
+def kinds(with_worksites: bool) -> list[str]:
+    return ["main", "worksites"] if with_worksites else ["main"]
 
 
 def catalog_violations(files: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -83,13 +84,62 @@ def catalog_violations(files: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def header_names(spark: SparkSession, path: str) -> list[str | None]:
-    """The landed headers of a release; for CSV the first line as written."""
+    """The landed headers of a release, over all its parts; for CSV the first line of every part, which
+    must be the same."""
     if path.rstrip("/").lower().endswith(".parquet"):
-        return spark.read.parquet(path).columns
+        return spark.read.option("mergeSchema", "true").parquet(path).columns
     if path.rstrip("/").lower().endswith(".json"):
         return spark.read.option("primitivesAsString", "true").json(path).columns
-    first = spark.read.option("header", "false").csv(path).first()
-    return list(first) if first else []
+    lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    first = lines.where(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    found = first.groupBy("line").agg(F.min("file").alias("file")).orderBy("file").limit(2).collect()
+    if not found:
+        return []
+    if len(found) > 1:
+        raise ValueError(f"Headers of {found[1].file} differ from those of {found[0].file}")
+    return [name or None for name in next(csv.reader([found[0].line]))]
+
+
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell holds a line break: only then does a line have an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
+
+
+def _landed_csv(spark: SparkSession, path: str, headers: list[str]):
+    reader = spark.read.options(**CSV).option("enforceSchema", "true")
+    # Files with line breaks inside cells cannot be split; all others can.
+    return reader.option("multiLine", str(spans_lines(spark, path)).lower())
+
+
+@F.pandas_udf(IntegerType())
+def cells_with_content(records: pd.Series) -> pd.Series:
+    """Place of a record's last cell that is not empty."""
+
+    def last(record: str) -> int:
+        cells = next(csv.reader(io.StringIO(record)), [])
+        return max((at for at, cell in enumerate(cells, 1) if cell != ""), default=0)
+
+    return records.map(last)
+
+
+def surplus_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Records with something beyond the last header, by file and row."""
+    if path.rstrip("/").lower().endswith((".json", ".parquet")):
+        return spark.createDataFrame([], "check string, key string, detail string")
+    headers = header_names(spark, path)
+    schema = ", ".join(f"`c{at}` string" for at in range(len(headers))) + ", `_record` string"
+    reader = _landed_csv(spark, path, headers).option("columnNameOfCorruptRecord", "_record")
+    numbered = _numbered(reader.schema(schema).csv(path), F.col("_metadata.file_block_start"), None)
+    # All cells are read, since the parser counts only those that a query needs.
+    cells = F.concat_ws("", *[f"c{at}" for at in range(len(headers))])
+    odd = numbered.where(F.col("_record").isNotNull() & (cells != "\0")).select("_file", "SOURCE_ROW_NUMBER", "_record")
+    return odd.where(cells_with_content("_record") > len(headers)).select(
+        F.lit("cells_beyond_headers").alias("check"),
+        F.concat_ws(" row ", "_file", F.col("SOURCE_ROW_NUMBER").cast("string")).alias("key"),
+        F.substring("_record", 1, 200).alias("detail"),
+    )
 
 
 def _numbered(df: DataFrame, per: Column, index: Column | None) -> DataFrame:
@@ -114,13 +164,13 @@ def scan_release(spark: SparkSession, path: str, headers: list[str]) -> DataFram
     """Landed rows as text with their file and physical row number (the header is row 1)."""
     lower = path.rstrip("/").lower()
     if lower.endswith(".parquet"):
-        rows = spark.read.parquet(path)
+        rows = spark.read.option("mergeSchema", "true").parquet(path)
         return _numbered(rows, F.lit(0), F.col("_metadata.row_index"))
     schema = ", ".join(f"`{name}` string" for name in headers)
     if lower.endswith(".json"):
         rows = spark.read.schema(schema).json(path)
     else:
-        rows = spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").csv(path)
+        rows = _landed_csv(spark, path, headers).schema(schema).csv(path)
     return _numbered(rows, F.col("_metadata.file_block_start"), None)
 
 

@@ -72,6 +72,86 @@ def test_row_numbers_run_through_all_parts_and_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def read_csv(spark, folder, text, release="FY2027_Q1"):
+    folder.mkdir()
+    path = folder / f"LCA_Disclosure_Data_{release}.csv"
+    path.write_text(",".join(HEADERS) + "\n" + text)
+    return str(path)
+
+
+def test_quotes_commas_and_line_breaks_stay_in_their_cell(spark, tmp_path):
+    tail = ",15-2051,Oslo,NY,10001\n"
+    quoted = 'A1,Certified,2026-10-01,2026-10-02,,H-1B,"Ac""me"" Inc, X"' + tail
+    plain = read_csv(spark, tmp_path / "a", quoted + quoted.replace("A1", "A2"))
+    assert not releases.spans_lines(spark, plain)
+    rows = releases.read_release(spark, plain, "FY2027_Q1").orderBy("SOURCE_ROW_NUMBER").collect()
+    assert [(r["EMPLOYER_NAME"], r["WORKSITE_POSTAL_CODE"]) for r in rows] == [('Ac"me" Inc, X', "10001")] * 2
+    broken = 'B1,Certified,2026-10-01,2026-10-02,,H-1B,"Two\nLines"' + tail
+    spanning = read_csv(spark, tmp_path / "b", broken + quoted)
+    rows = releases.read_release(spark, spanning, "FY2027_Q1").orderBy("SOURCE_ROW_NUMBER").collect()
+    assert [(r["CASE_NUMBER"], r["EMPLOYER_NAME"], r["SOURCE_ROW_NUMBER"]) for r in rows] == [
+        ("B1", "Two\nLines", 2), ("A1", 'Ac"me" Inc, X', 3)
+    ]
+
+
+def test_cells_beyond_the_headers_fail_by_row(spark, tmp_path):
+    good = ",".join(ROW) + "\n"
+    path = read_csv(spark, tmp_path / "raw", good + good.strip() + ",,extra\n" + good.strip() + ",,\n" + "S,Denied\n")
+    found = releases.surplus_cells(spark, path).collect()
+    assert len(found) == 1 and found[0].key.endswith(".csv row 3")
+    with pytest.raises(ValueError, match="cells_beyond_headers"):
+        refresh.ingest(spark, str(tmp_path / "raw"), str(tmp_path / "stored"))
+    assert not (tmp_path / "stored").exists()
+
+
+def test_every_part_passes_the_header_gate(spark, tmp_path):
+    folder = tmp_path / "raw" / "LCA_Disclosure_Data_FY2027_Q2.parquet"
+    first = spark.createDataFrame([ROW], ", ".join(f"{name} string" for name in HEADERS))
+    for odd in ("a", "z"):
+        first.coalesce(1).write.mode("overwrite").parquet(str(folder))
+        other = first.withColumn("NOT_A_COLUMN", F.lit("x")).coalesce(1)
+        other.write.mode("append").option("compression", "gzip" if odd == "a" else "snappy").parquet(str(folder))
+        with pytest.raises(ValueError, match="NOT_A_COLUMN"):
+            releases.read_release(spark, str(folder), "FY2027_Q2")
+    parts = tmp_path / "csv" / "LCA_Disclosure_Data_FY2027_Q2.csv"
+    parts.mkdir(parents=True)
+    (parts / "part-0.csv").write_text(",".join(HEADERS) + "\n" + ",".join(ROW) + "\n")
+    (parts / "part-1.csv").write_text(",".join(reversed(HEADERS)) + "\n" + ",".join(ROW) + "\n")
+    with pytest.raises(ValueError, match="part-1.csv differ"):
+        releases.read_release(spark, str(parts), "FY2027_Q2")
+
+
+def test_folder_names_are_not_patterns(spark, tmp_path):
+    raw = tmp_path / "in+1 (a)"
+    land(raw, "FY2027_Q1", [ROW])
+    inner = raw / "LCA_Disclosure_Data_FY2027_Q2.csv" / "in+1 (a)"
+    inner.mkdir(parents=True)
+    (inner / "part.csv").write_text(",".join(HEADERS) + "\n")
+    found = {(r["name"], r["kind"]) for r in releases.landed_files(spark, str(raw)).collect()}
+    assert found == {("LCA_Disclosure_Data_FY2027_Q1.csv", "main"), ("LCA_Disclosure_Data_FY2027_Q2.csv", "main")}
+
+
+def test_kinds_not_asked_for_stay_and_unchanged_content_is_not_read(spark, tmp_path, monkeypatch):
+    raw, root = tmp_path / "raw", str(tmp_path / "stored")
+    land(raw, "FY2027_Q1", [ROW])
+    sites = ("CASE_NUMBER", "WORKSITE_CITY", "WORKSITE_STATE", "WORKSITE_POSTAL_CODE", "WORKSITE_WORKERS")
+    land(raw, "", [("E", "Oslo", "NY", "10001", "1")], sites, name="LCA_Worksites_FY2027_Q1.csv")
+    assert refresh.ingest(spark, str(raw), root, with_worksites=True) == ["FY2027_Q1", "FY2027_Q1"]
+    both = store.input_version(spark, root, "main", "worksites")
+    monkeypatch.setattr(releases, "read_release", lambda *a: pytest.fail("an unchanged release was read"))
+    assert refresh.ingest(spark, str(raw), root) == []
+    assert {r["kind"] for r in store.release_ledger(spark, root).collect()} == {"main", "worksites"}
+    assert refresh.ingest(spark, str(raw), root, with_worksites=True) == []
+    assert store.input_version(spark, root, "main", "worksites") == both != store.input_version(spark, root)
+
+
+def test_the_fingerprint_follows_the_rows_only(spark):
+    rows = spark.createDataFrame([("a", "f", 1), ("b", "f", 2)], "CASE_NUMBER string, SOURCE_FILE string, SOURCE_ROW_NUMBER long")
+    mark = lambda df: releases.content_fingerprint(df).first()["sha256"]
+    assert mark(rows) == mark(rows.orderBy(F.desc("CASE_NUMBER")).withColumn("SOURCE_FILE", F.lit("g")))
+    assert len({mark(rows), mark(rows.limit(1)), mark(rows.union(rows)), mark(rows.replace("a", "c"))}) == 4
+
+
 def test_discovery(spark, tmp_path):
     raw, root = tmp_path / "raw", str(tmp_path / "stored")
     land(raw, "FY2027_Q1", [ROW])
