@@ -9,7 +9,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm import bpe, decontaminate, exact_dedup, near_dup, quality
-from panelwright.session import shared_dir
+from panelwright.session import scratch_dir
 
 # SQL cannot express the classifier, the signatures or the encoder.
 ORACLE_SQL = None
@@ -50,7 +50,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline/{uuid4().hex}"
+    folder = f"{scratch_dir(spark)}/pipeline-{uuid4().hex}"
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
