@@ -18,28 +18,28 @@ def test_panel_uses_names_and_newest_versions(spark):
     raw = data.versioned(spark)
     quality_row = profile.case_quality(raw, "H-1B").first().asDict()
     assert quality_row == {
-        "source_rows": 8, "missing_case_numbers": 0, "unique_cases": 7, "repeated_case_rows": 1,
-        "h1b_cases": 6, "h1b_cases_with_company_and_date": 5, "requested_positions": 15,
+        "source_rows": 9, "missing_case_numbers": 0, "unique_cases": 8, "repeated_case_rows": 1,
+        "h1b_cases": 7, "h1b_cases_with_company_and_date": 6, "requested_positions": 24,
     }
     built = panel.company_quarters(panel.activity_panel(raw))
-    acme = panel.lookup(built, "acme, llc").select(*built.columns[2:])
-    assert rows(acme) == [
-        ("FY2024_Q1", 1, 1, None, None, 3, None, None),
-        ("FY2024_Q2", 2, 1, 1, 100.0, 10, 7, 233.33),
-        ("FY2024_Q3", 0, 0, -2, -100.0, 0, -10, -100.0),
-        ("FY2024_Q4", 0, 0, 0, None, 0, 0, None),
+    birch = panel.lookup(built, "birch works, inc").select(*built.columns[2:])
+    assert rows(birch) == [
+        ("FY2019_Q2", 1, 1, None, None, 4, None, None),
+        ("FY2019_Q3", 2, 2, 1, 100.0, 5, 1, 25.0),
+        ("FY2019_Q4", 0, 0, -2, -100.0, 0, -5, -100.0),
+        ("FY2020_Q1", 1, 1, 1, None, 6, 6, None),
     ]
-    other = panel.lookup(built, "Other Inc")
-    assert [r["FISCAL_QUARTER"] for r in other.collect()] == ["FY2024_Q2", "FY2024_Q3", "FY2024_Q4"]
+    delta = panel.lookup(built, "Delta Foods")
+    assert [r["LCA_CASES"] for r in delta.collect()] == [1, 0, 0, 1]
 
 
 def test_a_case_revised_out_of_the_class_disappears(spark):
     raw = data.versioned(spark)
-    moved = raw.where("CASE_NUMBER = 'G'").withColumns(
-        {"CASE_NUMBER": F.lit(" b"), "VISA_CLASS": F.lit("E-3"), "SOURCE_RELEASE": F.lit("FY2024_Q3")}
+    moved = raw.where("CASE_NUMBER = 'P8'").withColumns(
+        {"CASE_NUMBER": F.lit(" p1"), "VISA_CLASS": F.lit("H-1B1"), "SOURCE_RELEASE": F.lit("FY2019_Q4")}
     )
     latest = panel.eligible_cases(panel.latest_cases(raw.unionByName(moved), "DECISION_DATE"), "H-1B")
-    assert {r["CASE_NUMBER"] for r in latest.collect()} == {"A", "C", "E", "G"}
+    assert {r["CASE_NUMBER"] for r in latest.collect()} == {"P2", "P3", "P5", "P7", "P8"}
 
 
 def test_results_do_not_depend_on_row_order(spark):
@@ -51,12 +51,14 @@ def test_results_do_not_depend_on_row_order(spark):
 
 def test_bad_positions_name_their_case(spark):
     raw = data.versioned(spark).withColumn(
-        "TOTAL_WORKER_POSITIONS", F.when(F.col("SOURCE_RELEASE") == "FY2024_Q1", "bad").otherwise("1")
+        "TOTAL_WORKER_POSITIONS", F.when(F.col("SOURCE_RELEASE") == "FY2019_Q2", "bad").otherwise("1")
     )
     found = panel.invalid_values(raw, "H-1B")
-    assert sorted(r["key"] for r in found.collect()) == ["A", "B"]
-    with pytest.raises(ValueError, match="invalid_positions [AB]: bad"):
+    assert sorted(r["key"] for r in found.collect()) == ["P1", "P2", "P3"]
+    with pytest.raises(ValueError, match="invalid_positions P[123]: bad"):
         quality.enforce(found)
+    long = data.versioned(spark).withColumn("TOTAL_WORKER_POSITIONS", F.lit("9" * 19))
+    assert panel.invalid_values(long, "H-1B").count() == 8
     with pytest.raises(ValueError, match="Unsupported"):
         panel.with_case_date(raw, "BEGIN_DATE")
 
@@ -70,18 +72,18 @@ def test_source_profile(spark):
     latest = profile.latest_class_rows(
         raw, ["CASE_STATUS", "DECISION_DATE", "RECEIVED_DATE", "EMPLOYER_NAME", "TOTAL_WORKER_POSITIONS"], "H-1B"
     )
-    assert dict(rows(profile.value_counts(latest, "CASE_STATUS"))) == {"Withdrawn": 1, "Certified": 1, "Denied": 1}
+    assert dict(rows(profile.value_counts(latest, "CASE_STATUS"))) == {"Certified": 2, "Denied": 1, "Withdrawn": 1}
     dates = profile.date_checks(latest).first()
-    assert (dates["h1b_unique_cases"], dates["missing_or_invalid_decision_dates"]) == (3, 1)
-    assert dict(rows(versions.release_offsets(cases, "DECISION_DATE", "H-1B"))) == {0: 1, 1: 1}
+    assert (dates["h1b_unique_cases"], dates["missing_or_invalid_decision_dates"]) == (4, 1)
+    assert dict(rows(versions.release_offsets(cases, "DECISION_DATE", "H-1B"))) == {0: 2, 1: 1}
     covered = profile.coverage(panel.with_case_date(cases, "RECEIVED_DATE"), "H-1B")
-    assert sum(r["rows"] for r in covered.collect()) == 4
+    assert sum(r["rows"] for r in covered.collect()) == 5
     eligible = panel.eligible_cases(panel.latest_cases(raw, "DECISION_DATE"), "H-1B")
     totals = profile.period_totals(eligible).withColumn("quarter", quarter_label(F.col("quarter")))
-    assert sorted(rows(totals)) == [("FY2024_Q1", 1, 1), ("FY2024_Q2", 1, 5)]
+    assert sorted(rows(totals)) == [("FY2019_Q2", 2, 4), ("FY2019_Q3", 1, 4)]
     received = panel.eligible_cases(panel.latest_cases(raw, "RECEIVED_DATE"), "H-1B")
-    only = label_number("FY2024_Q1")
-    assert rows(profile.period_totals(panel.in_window(received, only, only))) == [(only, 1, 1)]
+    only = label_number("FY2019_Q2")
+    assert rows(profile.period_totals(panel.in_window(received, only, only))) == [(only, 3, 10)]
 
 
 def test_revisions_across_chunks_match_a_plain_scan(spark):
@@ -122,26 +124,26 @@ def test_revisions_across_chunks_match_a_plain_scan(spark):
 def test_company_profile_pairs_never_jump(spark):
     built = data.quarters(spark)
     summary = profile.panel_summary(built).first()
-    assert (summary["company_quarter_rows"], summary["lca_cases"], summary["requested_positions"]) == (7, 10, 18)
+    assert (summary["company_quarter_rows"], summary["lca_cases"], summary["requested_positions"]) == (7, 12, 21)
     overview = profile.period_overview(built).orderBy("quarter").collect()
     assert [r["KNOWN_COMPANIES"] for r in overview] == [1, 1, 1, 2, 2]
     first = profile.first_n_activity(built).collect()
-    assert [(r["active_quarters"], r["companies"], r["zero_case_percent"], r["single_active_quarter_company_percent"]) for r in first] == [(2, 1, 50.0, 0.0)]
-    assert rows(profile.next_quarter_outcomes(built)) == [(4, 1, 1, 0, 1)]
-    jumped = data.quarters(spark, ("A", "FY2025_Q3", 1, 1, 1))
-    assert rows(profile.next_quarter_outcomes(jumped)) == [(4, 1, 1, 0, 1)]
+    assert [(r["active_quarters"], r["companies"], r["zero_case_percent"], r["single_active_quarter_company_percent"]) for r in first] == [(3, 1, 25.0, 0.0)]
+    assert rows(profile.next_quarter_outcomes(built)) == [(4, 1, 1, 1, 0)]
+    jumped = data.quarters(spark, ("X", "FY2021_Q1", 1, 1, 1))
+    assert rows(profile.next_quarter_outcomes(jumped)) == [(4, 1, 1, 1, 0)]
     rates = {r["quarter"]: r for r in profile.transition_rates(jumped).collect()}
-    late = rates[label_number("FY2025_Q3")]
+    late = rates[label_number("FY2021_Q1")]
     assert late["PREVIOUSLY_ACTIVE_COMPANIES"] == 0 and late["PREVIOUSLY_ACTIVE_RATE_PERCENT"] is None
 
 
 def test_transition_rates_are_null_without_pairs(spark):
-    built = data.quarters(spark, ("A", "FY2025_Q2", 0, 0, 0))
+    built = data.quarters(spark, ("X", "FY2020_Q4", 4, 4, 4))
     assert rows(profile.next_quarter_outcomes(built)) == [(4, 2, 1, 1, 1)]
     rates = {r["quarter"]: r for r in profile.quarter_table(built).collect()}
-    q1, q2 = rates[label_number("FY2025_Q1")], rates[label_number("FY2025_Q2")]
-    assert (q1["PREVIOUSLY_INACTIVE_RATE_PERCENT"], q1["PREVIOUSLY_ACTIVE_RATE_PERCENT"]) == (100.0, None)
-    assert q2["PREVIOUSLY_ACTIVE_RATE_PERCENT"] == 0.0
+    q3, q4 = rates[label_number("FY2020_Q3")], rates[label_number("FY2020_Q4")]
+    assert (q3["PREVIOUSLY_ACTIVE_RATE_PERCENT"], q3["PREVIOUSLY_INACTIVE_RATE_PERCENT"]) == (0.0, None)
+    assert (q4["PREVIOUSLY_ACTIVE_RATE_PERCENT"], q4["PREVIOUSLY_INACTIVE_RATE_PERCENT"]) == (None, 100.0)
     assert len(rates) == 6
 
 
@@ -149,7 +151,7 @@ def test_totals_must_match_the_source_both_ways(spark):
     built = data.quarters(spark)
     totals = built.groupBy("quarter").agg(F.sum("LCA_CASES").alias("LCA_CASES"), F.sum("REQUESTED_POSITIONS").alias("REQUESTED_POSITIONS"))
     assert not profile.check_totals(built, totals).take(1)
-    gone = totals.where(F.col("quarter") != label_number("FY2024_Q2"))
+    gone = totals.where(F.col("quarter") != label_number("FY2020_Q1"))
     with pytest.raises(ValueError, match="no_source_records"):
         quality.enforce(profile.check_totals(built, gone))
     off = totals.withColumn("REQUESTED_POSITIONS", F.col("REQUESTED_POSITIONS") + 1)
@@ -172,6 +174,12 @@ def test_distribution_is_the_linear_quantile(spark):
             assert found[name] == pytest.approx(series.quantile(q)), name
 
 
+def test_no_values_have_no_distribution(spark):
+    for content in ([], [(None,)]):
+        found = cumulative.distribution(spark.createDataFrame(content, "v double"), "v").collect()
+        assert len(found) == 1 and set(found[0]) == {None}
+
+
 def test_panel_gates(spark):
     labeled = "EMPLOYER_ID string, EMPLOYER_NAME string, FISCAL_QUARTER string, LCA_CASES double"
     good = [("a", "A", "FY2024_Q1", 1.0), ("a", "A", "FY2024_Q2", 0.0), ("b", "B", "FY2024_Q2", 2.0)]

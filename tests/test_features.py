@@ -7,7 +7,7 @@ from panelwright.functions.calendar import label_number, number_label
 from panelwright.operators import evaluate, features, quality
 from tests import data
 
-ORIGIN = label_number("FY2025_Q4")
+ORIGIN = label_number("FY2017_Q2")
 
 
 def table(df):
@@ -52,7 +52,7 @@ def by_hand(rows, entity, t, h):
 def test_features_follow_their_definitions(spark):
     rows = [(e, n, q, int(c)) for e, n, q, c in data.activity_rows(14, 9)]
     start = rows[0][2]
-    late = [("emp_late", "LATE", start + t, 2 * (t % 3 == 2)) for t in range(5, 14)]
+    late = [("firm_late", "LATE", start + t, 2 * (t % 3 == 2)) for t in range(5, 14)]
     rows += late
     found = table(features.build_examples(data.activity(spark, rows)))
     last = max(q for _, _, q, _ in rows)
@@ -86,13 +86,13 @@ def test_the_future_changes_labels_only(spark):
 
 def test_short_histories_are_left_out_and_gaps_found(spark):
     rows = [(e, n, q, int(c)) for e, n, q, c in data.activity_rows(18, 5)]
-    late = [("emp_late", "LATE", q, 1) for q in (label_number("FY2026_Q1"), label_number("FY2026_Q2"))]
+    late = [("firm_late", "LATE", q, 1) for q in (label_number("FY2017_Q3"), label_number("FY2017_Q4"))]
     found = features.build_examples(data.activity(spark, rows + late))
-    assert found.where("EMPLOYER_ID = 'emp_late'").count() == 0
+    assert found.where("EMPLOYER_ID = 'firm_late'").count() == 0
     assert found.agg(F.min("history_quarters")).first()[0] == 4
-    labels = [(e, n, number_label(q), c) for e, n, q, c in rows if (e, q) != ("emp_01", label_number("FY2023_Q1"))]
+    labels = [(e, n, number_label(q), c) for e, n, q, c in rows if (e, q) != ("firm_01", label_number("FY2014_Q3"))]
     holed = spark.createDataFrame(labels, "EMPLOYER_ID string, EMPLOYER_NAME string, FISCAL_QUARTER string, LCA_CASES long")
-    with pytest.raises(ValueError, match="history_gap emp_01"):
+    with pytest.raises(ValueError, match="history_gap firm_01"):
         quality.enforce(quality.panel_violations(holed))
 
 

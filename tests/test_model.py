@@ -96,7 +96,7 @@ def test_landed_quarters_to_models_and_forecast(spark, tmp_path):
 
     forecasts = refresh.predictions(spark, root).collect()
     assert len(forecasts) == 12 and all(0 <= r["probability"] <= 1 for r in forecasts)
-    history, one = refresh.predict_company(spark, root, "company 0")
+    history, one = refresh.predict_company(spark, root, "firm 0")
     assert history.count() == 19 and one.first()["target_quarter"] == number_label(last + 1)
     with pytest.raises(ValueError, match="No H-1B"):
         refresh.predict_company(spark, root, "missing")
@@ -111,10 +111,10 @@ def test_landed_quarters_to_models_and_forecast(spark, tmp_path):
     assert profiles["missing_keys"].first()[0] == 0 and profiles["totals"].count() == 19
     refresh.write_profile(spark, root, str(tmp_path / "profile"))
     written = spark.read.option("header", "true").csv(str(tmp_path / "profile" / "quarters"))
-    assert written.count() == 19 and written.where("quarter = 'FY2022_Q1'").first()["PREVIOUSLY_ACTIVE_RATE_PERCENT"] is None
+    assert written.count() == 19 and written.where("quarter = 'FY2013_Q3'").first()["PREVIOUSLY_ACTIVE_RATE_PERCENT"] is None
     assert refresh.decision_panel(spark, root).where("LCA_CASES > 0").count() == sum(r[3] > 0 for r in rows)
 
-    revised = [("X1", "Certified", "2026-10-05", "2026-10-05", "", "H-1B", "COMPANY 1", "15-2051", "X", "NY", "1", 1)]
+    revised = [("X1", "Certified", "2018-01-09", "2018-01-09", "", "H-1B", "FIRM 1", "15-2051", "X", "NY", "1", 1)]
     land(raw, number_label(last), revised, headers)
     refresh.ingest(spark, str(raw), root)
     with pytest.raises(ValueError, match="retrain"):
