@@ -126,7 +126,7 @@ def test_the_network_learns_findings_and_keeps_recall(spark):
     held = [(result[2 * i].max_score, 1) for i in range(400)] + [(result[2 * i + 1].max_score, 0) for i in range(400) if result[2 * i + 1].max_score is not None]
     assert np.mean([(score >= 0.5) == bool(label) for score, label in held]) > 0.97
     assert sum(result[2 * i + 1].n_added for i in range(400)) <= 8
-    assert result[5000].n_hex == 0 and result[5000].n_added == 1
+    assert result[5000].n_hex == 0 and result[5000].max_score > 0.5  # no format knows it
 
 
 def test_gradients_and_thresholds_of_the_network():
