@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.calendar import (
-    fiscal_quarter_index, label_number, quarter_label, quarter_number,
+    fiscal_quarter_index, iso_date, label_number, quarter_label, quarter_number,
 )
-from panelwright.functions.text import name_table
+from panelwright.functions.numeric import log_odds
+from panelwright.functions.text import location, name_table
 from panelwright.operators import cumulative, evaluate, features, links, panel, profile, quality, versions
 from panelwright.session import cut_lineage
 from panelwright.sources import orders as src
@@ -412,3 +413,79 @@ def reliability_bands(spark, folder):
     )
     table = evaluate.reliability(long, by=["model"])
     return table.withColumns({name: F.round(name, 9) for name in ("mean_probability", "actual_rate")})
+
+
+# Landings with faults, and gates ---------------------------------------------------------------
+
+
+@query
+def dirty_names(spark, folder):
+    return name_table(src.dirty_lines(spark, folder), "EMPLOYER_NAME")
+
+
+@query
+def dirty_dates(spark, folder):
+    """Text dates of every landed form, by the text itself."""
+    day = F.col("DECISION_DATE")
+    landed = src.dirty_lines(spark, folder).groupBy(day).agg(F.count("*").alias("rows"))
+    return landed.withColumn("day", iso_date(day)).withColumn("label", quarter_label(fiscal_quarter_index(F.col("day"))))
+
+
+@query
+def dirty_locations(spark, folder):
+    placed = src.dirty_places(spark, folder)
+    return placed.select("c_custkey", location(F.col("city"), F.col("state"), F.col("postal")).alias("p")).select("c_custkey", "p.*")
+
+
+@query
+def dirty_source_profile(spark, folder):
+    return profile.case_quality(src.dirty_lines(spark, folder), src.CLASS)
+
+
+@query
+def dirty_release_quality(spark, folder):
+    return profile.release_quality(src.dirty_lines(spark, folder), src.CLASS, SINCE)
+
+
+@query
+def dirty_missing_keys(spark, folder):
+    return versions.missing_keys(src.dirty_lines(spark, folder))
+
+
+@query
+def dirty_date_checks(spark, folder):
+    raw = src.dirty_lines(spark, folder)
+    return profile.date_checks(profile.latest_class_rows(raw, ["DECISION_DATE", "RECEIVED_DATE"], src.CLASS))
+
+
+@query
+def dirty_case_violations(spark, folder):
+    raw = src.dirty_lines(spark, folder)
+    found = quality.case_violations(raw, panel.latest_cases(raw, "DECISION_DATE"), src.CLASS)
+    return found.groupBy("check").agg(F.count("*").alias("violations"))
+
+
+@query
+def dirty_value_maps(spark, folder):
+    """The count maps of each release as rows."""
+    maps = profile.release_value_maps(src.dirty_lines(spark, folder), src.CLASS)
+    views = [name for name in maps.columns if name != "SOURCE_RELEASE"]
+    rows = [maps.select("SOURCE_RELEASE", F.lit(view).alias("view"), F.explode(view).alias("value", "rows")) for view in views]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@query
+def count_mismatches(spark, folder):
+    """Stored rows of each release against a ledger that is wrong for every second quarter and lacks the fourth."""
+    lines = src.table(spark, folder, "lineitem").select(src.release_of(F.col("l_shipdate").cast("date")).alias("release"))
+    counts = lines.groupBy("release").agg(F.count("*").alias("rows"))
+    wrong = F.when(F.col("release").endswith("_Q2"), F.col("rows") + 1).otherwise(F.col("rows"))
+    ledger = counts.withColumn("rows", wrong).where(~F.col("release").endswith("_Q4"))
+    return quality.count_mismatches(counts, ledger)
+
+
+@query
+def discount_log_odds(spark, folder):
+    rate = F.col("l_discount")
+    odds = F.round(log_odds(rate), 9).alias("log_odds")
+    return src.table(spark, folder, "lineitem").groupBy(rate).agg(F.count("*").alias("rows")).select("l_discount", "rows", odds)

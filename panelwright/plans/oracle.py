@@ -65,6 +65,30 @@ latest AS (SELECT * FROM numbered WHERE last_n = 1),
 class_cases AS (SELECT * FROM latest WHERE l_returnflag = 'R')
 """
 
+# The same lines with faults spread by part key; keys and days as the operators should read them.
+DIRTY = f"""
+{LINES},
+spoilt AS (
+  SELECT release, received, positions, l_linestatus, {', '.join(c.strip() for c in ORDER.split(','))},
+         CASE l_partkey % 11 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '  ' WHEN 3 THEN ' ' || case_number || chr(9) ELSE case_number END AS raw_case,
+         CASE WHEN l_partkey % 11 NOT IN (0, 1, 2) THEN case_number END AS case_key,
+         CASE l_partkey % 9 WHEN 0 THEN 'no date' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN CAST(shipped AS VARCHAR) || 'T08:30:00'
+           WHEN 4 THEN '2023-02-30' ELSE CAST(shipped AS VARCHAR) END AS raw_day,
+         CASE WHEN l_partkey % 9 NOT IN (0, 1, 2, 4) THEN shipped END AS day,
+         CASE l_partkey % 8 WHEN 0 THEN '' WHEN 1 THEN c_name || ', Inc.' WHEN 2 THEN c_name || '  l.l.c. ' WHEN 3 THEN c_name || ' Cafe' || chr(769)
+           WHEN 4 THEN c_name || ',Ltd' WHEN 5 THEN NULL ELSE c_name END AS raw_name,
+         CASE l_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '15-' || l_partkey END AS soc,
+         CASE l_partkey % 10 WHEN 0 THEN ' ' || lower(l_returnflag) WHEN 1 THEN '' ELSE l_returnflag END AS visa,
+         l_partkey % 10 <> 1 AND l_returnflag = 'R' AS in_class
+  FROM lines
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY release DESC, {', '.join(c.strip() + ' DESC' for c in ORDER.split(','))}) AS n
+  FROM spoilt WHERE case_key IS NOT NULL
+),
+newest AS (SELECT * FROM ranked WHERE n = 1)
+"""
+
 VERSION = """case_number AS "CASE_NUMBER", release AS "SOURCE_RELEASE", l_returnflag AS "VISA_CLASS",
  l_linestatus AS "CASE_STATUS", shipped AS "DECISION_DATE", CAST(positions AS VARCHAR) AS "TOTAL_WORKER_POSITIONS" """
 
@@ -485,6 +509,54 @@ def statements() -> dict[str, str]:
               round(sum(precision_at) FILTER (WHERE y = 1) / sum(y), 9) AS average_precision,
               round((sum(mid_rank) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 9) AS roc_auc
             FROM clipped GROUP BY period, model""",
+        "dirty_names": f"""WITH {DIRTY} SELECT DISTINCT raw_name AS "EMPLOYER_NAME", nullif({name('nfc_normalize(raw_name)')}, '') AS normalized_name,
+            {company_id(f"nullif({name('nfc_normalize(raw_name)')}, '')")} AS entity_id FROM spoilt""",
+        "dirty_dates": f"""WITH {DIRTY} SELECT raw_day AS "DECISION_DATE", count(*) AS rows, any_value(day) AS day,
+            any_value(CASE WHEN day IS NOT NULL THEN {label(quarter('day'))} END) AS label FROM spoilt GROUP BY raw_day""",
+        "dirty_locations": """SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN upper(n_name) ELSE '' END AS city,
+            coalesce(['NY', 'TX', 'CA', 'GU', 'ELSEWHERE', ''][c_custkey % 7 + 1], '') AS state,
+            CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 6 = 0 THEN (c_custkey % 3000) || 'A'
+              ELSE lpad(CAST(c_custkey % 3000 AS VARCHAR), 5, '0') END AS postal
+            FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+        "dirty_source_profile": f"""WITH {DIRTY} SELECT (SELECT count(*) FROM spoilt) AS source_rows,
+            (SELECT count(*) FROM spoilt WHERE case_key IS NULL) AS missing_case_numbers, count(*) AS unique_cases,
+            (SELECT count(*) FROM ranked WHERE n > 1) AS repeated_case_rows, count(*) FILTER (WHERE in_class) AS h1b_cases,
+            count(*) FILTER (WHERE in_class AND raw_name <> '' AND day IS NOT NULL) AS h1b_cases_with_company_and_date,
+            CAST(coalesce(sum(positions) FILTER (WHERE in_class AND raw_name <> '' AND day IS NOT NULL), 0) AS BIGINT) AS requested_positions
+            FROM newest""",
+        "dirty_release_quality": f"""WITH {DIRTY} SELECT release AS "SOURCE_RELEASE", count(*) AS source_rows,
+            count(*) FILTER (WHERE in_class) AS h1b_rows, count(*) FILTER (WHERE in_class AND day >= DATE '{SINCE}') AS h1b_rows_since_start,
+            count(*) FILTER (WHERE coalesce(raw_day, '') = '') AS missing_decision_date,
+            count(*) FILTER (WHERE raw_day <> '' AND day IS NULL) AS invalid_decision_date,
+            count(*) FILTER (WHERE in_class AND coalesce(raw_day, '') = '') AS h1b_missing_decision_date,
+            count(*) FILTER (WHERE in_class AND coalesce(raw_name, '') = '') AS h1b_missing_employer_name,
+            count(*) FILTER (WHERE in_class AND coalesce(soc, '') = '') AS h1b_missing_soc_code,
+            count(*) FILTER (WHERE coalesce(raw_case, '') = '') AS missing_case_number,
+            count(*) FILTER (WHERE raw_case <> '') - count(DISTINCT raw_case) FILTER (WHERE raw_case <> '') AS duplicate_case_number_rows,
+            count(DISTINCT raw_case) FILTER (WHERE raw_case <> '') AS unique_case_numbers,
+            min(day) AS decision_date_min, max(day) AS decision_date_max FROM spoilt GROUP BY release""",
+        "dirty_missing_keys": f"WITH {DIRTY} SELECT count(*) FILTER (WHERE case_key IS NULL) AS rows_without_case_number FROM spoilt",
+        "dirty_date_checks": f"""WITH {DIRTY} SELECT count(*) AS h1b_unique_cases, min(day) AS decision_date_min, max(day) AS decision_date_max,
+            count(*) FILTER (WHERE day IS NULL) AS missing_or_invalid_decision_dates,
+            count(*) FILTER (WHERE received IS NULL) AS missing_or_invalid_received_dates,
+            count(*) FILTER (WHERE day < received) AS decision_before_received FROM newest WHERE in_class""",
+        "dirty_case_violations": f"""WITH {DIRTY}, found AS (
+              SELECT 'missing_case_number' AS "check" FROM spoilt WHERE case_key IS NULL
+              UNION ALL SELECT 'case_without_company_or_date' FROM newest WHERE in_class AND (day IS NULL OR coalesce(raw_name, '') = ''))
+            SELECT "check", count(*) AS violations FROM found GROUP BY 1""",
+        "dirty_value_maps": f"""WITH {DIRTY}, named AS (
+              SELECT release, CASE WHEN visa <> '' THEN visa ELSE '<missing>' END AS visa, l_linestatus AS status, in_class FROM spoilt)
+            SELECT release AS "SOURCE_RELEASE", 'visa_class_counts' AS "view", visa AS value, count(*) AS rows FROM named GROUP BY ALL
+            UNION ALL SELECT release, 'case_status_counts', status, count(*) FROM named GROUP BY ALL
+            UNION ALL SELECT release, 'h1b_case_status_counts', status, count(*) FROM named WHERE in_class GROUP BY ALL""",
+        "count_mismatches": f"""WITH counts AS (
+              SELECT {label(quarter('l_shipdate'))} AS release, count(*) AS n FROM lineitem GROUP BY 1)
+            SELECT 'row_count_changed' AS "check", release AS key,
+              CASE WHEN release LIKE '%Q4' THEN CAST(n AS VARCHAR) ELSE n || ' vs ' || (n + 1) END AS detail
+            FROM counts WHERE release LIKE '%Q2' OR release LIKE '%Q4'""",
+        "discount_log_odds": """SELECT l_discount, count(*) AS rows,
+            round(ln(greatest(1e-6, least(1 - 1e-6, l_discount)) / (1 - greatest(1e-6, least(1 - 1e-6, l_discount)))), 9) AS log_odds
+            FROM lineitem GROUP BY l_discount""",
         "reliability_bands": f"WITH {BASELINES} " + " UNION ALL ".join(
             f"""SELECT model, '{text}' AS probability_band, count(*) AS rows, round(avg(p), 9) AS mean_probability,
             round(avg(y), 9) AS actual_rate FROM long WHERE {test} GROUP BY model"""

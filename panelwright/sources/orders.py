@@ -153,3 +153,51 @@ def keys_only(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
             release_of(F.col("l_shipdate").cast("date")).alias("SOURCE_RELEASE"),
         ),
     )
+
+
+def dirty_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The line cases as landed text with the faults that real landings have, spread by part key: blank and
+    padded case numbers, dates that are empty, wrong or have a time, names with legal suffixes, accents
+    and doubled blanks, missing codes."""
+    part = F.col("SOURCE_ROW_NUMBER.l_partkey")
+
+    def pick(modulus: int, choices: dict[int, Column], otherwise: Column) -> Column:
+        chosen = otherwise
+        for remainder, value in reversed(choices.items()):
+            chosen = F.when(part % modulus == remainder, value).otherwise(chosen)
+        return chosen
+
+    key, name, none = F.col("CASE_NUMBER"), F.col("EMPLOYER_NAME"), F.lit(None).cast("string")
+    day = F.col("DECISION_DATE").cast("string")
+    return line_cases(spark, folder, names=True, received=True).withColumns(
+        {
+            "CASE_NUMBER": pick(11, {0: F.lit(""), 1: none, 2: F.lit("  "), 3: F.concat(F.lit(" "), key, F.lit("\t"))}, key),
+            "DECISION_DATE": pick(
+                9, {0: F.lit("no date"), 1: F.lit(""), 2: none, 3: F.concat(day, F.lit("T08:30:00")), 4: F.lit("2023-02-30")}, day
+            ),
+            "RECEIVED_DATE": F.col("RECEIVED_DATE").cast("string"),
+            "EMPLOYER_NAME": pick(
+                8,
+                {
+                    0: F.lit(""), 1: F.concat(name, F.lit(", Inc.")), 2: F.concat(name, F.lit("  l.l.c. ")),
+                    3: F.concat(name, F.lit(" Cafe\u0301")), 4: F.concat(name, F.lit(",Ltd")), 5: none,
+                },
+                name,
+            ),
+            "SOC_CODE": pick(7, {0: none, 1: F.lit("")}, F.concat(F.lit("15-"), part.cast("string"))),
+            "VISA_CLASS": pick(10, {0: F.concat(F.lit(" "), F.lower("VISA_CLASS")), 1: F.lit("")}, F.col("VISA_CLASS")),
+        }
+    )
+
+
+def dirty_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers at places written the way people write them: state names, codes, blanks, short postals."""
+    nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
+    key = F.col("c_custkey")
+    states = F.array(*[F.lit(text) for text in (" new york", "Texas ", "ca", "Guam", "Elsewhere", "")])
+    return table(spark, folder, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey",
+        F.when(key % 5 > 0, F.concat(F.lit(" "), F.lower("n_name"))).alias("city"),
+        F.get(states, (key % 7).cast("int")).alias("state"),
+        F.when(key % 4 > 0, F.concat((key % 3000).cast("string"), F.when(key % 6 == 0, F.lit("a")).otherwise(F.lit(" ")))).alias("postal"),
+    )
