@@ -21,6 +21,7 @@ from panelwright.functions.numeric import log_odds
 from panelwright.operators.evaluate import log_loss, rolling_split
 from panelwright.operators.features import FEATURES
 from panelwright.operators.quality import enforce_splits
+from panelwright.session import shared_dir
 
 SEED = 42
 LABEL = "target_active"
@@ -133,14 +134,14 @@ def fit_monotone(training: DataFrame, settings: dict, origin: int) -> PipelineMo
     earlier. The trees kept are fitted on all training rows."""
     assemble = level_features()
     rows = assemble.transform(training)
-    trees = boosting(settings).fit(rows)
     earlier, later = rows.where(F.col("target_quarter") <= origin - 2), rows.where(F.col("target_quarter") > origin - 2)
     outcomes = earlier.agg(F.min(LABEL).alias("low"), F.max(LABEL).alias("high")).first()
-    split = outcomes["low"] is not None and outcomes["low"] != outcomes["high"]
-    unseen = boosting(settings).fit(earlier) if split else trees
+    if outcomes["low"] is None or outcomes["low"] == outcomes["high"]:
+        raise ValueError(f"Outcomes up to {number_label(origin - 2)} have a single class; the trends cannot be fitted on unseen rows")
+    trees, unseen = boosting(settings).fit(rows), boosting(settings).fit(earlier)
     margin = VectorSlicer(inputCol="level_margins", outputCol="margin", indices=[1])
     trends = _assembler(["margin", *TRENDS], "trend_features")
-    seen = trends.transform(margin.transform(unseen.transform(later if split else rows)))
+    seen = trends.transform(margin.transform(unseen.transform(later)))
     line = trend_line().fit(seen)
     return PipelineModel(stages=[assemble, trees, margin, trends, line])
 
@@ -252,6 +253,7 @@ def choose_calibration(examples: DataFrame, parameters: dict[str, dict], plan: d
 def train(examples: DataFrame, last: int, candidates: dict[str, list[dict]] | None = None, version: str = "") -> tuple[Selection, dict[str, PipelineModel]]:
     """Search, calibrate and fit through the last quarter; pass a stored examples table."""
     candidates = candidates or CANDIDATES
+    shared_dir(examples.sparkSession)  # boosting cuts its lineage there
     plan = time_plan(last)
     origins = [*plan["tuning_origins"], plan["calibration_origin"], plan["selection_origin"]]
     enforce_splits(examples, origins, FEATURES)

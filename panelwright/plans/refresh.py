@@ -1,10 +1,12 @@
 """Landed releases to panel, examples and models; each step is skipped while its inputs stand."""
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.calendar import label_number, number_label, quarter_label, quarter_number
-from panelwright.operators import cumulative, features, links, model, panel, profile, quality, versions
+from panelwright.operators import backtest, cumulative, evaluate, features, links, model, panel, profile, quality, versions
 from panelwright.session import cut_lineage
 from panelwright.sources import ledger as store
 from panelwright.sources import releases as landed
@@ -122,8 +124,13 @@ def receipt_panel(spark: SparkSession, root: str) -> DataFrame:
     return with_quarter(store.write_output(built, root, "receipt_panel", version, keys, matches_source))
 
 
+def model_version(spark: SparkSession, root: str) -> str:
+    """Version of examples and models: the stored releases and the list of features."""
+    return f"{store.input_version(spark, root)}-{hashlib.sha256(','.join(features.FEATURES).encode()).hexdigest()[:12]}"
+
+
 def examples(spark: SparkSession, root: str) -> DataFrame:
-    version = store.input_version(spark, root)
+    version = model_version(spark, root)
     if store.is_current(spark, root, "examples", version):
         return store.read_output(spark, root, "examples")
     built = receipt_panel(spark, root)
@@ -178,7 +185,7 @@ def write_profile(spark: SparkSession, root: str, folder: str) -> None:
 
 def train(spark: SparkSession, root: str, candidates: dict | None = None) -> model.Selection:
     """Models for the stored inputs, published with the version they were trained on."""
-    version = store.input_version(spark, root)
+    version = model_version(spark, root)
     if store.is_current(spark, root, "models", version):
         return model.load(spark, store.output_path(spark, root, "models")[0])[0]
     _, last = release_window(spark, root)
@@ -191,12 +198,34 @@ def train(spark: SparkSession, root: str, candidates: dict | None = None) -> mod
 
 def _current_models(spark: SparkSession, root: str):
     path, version = store.output_path(spark, root, "models")
-    current = store.input_version(spark, root)
+    current = model_version(spark, root)
     if version != current or not store.is_current(spark, root, "examples", current):
         raise ValueError("Stored data changed since training; rebuild inputs and retrain")
     return model.load(spark, path)
 
 
+def backtest_models(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The backtest of the current models, published with their version: predictions, metrics, reliability, and
+    the audit of the saved trends, which raises if one moves a probability the wrong way."""
+    selection, fitted = _current_models(spark, root)
+    rows, version = store.read_output(spark, root, "examples"), selection.version
+    methods = [*selection.parameters, *evaluate.BASELINES]
+    found = store.write_output(backtest.backtest(rows, selection), root, "backtest_predictions", version)
+    long = evaluate.by_model(found.select("target_active", *methods), methods)
+
+    def holds(audit: DataFrame) -> None:
+        wrong = audit.where("violations > 0 or comparisons = 0")
+        quality.enforce(wrong.select(F.lit("trend_violated").alias("check"), F.col("feature").alias("key"), F.col("violations").cast("string").alias("detail")))
+
+    audit = backtest.monotonicity_audit(fitted["boosted"], rows.where(F.col("origin") == selection.trained_through).where("horizon = 1"), selection)
+    return {
+        "predictions": found,
+        "metrics": store.write_output(backtest.backtest_metrics(found, methods), root, "backtest_metrics", version),
+        "reliability": store.write_output(evaluate.reliability(long, by=["model"]), root, "backtest_reliability", version),
+        "trends": store.write_output(audit, root, "trend_audit", version, check=holds),
+    }
+
+
 def predictions(spark: SparkSession, root: str, method: str = "boosted") -> DataFrame:
     """Next-quarter probabilities of all companies with enough history."""
     selection, fitted = _current_models(spark, root)

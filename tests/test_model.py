@@ -55,6 +55,13 @@ def test_trends_only_move_the_probability_their_way(spark):
     assert spread > 0.2
 
 
+def test_trends_are_never_fitted_on_rows_the_trees_saw(spark):
+    rows = [(f"r{i}", 10 + i % 4, float(i % 4 == 3 and i % 8 > 3), *[1.0] * len(FEATURES)) for i in range(80)]
+    schema = "EMPLOYER_ID string, target_quarter int, target_active double, " + ", ".join(f"{n} float" for n in FEATURES)
+    with pytest.raises(ValueError, match="single class"):
+        model.fit("boosted", {"trees": 2, "depth": 2, "rate": 0.1}, spark.createDataFrame(rows, schema), 13)
+
+
 def test_calibration_is_a_penalised_line_over_log_odds(spark):
     import numpy as np
 
@@ -90,7 +97,7 @@ def test_landed_quarters_to_models_and_forecast(spark, tmp_path):
 
     examples = store.read_output(spark, root, "examples")
     selection = refresh.train(spark, root, SMALL)  # current, so loaded and not fitted again
-    assert selection.trained_through == last and selection.version == store.input_version(spark, root)
+    assert selection.trained_through == last and selection.version == refresh.model_version(spark, root)
     assert selection.training_rows == examples.where("target_active is not null").count()
     assert store.output_ledger(spark, root).where("name = 'models'").first()["seq"] < 99
 
@@ -101,10 +108,12 @@ def test_landed_quarters_to_models_and_forecast(spark, tmp_path):
     with pytest.raises(ValueError, match="No H-1B"):
         refresh.predict_company(spark, root, "missing")
 
-    tested = backtest.backtest(examples, selection).persist()
-    assert tested.count() == 24 and {r["target_quarter"] for r in tested.collect()} == {last - 1, last}
-    methods = [*selection.parameters, "global_rate", "company_rate", "recent_rate"]
-    assert backtest.backtest_metrics(tested, methods).count() == 15
+    tested = refresh.backtest_models(spark, root)
+    found = tested["predictions"].collect()
+    assert len(found) == 24 and {r["target_quarter"] for r in found} == {last - 1, last}
+    assert tested["metrics"].count() == 15 and tested["reliability"].select("model").distinct().count() == 5
+    assert {r["feature"] for r in tested["trends"].collect()} == set(model.TRENDS)
+    assert store.is_current(spark, root, "trend_audit", selection.version)
 
     profiles = refresh.company_profile(spark, root) | refresh.source_profile(spark, root)
     assert profiles["summary"].first()["companies"] == 12
