@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.calendar import label_number, number_label, quarter_label, quarter_number
 from panelwright.operators import backtest, cumulative, evaluate, features, links, model, panel, profile, quality, versions
-from panelwright.session import cut_lineage
+from panelwright.session import clear_scratch, cut_lineage
 from panelwright.sources import ledger as store
 from panelwright.sources import releases as landed
 
@@ -252,4 +252,5 @@ def refresh(
     audit(spark, root)
     train(spark, root, candidates)
     last = release_window(spark, root)[1]
+    clear_scratch(spark)  # everything that stays is published
     return {"trained_through": number_label(last), "target_quarter": number_label(last + 1)}

@@ -1,6 +1,5 @@
 """Session helpers. On a cluster the session is given; these only fill what is unset."""
 
-import atexit
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,21 +41,29 @@ def shared_dir(spark: SparkSession) -> str:
 _scratch: dict[str, str] = {}
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """This application's own folder for intermediate tables, deleted when the application ends."""
+    """This application's own folder for intermediate tables, deleted when the application's JVM ends."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
-        _scratch[app] = f"{shared_dir(spark).rstrip('/')}/tables/{app}"
-        atexit.register(clear_scratch, spark)
+        folder = f"{shared_dir(spark).rstrip('/')}/tables/{app}"
+        path, system = _file_system(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _scratch[app] = folder
     return _scratch[app]
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables written so far; frames read from them must not be used afterwards."""
-    folder = _scratch.pop(spark.sparkContext.applicationId, None) if spark.sparkContext._jsc is not None else None
+    folder = _scratch.pop(spark.sparkContext.applicationId, None)
     if folder is not None:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = _file_system(spark, folder)
+        system.delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from panelwright.plans import refresh
+from panelwright.session import clear_scratch, cut_lineage, scratch_dir
 from panelwright.sources import ledger as store
 from panelwright.sources import releases
 from panelwright.sources.schema import MAIN_COLUMNS, PROVENANCE, SPECS, WORKSITE_COLUMNS, validate_headers
@@ -222,6 +225,15 @@ def test_an_output_is_published_only_after_its_check(spark, tmp_path):
     assert store.read_output(spark, root, "t").count() == 5
 
 
+def test_intermediate_tables_are_deleted(spark):
+    table = cut_lineage(spark.range(5))
+    folder = Path(scratch_dir(spark).removeprefix("file:"))
+    assert table.count() == 5 and list(folder.iterdir())
+    clear_scratch(spark)
+    assert not folder.exists()
+    assert cut_lineage(spark.range(2)).count() == 2
+
+
 def test_text_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.005, 2), ("b", None, 3)], "k string, v double, n int")
     store.write_csv(df, str(tmp_path / "csv"), 2)
