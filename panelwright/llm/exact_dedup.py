@@ -76,7 +76,7 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """doc_id with digest, length and second hash of each whole text, as a stored table."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     return cut_lineage(docs.select(
-        F.col(id_column).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"),
+        F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"),
         F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("second"),
     ))
 

@@ -174,7 +174,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_key for every row of `docs`."""
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     texts = texts.withColumn("text_key", F.xxhash64("text"))
     sketches = cut_lineage(
         map_rows(texts, _sketch, "doc_id long, text_key long, n int, digest binary, bands array<long>, profile array<long>, over int")
