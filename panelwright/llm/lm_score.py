@@ -62,8 +62,8 @@ def count_tables(texts: DataFrame) -> DataFrame:
         of_end = four.groupBy(ends.bitwiseAND(F.lit(shorter)).alias("by_end")).agg(F.sum("c4").alias(f"c{order - 1}"))
         table = table.join(of_context, context.bitwiseAND(F.lit(mask >> 8)) == F.col("by_context")).drop("by_context")
         table = table.join(of_end, ends.bitwiseAND(F.lit(shorter)) == F.col("by_end")).drop("by_end")
-    total = four.agg(F.sum("c4").alias("x1"))  # one row
-    return cut_lineage(table.crossJoin(F.broadcast(total)))
+    total = four.agg(F.coalesce(F.sum("c4"), F.lit(0))).scalar()
+    return cut_lineage(table.withColumn("x1", total))
 
 
 def log_score(own: str = "own"):
