@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from itertools import takewhile
 
 import numpy as np
+import pyarrow as pa
 
 from panelwright.llm import exact_dedup, near_dup, repeats
 from panelwright.llm.words import hashed_words, sequences
@@ -148,6 +150,21 @@ def test_repeated_passages_equal_brute_force(spark):
     assert {19, 20, 21} <= {doc for doc, _ in found}
 
 
+def test_neighbours_in_order_have_the_longest_agreement():
+    draw = random.Random(21)
+    for _ in range(60):
+        rows = sorted(
+            (draw.randrange(3), [draw.randrange(2) for _ in range(draw.randrange(repeats.REACH + 1))], draw.randrange(4))
+            for _ in range(draw.randrange(1, 40))
+        )
+        lists = pa.array([words for _, words, _ in rows], pa.list_(pa.int64()))
+        key, doc = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+        best = repeats._best_agreement(key, doc, repeats._matrix(lists))
+        for (k, words, d), found in zip(rows, best, strict=True):
+            shared = [len(list(takewhile(lambda x: x[0] == x[1], zip(words, w, strict=False)))) for j, w, e in rows if j == k and e != d]
+            assert found == max(shared, default=0)
+
+
 def test_empty_tables(spark):
     docs = corpus.documents(spark, [])
     for result in (
