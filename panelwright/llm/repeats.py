@@ -23,6 +23,7 @@ not read. Only documents with a run are returned.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from panelwright.session import cut_lineage
 GRAM, WINDOW, PREFIX = 7, 16, 35  # words; PREFIX is a multiple of GRAM, WINDOW a power of two
 PASSAGE = PREFIX + WINDOW - 1
 REACH = WINDOW - 1
-SMALL = 500_000  # rows of 16 bytes that may be broadcast
+SMALL = 2_000_000  # places, of at most 16 bytes each, that may be broadcast
 
 
 def retained(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,27 +106,40 @@ def matching_suffixes(suffixes: DataFrame) -> DataFrame:
     return found.where("state = 1").select(*order).union(open_rows.select(*order))
 
 
+def _lists(values: np.ndarray, keep: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as lists of their kept cells, which come first."""
+    offsets = np.concatenate(([0], np.cumsum(keep.sum(axis=1))))
+    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(values[keep]))
+
+
 def _surroundings(batch: pa.RecordBatch):
     """For each asked place: word hashes before it and after its PREFIX words, nearest first, and where they start and end."""
-    texts, docs, asked = encoded(batch["text"]), batch["doc"], batch["places"].to_pylist()
+    texts, docs = encoded(batch["text"]), batch["doc"].to_numpy()
+    asked, ends_of = batch["places"].flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(batch["places"]).to_numpy())
+    steps = np.arange(REACH + 1)
     for a, b in slices(texts):
         hashes, starts, ends, first = hashed_words(texts[a:b])
-        begin = np.cumsum([0] + [len(text) + 1 for text in texts[a:b]])
-        rows: dict[str, list] = {name: [] for name in ("doc", "place", "before", "after", "starts", "stops")}
         words = hashes.view(np.int64)
-        for i in range(a, b):
-            text, low, high = texts[i], first[i - a], first[i - a + 1]
-            points = np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)  # code points up to each byte
-            for place in asked[i]:
-                at, last = low + place, low + place + PREFIX
-                left, right = max(low, at - REACH), min(high, last + REACH)
-                rows["doc"].append(docs[i])
-                rows["place"].append(place)
-                rows["before"].append(words[left:at][::-1])
-                rows["after"].append(words[last:right])
-                rows["starts"].append(points[starts[left : at + 1][::-1] - begin[i - a]] - 1)
-                rows["stops"].append(points[ends[last - 1 : right] - begin[i - a] - 1])
-        yield rows
+        joined = np.frombuffer(b"\n".join(texts[a:b]) + b"\n", dtype=np.uint8)
+        points = np.concatenate(([0], np.cumsum((joined & 0xC0) != 0x80)))  # code points before each byte
+        begin = points[np.cumsum([0] + [len(text) + 1 for text in texts[a:b]])]
+        from_row, to_row = (ends_of[a - 1] if a else 0), ends_of[b - 1]
+        counts = np.diff(np.concatenate(([from_row], ends_of[a:b])))
+        owner, place = np.repeat(np.arange(b - a), counts), asked[from_row:to_row]
+        for at in range(0, len(place), 20_000):
+            own, here = owner[at : at + 20_000], place[at : at + 20_000]
+            low, high = first[own][:, None], first[own + 1][:, None]
+            left = (first[own] + here)[:, None] - steps  # the place itself, then the words before it
+            right = (first[own] + here + PREFIX - 1)[:, None] + steps  # its last word, then the words after it
+            in_left, in_right = left >= low, right < high
+            left, right = np.maximum(left, 0), np.minimum(right, len(words) - 1)
+            offset = begin[own][:, None]
+            yield {
+                "doc": docs[a:b][own], "place": here,
+                "before": _lists(words[left[:, 1:]], in_left[:, 1:]), "after": _lists(words[right[:, 1:]], in_right[:, 1:]),
+                "starts": _lists((points[starts[left]] - offset).astype(np.int32), in_left),
+                "stops": _lists((points[ends[right]] - offset).astype(np.int32), in_right),
+            }
 
 
 def _agreement(side: str):
@@ -136,47 +150,49 @@ def _agreement(side: str):
         tables = [pa.Table.from_batches([batch]) for batch in batches if batch.num_rows]
         if not tables:
             return
-        rows = pa.concat_tables(tables).to_pylist()
-        size = len(rows)
-        best, number = [0] * size, TaskContext.get().partitionId()
-
-        def sweep(order):
-            last, other, common = None, None, 0  # the nearest row of another document and the agreement with it
-            for i in order:
-                row = rows[i]
-                if last is None or last["key"] != row["key"]:
-                    other = None
-                else:
-                    with_last = agreeing(last[side], row[side])
-                    if last["doc"] != row["doc"]:
-                        other, common = last, with_last
-                    else:
-                        common = min(common, with_last)
-                if other is not None:
-                    best[i] = max(best[i], common)
-                last = row
-
-        sweep(range(size))
-        sweep(range(size - 1, -1, -1))
-        out = [(row["key"], row["doc"], row["place"], agree, -1, -1, None) for row, agree in zip(rows, best, strict=True)]
-        for edge, row in ((0, rows[0]), (1, rows[-1])):
-            out.append((row["key"], row["doc"], row["place"], 0, number, edge, row[side]))
-        names = ("key", "doc", "place", "agree", "part", "edge", "words")
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-        for at in range(0, len(out), 10_000):
-            columns = zip(*out[at : at + 10_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=list(names))
+        table = pa.concat_tables(tables).combine_chunks()
+        key, doc, place = (table[name].to_numpy() for name in ("key", "doc", "place"))
+        best = _best_agreement(key, doc, _matrix(table[side].combine_chunks()))
+        size, number = len(key), TaskContext.get().partitionId()
+        edge = table.take([0, size - 1])
+        out = {
+            "key": np.append(key, edge["key"]), "doc": np.append(doc, edge["doc"]), "place": np.append(place, edge["place"]),
+            "agree": np.append(best, [0, 0]), "part": np.append(np.full(size, -1), [number, number]),
+            "edge": np.append(np.full(size, -1), [0, 1]), "words": pa.array([None] * size + edge[side].to_pylist(), pa.list_(pa.int64())),
+        }
+        kinds = {"key": pa.int64(), "doc": pa.int64(), "words": pa.list_(pa.int64())}
+        columns = {n: c if isinstance(c, pa.Array) else pa.array(c, kinds.get(n, pa.int32())) for n, c in out.items()}
+        yield from pa.table(columns).to_batches(10_000)
 
     return run
 
 
-def agreeing(a: list[int], b: list[int]) -> int:
-    count = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        count += 1
-    return count
+def _matrix(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as rows of a matrix of REACH columns, and their lengths."""
+    lengths = np.diff(lists.offsets.to_numpy())
+    values = np.zeros((len(lists), REACH), dtype=np.int64)
+    values[np.arange(REACH) < lengths[:, None]] = lists.flatten().to_numpy()
+    return values, lengths
+
+
+def _best_agreement(key: np.ndarray, doc: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each row of a sorted partition the leading words it shares with a row of its key in another document: the
+    nearest such row above or below, since rows between two others share at least as much with either."""
+    values, lengths = words
+    shared = (np.cumprod(values[1:] == values[:-1], axis=1)).sum(axis=1)
+    shared = np.minimum(shared, np.minimum(lengths[1:], lengths[:-1]))
+    shared = np.where(key[1:] == key[:-1], shared, -1)  # -1: another key
+    best = np.zeros(len(key), dtype=np.int64)
+    for backwards in (False, True):
+        step, other = (shared[::-1], doc[::-1]) if backwards else (shared, doc)
+        common = np.full(len(key), -1, dtype=np.int64)
+        common[1:] = step
+        same = np.zeros(len(key), dtype=bool)
+        same[1:] = (other[1:] == other[:-1]) & (step >= 0)
+        for i in np.flatnonzero(same):  # within a document's block: what its predecessor shares, or less
+            common[i] = min(common[i], common[i - 1])
+        best = np.maximum(best, common[::-1] if backwards else common)
+    return best
 
 
 def _extension(around: DataFrame, side: str) -> DataFrame:
@@ -211,7 +227,7 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     numbered = matched.withColumn("run", F.sum(apart.cast("int")).over(by_place))
     ends = F.struct("place", "key")
     runs = cut_lineage(numbered.groupBy("doc", "run").agg(F.min(ends).alias("left"), F.max(ends).alias("right")))
-    end_keys = runs.select(F.col("left.key").alias("key")).union(runs.select(F.col("right.key").alias("key"))).distinct()
+    end_keys = cut_lineage(runs.select(F.col("left.key").alias("key")).union(runs.select(F.col("right.key").alias("key"))).distinct())
     wanted = cut_lineage(matched.join(end_keys, "key"))
 
     places = cut_lineage(wanted.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places")))  # of one document

@@ -111,8 +111,10 @@ def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 for columns in function(batch):
+                    made = (columns[field.name] for field in arrow)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(columns[field.name], type=field.type) for field in arrow], schema=arrow
+                        [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(made, arrow, strict=True)],
+                        schema=arrow,
                     )
 
     return df.mapInArrow(run, struct)
