@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from panelwright.llm.words import map_rows
 
 STATES = 250_000  # remembered states of the transducer
-PIECES = 400_000  # remembered pieces of text
+PIECES = 300_000  # remembered pieces of text
+NODE_BITS, TOKEN_BITS = 28, 24  # room for nodes of the prefix tree and for tokens
+NODE, TOKEN = (1 << NODE_BITS) - 1, (1 << TOKEN_BITS) - 1
 LOOKAHEAD = 4_096  # bytes after which tokens leave that are settled; far above the longest token
 DECODE_BLOCK = 8_192  # tokens decoded at a time
 
@@ -82,10 +84,12 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        start = ((-1, 0),)
+        # A configuration is one number, token + 1 over NODE_BITS bits of node, and so is a move: state over
+        # TOKEN_BITS bits of token. States in moves are already shifted by a byte.
+        start = (0,)
         self.numbers: dict[tuple, int] = {start: 0}
         self.states: list[tuple] = [start]
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves: dict[int, int] = {}
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; itself twice for a byte, None if merging never makes it."""
@@ -104,7 +108,7 @@ class Transducer:
         key = last << 32 | token
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= 4 * STATES:
+            if len(self.pairs) >= 2 * STATES:
                 self.pairs.clear()
             known = self.pairs[key] = self._apart(last, token)
         return known
@@ -125,26 +129,26 @@ class Transducer:
             else:
                 return True
 
-    def _step(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state and the token that the encoding of all bytes so far ends with."""
+    def _step(self, state: int, byte: int) -> int:
+        """The next state, with the token that the encoding of all bytes so far ends with."""
         live, finished = [], -1
         children, ends, inner = self.children, self.ends, self.inner
-        for last, node in self.states[state >> 8]:
-            after = children.get(node << 8 | byte)
+        for configuration in self.states[state >> 8]:
+            after = children.get((configuration & NODE) << 8 | byte)
             if after is None:
                 continue
             token = ends[after]
-            if token >= 0 and finished < 0 and self._follows(last, token):
+            if token >= 0 and finished < 0 and self._follows((configuration >> NODE_BITS) - 1, token):
                 finished = token
             if inner[after]:
-                live.append((last, after))
-        live.append((finished, 0))
+                live.append(configuration & ~NODE | after)
+        live.append(finished + 1 << NODE_BITS)
         key = tuple(live)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states) << 8
             self.states.append(key)
-        move = self.moves[state | byte] = (number, finished)
+        move = self.moves[state | byte] = number << TOKEN_BITS | finished
         return move
 
     def _emit(self, last: list[int], end: int) -> list[int]:
@@ -158,8 +162,8 @@ class Transducer:
     def _settled(self, last: list[int], state: int) -> int:
         """The latest place that the encodings of all live configurations pass through."""
         paths = []
-        for _, node in self.states[state >> 8]:
-            at, path = len(last) - 1 - self.depth[node], set()
+        for configuration in self.states[state >> 8]:
+            at, path = len(last) - 1 - self.depth[configuration & NODE], set()
             while at > 0:
                 path.add(at)
                 at -= self.lengths[last[at]]
@@ -177,12 +181,18 @@ class Transducer:
         get, append = self.moves.get, last.append
         if len(piece) <= LOOKAHEAD:
             for byte in piece:
-                state, token = get(state | byte) or self._step(state, byte)
-                append(token)
+                move = get(state | byte)
+                if move is None:
+                    move = self._step(state, byte)
+                state = move >> TOKEN_BITS
+                append(move & TOKEN)
             return self._emit(last, len(piece))
         for byte in piece:
-            state, token = get(state | byte) or self._step(state, byte)
-            last.append(token)
+            move = get(state | byte)
+            if move is None:
+                move = self._step(state, byte)
+            state = move >> TOKEN_BITS
+            last.append(move & TOKEN)
             if len(last) % LOOKAHEAD == 0:
                 cut = self._settled(last, state)
                 out += self._emit(last, cut)
