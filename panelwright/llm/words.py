@@ -9,7 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 WINDOW = 1 << 20  # bytes hashed at a time; a longer word widens its window
-SLICE = 4 << 20  # bytes of text whose words are held at a time, one document at least
+SLICE = 2 << 20  # bytes of text whose words are held at a time, one document at least
 SPACES = bytes([9, 10, 11, 12, 13, 32])
 
 _RNG = np.random.default_rng(20240229)
