@@ -12,6 +12,11 @@ of 0.4 for every order given up. A byte seen nowhere else scores 1 / (number of
 The corpus grows, the table of 4-grams much less; it is broadcast only if it has at most BROADCAST rows,
 else the join shuffles on the n-gram, with partial sums after it.
 
+`score_words` does the same with words and orders 1 to 3, for the order of words. Its tables grow with the corpus, so nothing is
+broadcast by force: trigrams are counted per slice of texts before they move, get the counts of their shorter orders by
+joins, and are joined by hash to the trigrams of every document. There the document's own occurrences are taken away
+from every order and context, so a sequence that only this document repeats counts as unknown.
+
 Defined cases: null text is empty, has no tokens and no mean; rows that repeat are scored one by one and all
 count; an empty table gives an empty result; extra columns are not read.
 """
@@ -21,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.words import encoded, map_rows, slices
+from panelwright.llm.words import MULTIPLIERS, encoded, hashed_words, map_rows, mixed, slices
 from panelwright.session import cut_lineage
 
 ORDER = 4
+WORD_ORDER = 3
 BACKOFF = 0.4
 BROADCAST = 1_000_000  # rows of 60 bytes
 
@@ -94,3 +100,79 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         "row.doc_id", F.col("n").alias("n_tokens"), F.round("sum", 3).alias("log_score"),
         F.when(F.col("n") > 0, F.round(F.col("sum") / F.col("n"), 6)).alias("mean_log_score"),
     )
+
+
+def _word_grams(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Text number of every word, and the hashes of the two words before it and its own; texts start after two zeros."""
+    hashes, _, _, first = hashed_words(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    at = np.arange(len(hashes)) - first[owner]
+    one, two = (np.where(at >= back, np.roll(hashes, back), np.uint64(0)) for back in (1, 2))
+    return owner, two, one, hashes
+
+
+def _combined(*columns: np.ndarray) -> np.ndarray:
+    total = np.full(len(columns[0]), len(columns), dtype=np.uint64)
+    for column, multiplier in zip(columns, MULTIPLIERS, strict=False):
+        total = mixed(total + column.astype(np.uint64) * multiplier)
+    return total
+
+
+def _counted_words(batch: pa.RecordBatch):
+    texts = encoded(batch["text"])
+    for a, b in slices(texts):
+        _, *words = _word_grams(texts[a:b])
+        _, index, counts = np.unique(_combined(*words), return_index=True, return_counts=True)
+        yield {f"w{i}": word[index].view(np.int64) for i, word in enumerate(words, 1)} | {"n": counts}
+
+
+def _own_words(batch: pa.RecordBatch):
+    """The distinct trigrams of every document with its own counts: k3 to k1 of the n-grams, o3 to o1 of their contexts."""
+    texts = encoded(batch["text"])
+    for a, b in slices(texts):
+        owner, w1, w2, w3 = _word_grams(texts[a:b])
+        _, index, counts = np.unique(_combined(owner, w1, w2, w3), return_index=True, return_counts=True)
+        rows = {"row": batch["row"].slice(a, b - a).take(pa.array(owner[index])), "k3": counts}
+        rows |= {f"w{i}": word[index].view(np.int64) for i, word in enumerate((w1, w2, w3), 1)}
+        for name, part in {"k2": (w2, w3), "k1": (w3,), "o3": (w1, w2), "o2": (w2,), "o1": ()}.items():
+            _, inverse, counts = np.unique(_combined(owner, *part), return_inverse=True, return_counts=True)
+            rows[name] = counts[inverse[index]]
+        yield rows
+
+
+def word_count_tables(texts: DataFrame) -> DataFrame:
+    """A row per trigram of the corpus with c3..c1, its context counts x3 and x2, and the corpus size x1."""
+    counted = map_rows(texts.select("text"), _counted_words, "w1 long, w2 long, w3 long, n long")
+    three = cut_lineage(counted.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("c3")))
+    contexts = three.groupBy("w1", "w2").agg(F.sum("c3").alias("x3"))
+    two = cut_lineage(three.groupBy("w2", "w3").agg(F.sum("c3").alias("c2")))
+    middles, ends = (two.groupBy(word).agg(F.sum("c2").alias(name)) for word, name in (("w2", "x2"), ("w3", "c1")))
+    total = two.agg(F.coalesce(F.sum("c2"), F.lit(0))).scalar()
+    lower = two.join(middles, "w2").join(ends, "w3")
+    return three.join(contexts, ["w1", "w2"]).join(lower, ["w2", "w3"]).withColumn("x1", total)
+
+
+def word_log_score():
+    """Natural logarithm of the stupid-backoff score of one occurrence, against all other documents."""
+    result = F.log(1 / (F.col("x1") + 1.0))
+    for order in range(1, WORD_ORDER + 1):
+        left, context = (F.col(f"{c}{order}") - F.col(f"{k}{order}") for c, k in (("c", "k"), ("x", "o")))
+        result = F.when(left > 0, F.log(left / context) + float(np.log(BACKOFF)) * (WORD_ORDER - order)).otherwise(result)
+    return result
+
+
+def score_words(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_tokens (words), log_score (the sum) and mean_log_score for every row of `docs`."""
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    texts = rows.select(F.struct("doc_id", F.monotonically_increasing_id().alias("at")).alias("row"), "text")
+    own = map_rows(
+        texts, _own_words,
+        "row struct<doc_id:long,at:long>, w1 long, w2 long, w3 long, k3 int, k2 int, k1 int, o3 int, o2 int, o1 int",
+    )
+    joined = own.join(word_count_tables(rows), ["w1", "w2", "w3"])
+    sums = joined.groupBy("row").agg(F.sum("k3").alias("n"), F.sum(F.col("k3") * word_log_score()).alias("sum"))
+    wordless = rows.where(~F.col("text").rlike(r"[^\x09-\x0D\x20]")).select("doc_id", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sum"))
+    return sums.select("row.doc_id", "n", "sum").union(wordless).select(
+        "doc_id", F.col("n").alias("n_tokens"), F.round("sum", 3).alias("log_score"),
+        F.when(F.col("n") > 0, F.round(F.col("sum") / F.col("n"), 6)).alias("mean_log_score"),
+    )

@@ -45,6 +45,10 @@ def op8_lm_score(spark, folder):
     return lm_score.score(_table(spark, folder, "documents"))
 
 
+def op8_word_lm_score(spark, folder):
+    return lm_score.score_words(_table(spark, folder, "documents"))
+
+
 def op9_exact_dedup(spark, folder):
     return exact_dedup.exact_groups(_table(spark, folder, "documents")).drop("ties")
 
@@ -63,12 +67,13 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_minhash_near_dup, op3_suffix_repeats, op4_decontamination, op5_byte_bpe, op6_secret_scan,
-        op7_quality, op8_lm_score, op9_exact_dedup, op10_toxicity, pipeline,
+        op7_quality, op8_lm_score, op8_word_lm_score, op9_exact_dedup, op10_toxicity, pipeline,
     )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS4 = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_WORDS8 = f"regexp_extract_all({_LOWER}, '[^\\x09-\\x0D\\x20]+')"
 
 ORACLE: dict[str, str] = {
     "op4_decontamination": f"""
@@ -112,6 +117,29 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, round(coalesce(score, 0), 3) AS log_score,
             CASE WHEN n > 0 THEN round(score / n, 6) END AS mean_log_score
         FROM d LEFT JOIN s USING (r)""",
+    "op8_word_lm_score": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS8} AS w FROM documents),
+        p AS (
+            SELECT r, l[i] AS w1, l[i + 1] AS w2, l[i + 2] AS w3
+            FROM (SELECT r, list_concat(['', ''], w) AS l, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        own AS (SELECT r, w1, w2, w3, count(*) AS k3 FROM p GROUP BY r, w1, w2, w3),
+        t AS (
+            SELECT r, k3, sum(k3) OVER (PARTITION BY r, w2, w3) AS k2, sum(k3) OVER (PARTITION BY r, w3) AS k1,
+                sum(k3) OVER (PARTITION BY r, w1, w2) AS o3, sum(k3) OVER (PARTITION BY r, w2) AS o2, sum(k3) OVER (PARTITION BY r) AS o1,
+                sum(k3) OVER (PARTITION BY w1, w2, w3) AS c3, sum(k3) OVER (PARTITION BY w2, w3) AS c2,
+                sum(k3) OVER (PARTITION BY w3) AS c1, sum(k3) OVER (PARTITION BY w1, w2) AS x3,
+                sum(k3) OVER (PARTITION BY w2) AS x2, sum(k3) OVER () AS x1
+            FROM own),
+        s AS (
+            SELECT r, sum(k3) AS n, sum(k3 * CASE
+                WHEN c3 > k3 THEN ln((c3 - k3) / (x3 - o3))
+                WHEN c2 > k2 THEN ln((c2 - k2) / (x2 - o2)) + ln(0.4)
+                WHEN c1 > k1 THEN ln((c1 - k1) / (x1 - o1)) + 2 * ln(0.4)
+                ELSE ln(1 / (x1 + 1)) END) AS score
+            FROM t GROUP BY r)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, round(coalesce(score, 0), 3) AS log_score,
+            CASE WHEN n > 0 THEN round(score / n, 6) END AS mean_log_score
+        FROM d LEFT JOIN s USING (r)""",
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

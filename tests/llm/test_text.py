@@ -282,3 +282,31 @@ def test_language_model_equals_brute_force(spark, monkeypatch):
         for (a, n, x), (b, m, y) in zip(sorted(expected), found, strict=True):
             assert (a, n) == (b, m) and x == pytest.approx(y, abs=2e-3)
     assert lm_score.score(corpus.documents(spark, [])).count() == 0
+
+
+def test_word_model_sees_the_order_of_words(spark):
+    rows = [(i, t) for i, t in SMALL if t is None or len(t) < 3000]
+    rows += [(900, "one two three four five six"), (901, "ONE two three four five six"), (902, "six one five two four three")]
+    rows += [(903, "qq rr qq rr qq rr qq rr"), (904, "qq zz rr")]  # the first one's own repeats tell nothing
+    split = [["", "", *re.findall(r"[^\x09-\x0D\x20]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))] for _, t in rows]
+    own = [[Counter(tuple(w[at + 1 - n : at + 1]) for at in range(2, len(w))) for n in range(1, 4)] for w in split]
+    context = [[Counter(tuple(w[at + 1 - n : at]) for at in range(2, len(w))) for n in range(1, 4)] for w in split]
+    counts, contexts = ([sum((c[n] for c in side), Counter()) for n in range(3)] for side in (own, context))
+    total, expected = sum(counts[0].values()), []
+    for (doc, _), w, k, o in zip(rows, split, own, context, strict=True):
+        score = 0.0
+        for at in range(2, len(w)):
+            value = 1 / (total + 1)
+            for n in (1, 2, 3):
+                part = tuple(w[at + 1 - n : at + 1])
+                left = counts[n - 1][part] - k[n - 1][part]
+                if left > 0:
+                    value = lm_score.BACKOFF ** (3 - n) * left / (contexts[n - 1][part[:-1]] - o[n - 1][part[:-1]])
+            score += math.log(value)
+        expected.append((str(doc), len(w) - 2, score))
+    found = lm_score.score_words(corpus.documents(spark, rows)).collect()
+    for (a, n, x), (b, m, y) in zip(sorted(expected), sorted((str(r.doc_id), r.n_tokens, r.log_score) for r in found), strict=True):
+        assert (a, n) == (b, m) and x == pytest.approx(y, abs=2e-3)
+    means = {r.doc_id: r.mean_log_score for r in found}
+    assert means[900] == means[901] > means[902] and means[6] is None
+    assert lm_score.score_words(corpus.documents(spark, [])).count() == 0
