@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction.
 
-Seeds are what four fixed formats find (e-mail, ip, card, phone). Every identifier-like token of a text is
-an instance; the words around an occurrence, with the token's shape, are its lexical patterns. Patterns and
-instances form a graph of distinct edges. Spark scores it in rounds: a pattern scores the share of its
+Seeds are what four fixed formats find (e-mail, ip, card, phone). Every identifier-like token of a text (with a
+digit or an @, without the punctuation around it; groups of digits and capitals may be apart by one blank) is
+an instance; the two words before an occurrence and the two after it are its lexical patterns, whatever its
+form. Patterns and instances form a graph of distinct edges. Spark scores it in rounds: a pattern scores the share of its
 instances' weight that belongs to a kind, an instance the noisy-or of its patterns. Patterns of high
 confidence, with enough different seeds, then mark instances that no format knows. Marked spans are added
 to the fixed ones, which stay as they are.
@@ -30,7 +31,7 @@ ROUNDS = 3
 CONFIDENCE = 0.9  # of a pattern whose instances are marked
 SUPPORT = 5  # different seed instances a pattern needs
 DOUBT = 2.0  # weight of unknown instances added to every pattern
-LONGEST = 64  # characters of an identifier-like token
+SHORTEST = 6  # characters of an identifier-like token
 
 # Fixed formats.
 _LOCAL = string.ascii_letters + string.digits + "._%+-"
@@ -40,6 +41,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _RUN = re.compile(r"[0-9]+")
 _NOT_SPACE = re.compile(r"\S*")
+_MARK = re.compile(r"[0-9]+|@")
+_WORD = re.compile(r"\w+")
+_PLAIN = frozenset("0A+().-/,;:!?")  # of the shape of a group that may have others beside it
+_OPENING, _CLOSING = frozenset("[{<\"'"), frozenset(".,;:!?]}>\"'")
 
 
 def _emails(text: str):
@@ -100,31 +105,56 @@ def _shape(token: str) -> str:
 
 
 def _words_before(text: str, at: int) -> str:
-    return " ".join(text[max(0, at - 60) : at].split()[-2:]).lower()
+    return " ".join(_WORD.findall(text[max(0, at - 60) : at])[-2:]).lower()
 
 
 def _words_after(text: str, at: int) -> str:
-    return " ".join(text[at : at + 60].split()[:2]).lower()
+    return " ".join(_WORD.findall(text[at : at + 60])[:2]).lower()
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """The token without the punctuation around it; brackets inside it stay."""
+    opened, closed = text.count("(", a, b), text.count(")", a, b)
+    while b > a and (text[b - 1] in _CLOSING or (not opened and text[b - 1] == ")")):
+        b -= 1
+    while a < b and (text[a] in _OPENING or (not closed and text[a] == "(")):
+        a += 1
+    return (a + 1, b - 1) if opened == closed == 1 and text[a : a + 1] == "(" and text[b - 1] == ")" else (a, b)
+
+
+def _tokens(text: str):
+    """Start and end of every run without white space that has a digit or an @."""
+    done = 0
+    for mark in _MARK.finditer(text):
+        if mark.start() >= done:
+            a = mark.start()
+            while a > done and not text[a - 1].isspace():
+                a -= 1
+            done = _NOT_SPACE.match(text, mark.end()).end()
+            yield a, done
 
 
 def instances(text: str, base: list[tuple[str, int, int]]):
-    """(kind or None, start, end, instance, left pattern, right pattern) of seeds and identifier-like tokens."""
+    """(kind or None, start, end) of seeds and identifier-like tokens."""
     taken = sorted((a, b) for _, a, b in base)
     for kind, a, b in base:
         yield kind, a, b
-    nearest = done = 0
-    for run in _RUN.finditer(text):
-        if run.start() < done:
-            continue
-        a, floor = run.start(), max(done, run.start() - LONGEST)
-        while a > floor and not text[a - 1].isspace():
-            a -= 1
-        b = done = _NOT_SPACE.match(text, run.end()).end()
-        if not 6 <= b - a <= LONGEST or (a and not text[a - 1].isspace()):
-            continue
+    nearest = 0
+    groups: list[list] = []  # start, end, whether the next group may belong to it
+    for a, b in _tokens(text):
         while nearest < len(taken) and taken[nearest][1] <= a:
             nearest += 1
-        if nearest == len(taken) or taken[nearest][0] >= b:
+        if nearest < len(taken) and taken[nearest][0] < b:
+            continue
+        plain = _PLAIN.issuperset(_shape(text[a:b]))
+        if plain and groups and groups[-1][2] and a == groups[-1][1] + 1 and text[a - 1] == " ":
+            groups[-1][1] = b
+        else:
+            groups.append([a, b, plain])
+        groups[-1][2] = plain and text[b - 1] not in _CLOSING
+    for a, b, _ in groups:
+        a, b = _trimmed(text, a, b)
+        if b - a >= SHORTEST:
             yield None, a, b
 
 
@@ -146,10 +176,9 @@ def _find(batch: pa.RecordBatch):
         rows["base_sha256"].append(hashlib.sha256(spans.encode()).hexdigest())
         seen = []
         for kind, a, b in instances(text, base):
-            shape = _shape(text[a:b])
             seen.append({
                 "kind": kind, "start": a, "stop": b, "instance": hashlib.blake2b(text[a:b].encode(), digest_size=12).hexdigest(),
-                "left_pattern": f"<{_words_before(text, a)}|{shape}", "right_pattern": f">{_words_after(text, b)}|{shape}",
+                "left_pattern": f"<{_words_before(text, a)}", "right_pattern": f">{_words_after(text, b)}",
             })
         rows["seen"].append(seen)
     yield rows | {"doc_id": batch["doc_id"], "text_key": batch["text_key"]}
@@ -187,7 +216,8 @@ def extract(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     found = cut_lineage(map_rows(rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), _find, FOUND))
     seen = found.select("doc_id", "text_key", F.explode("seen").alias("s")).select("doc_id", "text_key", "s.*")
     both = F.explode(F.array("left_pattern", "right_pattern")).alias("pattern")
-    edges = cut_lineage(seen.select(both, "instance", "kind").distinct())
+    lexical = F.length("pattern") > 1  # a text that starts or ends there has no words to tell
+    edges = cut_lineage(seen.select(both, "instance", "kind").where(lexical).distinct())
     good = cut_lineage(score_patterns(edges).where((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= SUPPORT)))
     unseen = seen.where("kind is null").select("doc_id", "text_key", "start", "stop", both)
     marked = unseen.join(good.select("pattern", F.col("kind").alias("as_kind"), "confidence"), "pattern")

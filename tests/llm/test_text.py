@@ -310,3 +310,27 @@ def test_word_model_sees_the_order_of_words(spark):
     means = {r.doc_id: r.mean_log_score for r in found}
     assert means[900] == means[901] > means[902] and means[6] is None
     assert lm_score.score_words(corpus.documents(spark, [])).count() == 0
+
+
+def test_contexts_find_identifiers_of_new_forms(spark):
+    rows = [(i, f"{corpus.prose(5, i)} client phone +1 (555) 200-{1000 + i:04d} thanks") for i in range(60)]
+    rows += [(100 + i, f"{corpus.prose(5, 70 + i)} paid by 4111 1111 1111 1111, u{i}@x{i}.example.org is the mail") for i in range(60)]
+    rows += [(200 + i, f"{corpus.prose(5, 140 + i)} order number {10**7 + i} shipped") for i in range(60)]
+    unseen = {
+        300: ("the client phone (", "020 7946 0958", ") rang", "phone"), 301: ("our client phone: ", "01.77-12", ", then", "phone"),
+        302: ("a client phone ", "9" * 90, " here", "phone"), 303: ("so ", "jane@corp_example.org", " is the mail", "email"),
+    }
+    rows += [(i, before + token + after) for i, (before, token, after, _) in unseen.items()]
+    found = {r.doc_id: r for r in pii.extract(corpus.documents(spark, rows)).collect()}
+    for i, (before, token, _, kind) in unseen.items():
+        assert found[i].n_added == 1 and found[i].spans == f"{kind}:{len(before)}:{len(before + token)}", i
+    assert all(found[i].n_added == 0 for i in found if i < 300)
+
+
+def test_tokens_lose_only_the_punctuation_around_them():
+    for text, tokens in [
+        ("x (12345678). y", ["12345678"]), ("(555) 200-10, 12 3456", ["(555) 200-10", "12 3456"]), ("ab12345 123456", ["ab12345", "123456"]),
+        ("4111 1111 1111 1111, 123456", ["123456"]), ("é1234567'; ...", ["é1234567"]),
+    ]:
+        base = pii.base_spans(text)
+        assert [text[a:b] for kind, a, b in pii.instances(text, base) if kind is None] == tokens, text
