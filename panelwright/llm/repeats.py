@@ -13,7 +13,7 @@ PREFIX words lie inside it, so none is missed (but for passages under 70 words t
 a reported run lies in a passage that another document has.
 
 Sorting is by range with the document as last key, so the copies of one passage spread over many tasks; a
-partition knows its own rows, and what its first and last row miss is settled on a table with a few rows
+partition knows its own rows, and what the rows at its borders miss is settled on a table with a few rows
 per partition.
 
 Defined cases: null text is empty; documents under PASSAGE words have no run; rows that repeat both
@@ -144,7 +144,8 @@ def _surroundings(batch: pa.RecordBatch):
 
 def _agreement(side: str):
     """Compares neighbours of one partition sorted by (key, words of `side`): the words in which a row agrees with a neighbour
-    of another document. The first and last row also leave as edges."""
+    of another document. Rows of the first document at a border may have such a neighbour behind it; `top` and `bottom` tell
+    what they share with the border row, which leaves as an edge with the nearest row of another document and its key."""
 
     def run(batches):
         tables = [pa.Table.from_batches([batch]) for batch in batches if batch.num_rows]
@@ -152,13 +153,17 @@ def _agreement(side: str):
             return
         table = pa.concat_tables(tables).combine_chunks()
         key, doc, place = (table[name].to_numpy() for name in ("key", "doc", "place"))
-        best = _best_agreement(key, doc, _matrix(table[side].combine_chunks()))
+        words = _matrix(table[side].combine_chunks())
+        best, shared = _best_agreement(key, doc, words), _shared(key, words)
         size, number = len(key), TaskContext.get().partitionId()
-        edge = table.take([0, size - 1])
+        top, below = _border(key, doc, shared)
+        bottom, above = _border(key[::-1], doc[::-1], shared[::-1])
+        edge = np.unique(np.concatenate(([0, size - 1], below, size - 1 - above)))
         out = {
-            "key": np.append(key, edge["key"]), "doc": np.append(doc, edge["doc"]), "place": np.append(place, edge["place"]),
-            "agree": np.append(best, [0, 0]), "part": np.append(np.full(size, -1), [number, number]),
-            "edge": np.append(np.full(size, -1), [0, 1]), "words": pa.array([None] * size + edge[side].to_pylist(), pa.list_(pa.int64())),
+            "key": np.append(key, key[edge]), "doc": np.append(doc, doc[edge]), "place": np.append(place, place[edge]),
+            "agree": np.append(best, 0 * edge), "part": np.full(size + len(edge), number), "edge": np.append(np.full(size, -1), edge),
+            "top": np.append(top, np.where(edge == 0, 0, -1)), "bottom": np.append(bottom[::-1], np.where(edge == size - 1, 0, -1)),
+            "words": pa.array([None] * size + table[side].take(edge).to_pylist(), pa.list_(pa.int64())),
         }
         kinds = {"key": pa.int64(), "doc": pa.int64(), "words": pa.list_(pa.int64())}
         columns = {n: c if isinstance(c, pa.Array) else pa.array(c, kinds.get(n, pa.int32())) for n, c in out.items()}
@@ -167,6 +172,27 @@ def _agreement(side: str):
     return run
 
 
+def _border(key: np.ndarray, doc: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the first rows of a partition that have one key and document the words they share with the first row, -1 for others;
+    and the next row, if it has the same key."""
+    other = np.flatnonzero((key != key[0]) | (doc != doc[0]))
+    size = int(other[0]) if len(other) else len(key)
+    common = np.full(len(key), -1, dtype=np.int64)
+    common[:size] = np.minimum.accumulate(np.concatenate(([REACH], shared[: size - 1])))
+    return common, np.array([size] if size < len(key) and key[size] == key[0] else [], dtype=np.int64)
+
+
+def _across(batches):
+    """The agreement of all partitions' edges, in order, with the nearest edge of another document."""
+    tables = [pa.Table.from_batches([batch]) for batch in batches if batch.num_rows]
+    if tables:
+        table = pa.concat_tables(tables).combine_chunks()
+        key, doc = table["key"].to_numpy(), table["doc"].to_numpy()
+        best = _best_agreement(key, doc, _matrix(table["words"].combine_chunks()))
+        for batch in table.select(["part", "top", "bottom"]).append_column("beyond", pa.array(best, pa.int32())).to_batches(10_000):
+            yield batch
+
+
 def _matrix(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Lists as rows of a matrix of REACH columns, and their lengths."""
     lengths = np.diff(lists.offsets.to_numpy())
@@ -175,13 +201,17 @@ def _matrix(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return values, lengths
 
 
+def _shared(key: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The leading words each row shares with the next one, -1 where that has another key."""
+    values, lengths = words
+    shared = (np.cumprod(values[1:] == values[:-1], axis=1)).sum(axis=1)
+    return np.where(key[1:] == key[:-1], np.minimum(shared, np.minimum(lengths[1:], lengths[:-1])), -1)
+
+
 def _best_agreement(key: np.ndarray, doc: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """For each row of a sorted partition the leading words it shares with a row of its key in another document: the
     nearest such row above or below, since rows between two others share at least as much with either."""
-    values, lengths = words
-    shared = (np.cumprod(values[1:] == values[:-1], axis=1)).sum(axis=1)
-    shared = np.minimum(shared, np.minimum(lengths[1:], lengths[:-1]))
-    shared = np.where(key[1:] == key[:-1], shared, -1)  # -1: another key
+    shared = _shared(key, words)
     best = np.zeros(len(key), dtype=np.int64)
     for backwards in (False, True):
         step, other = (shared[::-1], doc[::-1]) if backwards else (shared, doc)
@@ -200,18 +230,20 @@ def _extension(around: DataFrame, side: str) -> DataFrame:
     order = ["key", side, "doc", "place"]
     compared = cut_lineage(
         around.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(_agreement(side), "key long, doc long, place int, agree int, part int, edge int, words array<long>")
+        .mapInArrow(_agreement(side), "key long, doc long, place int, agree int, part int, edge int, top int, bottom int, words array<long>")
     )
-    # Between partitions: the last row of one and the first of the next, two rows for each partition.
-    line = Window.orderBy("part", "edge")
-    beside = lambda step: F.lead(F.struct("key", "doc", "words", "edge"), step).over(line)
-    edges = compared.where("part >= 0").withColumns({"later": beside(1), "earlier": beside(-1)})
-    other = F.when(F.col("edge") == 1, F.col("later")).otherwise(F.col("earlier"))
-    edges = edges.withColumn("other", other).where("other.key = key and other.doc <> doc and other.edge <> edge")
-    same = F.zip_with("words", "other.words", lambda x, y: F.coalesce(x == y, F.lit(False)))
-    length = F.array_position(same, F.lit(False)) - 1
-    agree = F.when(length >= 0, length).otherwise(F.size(same)).cast("int")
-    return compared.where("part < 0").select("doc", "place", "agree").union(edges.select("doc", "place", agree.alias("agree"))).groupBy("doc", "place").agg(F.max("agree").alias("agree"))
+    # Between partitions: at most four rows of each, in order.
+    edges = compared.where("edge >= 0").select("part", "edge", "key", "doc", "top", "bottom", "words")
+    settled = cut_lineage(
+        edges.repartition(1).sortWithinPartitions("part", "edge").mapInArrow(_across, "part int, top int, bottom int, beyond int")
+    )
+    rows = compared.where("edge < 0")
+    for name in ("top", "bottom"):
+        there = settled.where(f"{name} = 0").select("part", F.col("beyond").alias(f"beyond_{name}"))
+        rows = rows.join(F.broadcast(there), "part", "left")
+        reached = F.least(name, f"beyond_{name}")
+        rows = rows.withColumn("agree", F.when(F.col(name) >= 0, F.greatest("agree", reached)).otherwise(F.col("agree")))
+    return rows.select("doc", "place", "agree")
 
 
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -165,6 +165,23 @@ def test_neighbours_in_order_have_the_longest_agreement():
             assert found == max(shared, default=0)
 
 
+def test_repeats_of_one_document_hide_no_other(spark):
+    passage = corpus.prose(60, 700)
+    many = "".join(f"{corpus.prose(20, 10_000 + i)} l{i} {passage} r{i} " for i in range(300))
+    docs = corpus.documents(spark, [(1, many), (2, f"{corpus.prose(30, 701)} left {passage} right {corpus.prose(30, 702)}")])
+    old = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for name, value in zip(old, ("60", "false"), strict=True):
+            spark.conf.set(name, value)
+        found = {r.doc_id: r for r in repeats.repeated_passages(docs).collect()}
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    expected = [f"{m.start()}:{m.end()}" for m in re.finditer(re.escape(passage), many)]
+    assert found[1].spans.split(",") == expected and found[1].n_repeated_words == 300 * 60
+    assert found[2].n_repeated_words == 60
+
+
 def test_empty_tables(spark):
     docs = corpus.documents(spark, [])
     for result in (
