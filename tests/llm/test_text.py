@@ -334,3 +334,27 @@ def test_tokens_lose_only_the_punctuation_around_them():
     ]:
         base = pii.base_spans(text)
         assert [text[a:b] for kind, a, b in pii.instances(text, base) if kind is None] == tokens, text
+
+
+def test_secrets_deep_in_long_candidates_are_found(spark):
+    draw, rows = random.Random(9), []
+    key = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    path = "config/prod/service-account/region-1/cluster/main/settings/default/key="
+    for i in range(300):
+        rows.append((2 * i, f'{corpus.prose(6, i)} token = "{key(40)}" {corpus.prose(6, i + 1)}'))
+        rows.append((2 * i + 1, f"{corpus.prose(6, i)} {path}{draw.choice(corpus.VOCABULARY)} {corpus.prose(6, i + 2)}"))
+    mixed = "Z".join(key(19) for _ in range(100))  # no format knows it
+    rows += [(5000, f"see {path}{mixed[:40]}Z here"), (5001, f"see {path}main here"), (5002, f"see {mixed} here")]
+    found = {r.doc_id: r for r in secrets.scan(corpus.documents(spark, rows)).collect()}
+    assert found[5000].max_score > 0.5 > found[5001].max_score  # the same path, with and without a secret behind it
+    assert found[5002].spans == f"net:4:{4 + len(mixed)}"
+    assert [b - a for a, b in secrets.other_candidates("x " + "Az9" * 500, [])] == [1500]
+
+
+def test_stretches_cover_a_candidate():
+    text = "before " + "".join(chr(97 + i % 26) for i in range(100)) + " after"
+    rows = np.concatenate(list(secrets.windows(text, 7, 107)))
+    middle = rows[:, secrets.CONTEXT : -secrets.CONTEXT] - 256
+    places = [text.index("abc") + o for o in (0, 24, 48, 52)]
+    assert [bytes(row.astype(np.uint8)).decode() for row in middle] == [text[p : p + secrets.ROOM] for p in places]
+    assert len(next(secrets.windows("a1b2c3d4", 0, 8))) == 1
