@@ -8,8 +8,7 @@ form a run. The ends of every run are sorted again by the words to the left or r
 longest agreement with a neighbour extends the run.
 
 Any passage of at least PASSAGE = PREFIX + WINDOW - 1 words that two documents share holds a retained suffix whose
-PREFIX words lie inside it, so none is missed (but for passages under 70 words that begin with more than
-30 times the same word); runs shorter than PASSAGE after extension are not reported. Every word of
+PREFIX words lie inside it, so none is missed; runs shorter than PASSAGE after extension are not reported. Every word of
 a reported run lies in a passage that another document has.
 
 Sorting is by range with the document as last key, so the copies of one passage spread over many tasks; a
@@ -50,14 +49,16 @@ def retained(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts = np.arange(len(place))
     place = place[owner[starts] == owner[np.minimum(starts + WINDOW + GRAM - 2, len(owner) - 1)]]
     place = np.unique(place)
-    # In a run of equal grams (one word again and again) every place is smallest: those near its ends stay,
-    # and each WINDOW-th between them.
+    # In a run of equal grams (one word again and again) every place is smallest: those near its ends stay. Between them
+    # each WINDOW-th from the end does, smallest or not, so that copies with another start of the run keep the same ones.
     breaks = np.ones(len(grams), dtype=bool)
     breaks[1:] = (grams[1:] != grams[:-1]) | (owner[1 : len(grams)] != owner[: len(grams) - 1])
     start = np.flatnonzero(breaks)
-    run = np.cumsum(breaks)[place] - 1
-    since, until = place - start[run], np.append(start[1:], len(grams))[run] - place
-    place = place[(since < WINDOW) | (until <= WINDOW) | (since % WINDOW == WINDOW - 1)]
+    lengths = np.diff(np.append(start, len(grams)))
+    since = np.arange(len(grams)) - np.repeat(start, lengths)
+    until = np.repeat(lengths, lengths) - since
+    place = place[(since[place] < WINDOW) | (until[place] <= WINDOW)]
+    place = np.union1d(place, np.flatnonzero(until % WINDOW == 0))
     place = place[place + PREFIX <= first[owner[place] + 1]]
     key = np.full(len(place), PREFIX, dtype=np.uint64)
     for i in range(PREFIX // GRAM):

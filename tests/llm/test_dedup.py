@@ -182,6 +182,19 @@ def test_repeats_of_one_document_hide_no_other(spark):
     assert found[2].n_repeated_words == 60
 
 
+def test_copies_behind_runs_of_one_word_keep_a_common_place():
+    draw, size = random.Random(5), repeats.PASSAGE
+    for _ in range(400):
+        rest = [f"s{draw.randrange(99)}" for _ in range(draw.randrange(1, size))]
+        least = size - len(rest)
+        texts = [["x"] * draw.randrange(3) + ["|"] * (least + draw.choice([0, draw.randrange(60)])) + rest + [f"e{i}"] * draw.randrange(40) for i in range(2)]
+        found = []
+        for text in texts:
+            hashes, _, _, first = hashed_words([" ".join(text).encode()])
+            found.append(set(repeats.retained(hashes, first)[2].tolist()))
+        assert found[0] & found[1], texts
+
+
 def test_empty_tables(spark):
     docs = corpus.documents(spark, [])
     for result in (
