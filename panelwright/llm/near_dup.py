@@ -11,8 +11,9 @@ only pairs that pass two bounds which lose no link: the ratio of the set sizes,
 the counts per hash range allow.
 
 Defined cases: null text is empty; a text without words has an empty set and is linked with nothing;
-rows that repeat a doc_id are judged one by one; a null doc_id never names a component that has another
-member; extra columns are not read.
+rows that repeat a doc_id are judged one by one; a component keeps the row that comes first by
+doc_id (null last), then text key, and rows equal to it; a null doc_id never names a component that has a
+member with one; extra columns are not read.
 """
 
 import hashlib
@@ -211,19 +212,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     more = _confirmed(across.join(side("a"), "a").join(side("b"), "b"), nodes, texts, percent)
     roots = cut_lineage(components(links.union(more)))
 
-    placed = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = cut_lineage(placed.join(names, "root").select("digest", "component_id"))
+    placed = nodes.select("node", "digest", "doc_id", "text_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = placed.groupBy("root").agg(first.alias("leader"))
+    leader = (F.col("leader.doc_id").alias("component_id"), F.col("leader.text_key").alias("leader_key"))
+    named = cut_lineage(placed.join(names, "root").select("digest", *leader))
     result = sketches.select("doc_id", "text_key", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    leads = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("leader_key"))
     return result.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key",
+        ((F.col("n") == 0) | leads).alias("kept"), "text_key",
     )
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; rows that repeat both its
+    """One document of each group stays, the one with the smallest doc_id (null last), then text key; rows that repeat both its
     doc_id and its text count once. Returns the columns of `docs`."""
     kept = near_duplicates(docs, percent).where("kept").groupBy("doc_id", "text_key").agg((F.count("*") > 1).alias("_tied"))
     kept = kept.withColumnsRenamed({"doc_id": "_kept_id", "text_key": "_kept_key"})

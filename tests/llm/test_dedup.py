@@ -88,6 +88,19 @@ def test_one_document_of_each_near_group_stays(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, "A b c d e f"), (8, "q"), (9, None)]
 
 
+def test_null_ids_and_shared_ids_leave_one_row(spark):
+    base, other, shared, alone = (corpus.prose(200, seed) for seed in (60, 61, 62, 63))
+    rows = [(None, base), (7, corpus.edited(base, 180, 1)), (None, base + " tail"), (4, shared), (4, re.sub("[a-z]", lambda m: m.group().upper(), shared)), (4, shared + " end")]
+    rows += [(None, other), (None, other), (None, other + " tail"), (None, alone)]
+    docs = corpus.documents(spark, rows)
+    kept = near_dup.keep_one(docs).collect()
+    stems = sorted(r.text.lower()[:40] for r in kept)
+    assert stems == sorted(text[:40] for text in (rows[1][1], shared, other, alone))
+    flags = near_dup.near_duplicates(docs).collect()
+    assert [r.kept for r in flags if r.component_id == 7 and r.doc_id is None] == [False, False]
+    assert sum(r.kept for r in flags if r.doc_id == 4) == 1
+
+
 def test_bounds_lose_no_link_and_densified_bins_agree():
     draw = random.Random(1)
     sets = []
