@@ -8,7 +8,7 @@ pass; terms inside an exception do not count. The summed weight and its share of
 through a logistic curve.
 
 Learning sees a bounded sample of labelled rows (`labelled.SAMPLE`); word counts are Spark aggregates, the
-lexicon holds TERMS words at most. Scoring covers every row in one pass.
+lexicon holds every word and phrase that passes the tests. Scoring covers every row in one pass.
 
 Defined cases: null text is empty and is scored like any other; without toxic and harmless labels the
 score is 0; rows that repeat are scored one by one; labels, lang, source and doc_id are never inputs of a
@@ -16,7 +16,9 @@ score; extra columns are not read.
 """
 
 import re
+from bisect import bisect_right
 from collections import deque
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,6 @@ from panelwright.llm.words import map_rows
 from panelwright.session import cut_lineage
 
 MODULUS, HELD = 5, 0
-TERMS, PHRASES = 256, 256
 CERTAINTY, LEAST_ODDS = 3.0, 2.5  # a term's log-odds, at least and in standard errors
 LEAST_TEXTS = 3
 
@@ -103,10 +104,11 @@ def measures(automaton: Automaton, text: str) -> tuple[float, float, float]:
     """Logarithms of the summed weight, of its share of the length, and of the distinct terms."""
     words = fold(text)
     spans = list(automaton.occurrences(words))
-    excused = [(a, b) for a, b, weight in spans if weight is None]
+    excused = sorted((a, b) for a, b, weight in spans if weight is None)
+    begins, furthest = [a for a, _ in excused], [0, *accumulate((b for _, b in excused), max)]
     total, seen = 0.0, set()
     for a, b, weight in spans:
-        if weight is not None and not any(x <= a and b <= y for x, y in excused):
+        if weight is not None and furthest[bisect_right(begins, a)] < b:
             total += weight
             seen.add(words[a])
     return float(np.log1p(total)), float(np.log1p(1000 * total / max(len(words), 20))), float(np.log1p(len(seen)))
@@ -131,7 +133,7 @@ def learn_lexicon(sample: DataFrame) -> dict[tuple[str, ...], float | None]:
     terms = (
         counts.withColumn("weight", weight)
         .where((F.col("bad") >= LEAST_TEXTS) & (F.col("weight") > LEAST_ODDS) & (F.col("weight") > CERTAINTY * error))
-        .withColumn("weight", F.col("weight") - error).orderBy(F.desc("weight"), "word").limit(TERMS).collect()
+        .withColumn("weight", F.col("weight") - error).orderBy(F.desc("weight"), "word").collect()
     )
     lexicon: dict[tuple[str, ...], float | None] = {(row.word,): row.weight for row in terms}
 
@@ -149,7 +151,7 @@ def learn_lexicon(sample: DataFrame) -> dict[tuple[str, ...], float | None]:
     harmless_only = (
         around.select("label", F.explode("words").alias("phrase")).groupBy("phrase")
         .agg(F.sum("label").alias("bad"), F.count("*").alias("texts"))
-        .where((F.col("bad") == 0) & (F.col("texts") >= LEAST_TEXTS)).orderBy(F.desc("texts"), "phrase").limit(PHRASES).collect()
+        .where((F.col("bad") == 0) & (F.col("texts") >= LEAST_TEXTS)).orderBy(F.desc("texts"), "phrase").collect()
     )
     return lexicon | {tuple(row.phrase.split(" ")): None for row in harmless_only}
 
@@ -181,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Automaton, np.ndarray] |
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of `docs`."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # TERMS and PHRASES at most
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # learned from the bounded sample
 
     def run(batch: pa.RecordBatch):
         if model.value is None:

@@ -92,3 +92,13 @@ def test_exceptions_are_learned(spark):
     rows += [(corpus.prose(16, i + 900), 0) for i in range(300)]
     lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
     assert lexicon[("scum",)] > 2 and lexicon[("pond", "scum")] is None
+
+
+def test_every_term_and_exception_that_passes_is_kept(spark):
+    name = lambda i: "q" + chr(103 + i // 20) + chr(103 + i % 20)
+    rows = [(" ".join(f"{corpus.prose(2, 700 * k + i)} {name(i)}" for i in range(k, 300, 15)), 1) for k in range(15) for _ in range(30)]
+    rows += [(" ".join(f"pond {name(i)}" for i in range(k, 300, 15)), 0) for k in range(15) for _ in range(3)]
+    rows += [(corpus.prose(16, i + 20_000), 0) for i in range(900)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    for i in range(300):
+        assert lexicon[(name(i),)] > 0 and lexicon[("pond", name(i))] is None
