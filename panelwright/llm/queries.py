@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm import (
-    bpe, decontaminate, exact_dedup, lm_score, near_dup, pii, quality, repeats, secrets, toxicity,
+    bpe, decontaminate, exact_dedup, lm_score, near_dup, pieces, pii, quality, repeats, search, secrets,
+    toxicity,
 )
 
 
@@ -57,6 +58,14 @@ def op10_toxicity(spark, folder):
     return toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_sentencepiece(spark, folder):
+    return pieces.round_trip(_table(spark, folder, "documents"))
+
+
+def op12_ranked_search(spark, folder):
+    return search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def pipeline(spark, folder):
     import corpus_pipeline
 
@@ -67,7 +76,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_minhash_near_dup, op3_suffix_repeats, op4_decontamination, op5_byte_bpe, op6_secret_scan,
-        op7_quality, op8_lm_score, op8_word_lm_score, op9_exact_dedup, op10_toxicity, pipeline,
+        op7_quality, op8_lm_score, op8_word_lm_score, op9_exact_dedup, op10_toxicity, op11_sentencepiece,
+        op12_ranked_search, pipeline,
     )
 }
 
@@ -145,4 +155,18 @@ ORACLE: dict[str, str] = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
         FROM d JOIN g USING (t)""",
+    "op12_ranked_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS4} AS w FROM documents),
+        c AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM d WHERE len(w) > 0),
+        p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+        f AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS weight
+            FROM (SELECT t, count(*) AS df FROM p GROUP BY t), c),
+        b AS (SELECT row_number() OVER () AS i, item_id, {_WORDS4} AS w FROM benchmark),
+        q AS (SELECT i, item_id, t, count(*) AS times FROM (SELECT i, item_id, unnest(w) AS t FROM b) GROUP BY i, item_id, t),
+        m AS (SELECT r, doc_id, 100 - 25 + (25 * len(w) * n_docs) // n_terms AS m FROM d, c),
+        s AS (
+            SELECT i, item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+            FROM q JOIN f USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY i, item_id, r, doc_id),
+        o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS place FROM s WHERE score > 0)
+        SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM o WHERE place <= 20""",
 }
