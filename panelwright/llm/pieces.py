@@ -2,13 +2,17 @@
 
 The model's pieces never cross from another character to a word marker, so the marked text falls into
 chunks, a run of markers and what follows it, that are segmented by themselves. Documents go through three
-steps, none of which segments a chunk twice:
+steps:
 
-1. A task numbers the distinct chunks of a block of documents and turns every document into the numbers
-   at its positions. A block is bounded in bytes; chunks leave it once, however often they occur.
-2. The uses (chunk, block, number) are shuffled by chunk and sorted, so that every distinct chunk is met
-   once, segmented once, and its ids go to all its uses. A frequent chunk has one use per block.
-3. Uses and documents of a block meet again: ids are joined back by position, and decoded.
+1. A task numbers the distinct chunks of a block of documents, the most frequent first, and turns every
+   document into the numbers at its positions. A block is bounded in bytes; a chunk leaves it once, however
+   often it occurs. Chunks leave in buckets by their hash, so a row is a few thousand chunks.
+2. Buckets of all blocks meet by number. A distinct chunk is in one bucket, is segmented when it is first
+   met there, and its ids go to every block that uses it; a frequent chunk comes once per block.
+3. A block's buckets and documents meet again: ids are joined back by position, and decoded.
+
+A task remembers at most TABLE_BYTES of chunks of a bucket; beyond that it forgets them and segments again, so
+memory is bounded at any number of distinct chunks, and results stay the same.
 
 Within a chunk the pair of highest score is merged first, the leftmost of equal ones, with a heap; characters
 that no piece holds become byte pieces. Positions between which no piece has those two neighbours are
@@ -24,10 +28,12 @@ import hashlib
 import heapq
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,7 +43,8 @@ from panelwright.session import cut_lineage
 
 MARK = "▁"
 BLOCK_BYTES = 24 << 20  # text whose distinct chunks are numbered together, one document at least
-LISTED = 20_000  # chunks in a row of the stored table
+LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
+TABLE_BYTES = 64 << 20  # chunks and ids of a bucket that a task remembers
 DECODE_IDS = 1 << 16  # ids decoded at a time
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -222,7 +229,7 @@ _CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
 
 def chunks(text: str) -> list[str]:
-    """Chunks of a text, each without its first marker; none for an empty text."""
+    """Chunks of a text, each without its first marker; none for an empty text. No chunk holds a space."""
     if not text:
         return []
     parts = text.split(" ")
@@ -240,43 +247,79 @@ def _unpacked(planes: bytes) -> np.ndarray:
     return np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-CODED = "block long, doc_id long, codes binary, first int, chunks array<string>"
-_CODED = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("first", pa.int32()), ("chunks", pa.list_(pa.string()))])
+def _small(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _large(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+# One table of three kinds of rows: documents (doc_id, payload: numbers at its positions; place null), the buckets of a block's
+# chunks (place: bucket, payload: chunks), and a block's list of the bucket of each number (place -1).
+CODED = "block long, place int, doc_id long, payload binary"
+_CODED = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("payload", pa.binary())])
+
 
+def _rows(block: int, places: list, doc_ids: list, payloads: list) -> pa.RecordBatch:
+    columns = ([block] * len(payloads), places, doc_ids, payloads)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CODED, strict=True)], schema=_CODED)
 
-def _coded(batches):
-    """Rows of documents (block, doc_id, codes), and of each block's chunks in order of their numbers."""
-    from pyspark import TaskContext
 
-    block, numbers, size = TaskContext.get().partitionId() << 32, _Numbers(), 0
+class _Block:
+    """Documents as numbers of distinct chunks."""
 
-    def listed():
-        known = list(numbers)
-        for at in range(0, len(known), LISTED):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()),
-                 pa.array([known[at : at + LISTED]], pa.list_(pa.string()))], schema=_CODED,
-            )
+    def __init__(self):
+        self.numbers, self.doc_ids, self.codes, self.size = _Numbers(), [], [], 0
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            blocks, codes = [], []
-            for text in part["text"]:
+    def add(self, doc_id, text: str) -> None:
+        self.size += len(text)
+        words = chunks(text)
+        self.doc_ids.append(doc_id)
+        self.codes.append(np.fromiter(map(self.numbers.__getitem__, words), dtype=np.uint32, count=len(words)))
+
+    def rows(self, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        uses = np.zeros(len(self.numbers), dtype=np.int64)
+        for codes in self.codes:
+            np.add.at(uses, codes, 1)
+        order = np.argsort(-uses, kind="stable")  # the most frequent chunk gets number 0
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        for at in range(0, len(self.codes), 512):
+            some = self.codes[at : at + 512]
+            yield _rows(block, [None] * len(some), self.doc_ids[at : at + 512], [_small(_packed(rank[codes])) for codes in some])
+        known = list(self.numbers)
+        known = [known[code] for code in order.tolist()]
+        bucket_of = np.fromiter((zlib.crc32(chunk.encode()) % buckets for chunk in known), dtype="<u2", count=len(known))
+        by_bucket = np.argsort(bucket_of, kind="stable")
+        edges = np.searchsorted(bucket_of[by_bucket], np.arange(buckets + 1)).tolist()
+        yield _rows(block, [-1], [None], [_small(bucket_of.tobytes())])
+        for bucket in range(buckets):
+            a, b = edges[bucket], edges[bucket + 1]
+            if a < b:
+                yield _rows(block, [bucket], [None], [_small(" ".join([known[i] for i in by_bucket[a:b].tolist()]).encode())])
+
+
+def _coded(buckets: int):
+    def run(batches):
+        from pyspark import TaskContext
+
+        number, block = TaskContext.get().partitionId() << 32, _Block()
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 text = text.as_py()
-                if size and size + len(text) > BLOCK_BYTES:
-                    yield from listed()
-                    block, numbers, size = block + 1, _Numbers(), 0
-                size += len(text)
-                words = chunks(text)
-                blocks.append(block)
-                codes.append(_packed(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words))))
-            none = pa.nulls(part.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int64()), part["doc_id"], pa.array(codes, pa.binary()), none, pa.nulls(part.num_rows, pa.list_(pa.string()))],
-                schema=_CODED,
-            )
-    yield from listed()
+                if block.size and block.size + len(text) > BLOCK_BYTES:
+                    yield from block.rows(number, buckets)
+                    number, block = number + 1, _Block()
+                block.add(doc_id.as_py(), text)
+        if block.doc_ids:
+            yield from block.rows(number, buckets)
+
+    return run
+
+
+def _chunks_of(payload: bytes) -> list[str]:
+    return _large(payload).decode().split(" ")
 
 
 _models: dict = {}
@@ -300,93 +343,127 @@ def _model_file(docs: DataFrame, path: str | None):
     return docs.sparkSession.sparkContext.broadcast(raw)
 
 
-def segmented(uses: DataFrame, file) -> DataFrame:
-    """(block, code, ids) of uses (block, code, chunk): equal chunks meet, sorted, and are segmented once."""
-    schema = struct_of("block long, code int, ids binary")
-    arrow = to_arrow_schema(schema)
+class _Table(dict):
+    """Distinct chunk (without its first marker) -> packed ids, segmented when first met."""
+
+    def __init__(self, model: Model):
+        self.segment, self.size = model.segment, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.segment(MARK + chunk)
+        self.size += len(chunk) + len(ids) + 200
+        if self.size > TABLE_BYTES:
+            self.clear()
+            self.size = len(chunk) + len(ids) + 200
+        self[chunk] = ids
+        return ids
+
+
+def segmented(coded: DataFrame, file) -> DataFrame:
+    """The buckets of all blocks with ids in place of chunks: equal buckets meet, and share a table."""
 
     def run(batches):
-        last, ids = None, b""
+        place, table = None, None
         for batch in batches:
-            made, segment = [], _model(file).segment
-            for chunk in batch["chunk"].to_pylist():
-                if chunk != last:
-                    last, ids = chunk, segment(MARK + chunk)
-                made.append(ids)
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["code"], pa.array(made, pa.binary())], schema=arrow)
+            for row in range(batch.num_rows):
+                if batch["place"][row].as_py() != place:
+                    place, table = batch["place"][row].as_py(), _Table(_model(file))
+                ids = [table[chunk] for chunk in _chunks_of(batch["payload"][row].as_py())]
+                sizes = np.fromiter(map(len, ids), dtype=np.uint32, count=len(ids)) // 4
+                packed = _small(struct.pack("<I", len(ids)) + _packed(sizes) + _packed(np.frombuffer(b"".join(ids), dtype="<u4")))
+                yield _rows(batch["block"][row].as_py(), [place], [None], [packed])
+
+    buckets = coded.where("place >= 0")
+    return buckets.repartition("place").sortWithinPartitions("place").mapInArrow(run, struct_of(CODED))
+
 
-    return uses.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, schema)
+def _ids_of(payload: bytes) -> list[bytes]:
+    data = _large(payload)
+    (count,) = struct.unpack_from("<I", data)
+    sizes = _unpacked(data[4 : 4 + 4 * count])
+    ids, ends = _unpacked(data[4 + 4 * count :]).tobytes(), (4 * sizes.cumsum()).tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def _joined(uses: DataFrame, docs: DataFrame, file, finish, schema: str) -> DataFrame:
+def _joined(coded: DataFrame, file, finish, schema: str) -> DataFrame:
     """Joins the ids of a block's chunks to the positions of its documents. `finish` takes the model, doc_ids and
     the packed ids of some documents and gives columns."""
-    rows = uses.select("block", "code", "ids", F.lit(None).cast("long").alias("doc_id")).union(
-        docs.select("block", F.lit(None).cast("int"), F.col("codes"), "doc_id")
-    )
+    rows = coded.where("place is null or place < 0").union(segmented(coded, file))
     struct = struct_of(schema)
     arrow = to_arrow_schema(struct)
 
     def run(batches):
-        block, table = None, []
+        block, table, bucket_of, flat = None, None, b"", []
         for batch in batches:
-            model, blocks = _model(file), batch["block"].to_numpy()
-            is_use = batch["code"].is_valid().to_numpy(zero_copy_only=False)
-            # Stretches of one block and one kind; a block's chunks come first, in order of their numbers.
-            edges = np.flatnonzero((np.diff(blocks) != 0) | (is_use[1:] != is_use[:-1])) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(blocks)], strict=True):
-                if blocks[a] != block:
-                    block, table = blocks[a], []
-                if is_use[a]:
-                    table += batch["ids"].slice(a, b - a).to_pylist()
+            model, doc_ids, packed, size = _model(file), [], [], 0
+
+            def finished():
+                columns = finish(model, doc_ids, packed)  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+
+            for number, place, doc_id, payload in zip(*(batch[c] for c in ("block", "place", "doc_id", "payload")), strict=True):
+                if number.as_py() != block:
+                    block, table, flat = number.as_py(), None, []
+                if place.as_py() is not None:  # a block's list of buckets comes first, then its buckets in order, then documents
+                    if place.as_py() < 0:
+                        bucket_of = np.frombuffer(_large(payload.as_py()), dtype="<u2")
+                    else:
+                        flat += _ids_of(payload.as_py())
                     continue
-                for at in range(a, b, 128):
-                    part = batch.slice(at, min(128, b - at))
-                    packed = [
-                        model.framed(b"".join(map(table.__getitem__, _unpacked(codes.as_buffer().to_pybytes()).tolist())))
-                        for codes in part["ids"]
-                    ]
-                    columns = finish(model, part["doc_id"], packed)
-                    yield pa.RecordBatch.from_arrays(
-                        [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip((columns[f.name] for f in arrow), arrow, strict=True)],
-                        schema=arrow,
-                    )
-
-    ordered = rows.repartition("block").sortWithinPartitions("block", F.col("code").asc_nulls_last())
+                if table is None:
+                    inverse = np.empty(len(bucket_of), dtype=np.int64)
+                    inverse[np.argsort(bucket_of, kind="stable")] = np.arange(len(bucket_of))
+                    table, flat = [flat[i] for i in inverse.tolist()], []
+                codes = _unpacked(_large(payload.as_py()))
+                doc_ids.append(doc_id.as_py())
+                packed.append(model.framed(b"".join(map(table.__getitem__, codes.tolist()))))
+                size += len(packed[-1])
+                if size > 1 << 20:
+                    yield finished()
+                    doc_ids, packed, size = [], [], 0
+            if packed:
+                yield finished()
+
+    ordered = rows.repartition("block").sortWithinPartitions("block", F.col("place").asc_nulls_last())
     return ordered.mapInArrow(run, struct)
 
 
 def _prepared(docs: DataFrame, path: str | None, id_column: str, text_column: str):
     file = _model_file(docs, path)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    coded = cut_lineage(rows.mapInArrow(_coded, struct_of(CODED)))
-    listed = coded.where(F.col("chunks").isNotNull())
-    uses = listed.select("block", "first", F.posexplode("chunks").alias("at", "chunk")).select("block", (F.col("first") + F.col("at")).alias("code"), "chunk")
-    return file, uses, coded.where(F.col("codes").isNotNull())
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(max(LEAST_BUCKETS, 4 * partitions), MOST_BUCKETS)
+    return file, cut_lineage(rows.mapInArrow(_coded(buckets), struct_of(CODED)))
 
 
 def chunk_table(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The distinct chunks of all texts: chunk (with its marker), ids, and the blocks of documents that use it."""
-    file, uses, _ = _prepared(docs, path, id_column, text_column)
+    file, coded = _prepared(docs, path, id_column, text_column)
+
+    def listed(batches):
+        for batch in batches:
+            for payload in batch["payload"]:
+                yield pa.RecordBatch.from_arrays([pa.array([MARK + chunk for chunk in _chunks_of(payload.as_py())])], names=["chunk"])
 
     def run(batches):
         for batch in batches:
-            model = _model(file)
-            ids = [np.frombuffer(model.segment(chunk), dtype="<u4").astype(np.int32) for chunk in batch["chunk"].to_pylist()]
+            segment = _model(file).segment
+            ids = [np.frombuffer(segment(chunk), dtype="<u4").astype(np.int32) for chunk in batch["chunk"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["chunk"], pa.array(ids, pa.list_(pa.int32())), batch["n_blocks"]], names=["chunk", "ids", "n_blocks"])
 
-    counted = uses.groupBy(F.concat(F.lit(MARK), "chunk").alias("chunk")).agg(F.count("*").alias("n_blocks"))
+    uses = coded.where("place >= 0").select("payload").mapInArrow(listed, struct_of("chunk string"))
+    counted = uses.groupBy("chunk").agg(F.count("*").alias("n_blocks"))
     return counted.mapInArrow(run, struct_of("chunk string, ids array<int>, n_blocks long"))
 
 
 def encode(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and the ids (array of int, begin and end included) of every whole text."""
-    file, uses, coded = _prepared(docs, path, id_column, text_column)
+    file, coded = _prepared(docs, path, id_column, text_column)
 
     def finish(model, doc_ids, packed):
         return {"doc_id": doc_ids, "ids": [np.frombuffer(ids, dtype="<u4").astype(np.int32) for ids in packed]}
 
-    return _joined(segmented(uses, file), coded, file, finish, "doc_id long, ids array<int>")
+    return _joined(coded, file, finish, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str | None = None, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
@@ -406,7 +483,7 @@ def decode(tokens: DataFrame, path: str | None = None, id_column: str = "doc_id"
 
 def round_trip(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Encodes and decodes every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    file, uses, coded = _prepared(docs, path, id_column, text_column)
+    file, coded = _prepared(docs, path, id_column, text_column)
 
     def finish(model, doc_ids, packed):
         back = []
@@ -420,4 +497,4 @@ def round_trip(docs: DataFrame, path: str | None = None, id_column: str = "doc_i
             "ids_sha256": [hashlib.sha256(ids).hexdigest() for ids in packed], "decoded_sha256": back,
         }
 
-    return _joined(segmented(uses, file), coded, file, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _joined(coded, file, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
