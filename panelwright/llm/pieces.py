@@ -9,7 +9,8 @@ steps:
    often it occurs. Chunks leave in buckets by their hash, so a row is a few thousand chunks.
 2. Buckets of all blocks meet by number. A distinct chunk is in one bucket, is segmented when it is first
    met there, and its ids go to every block that uses it; a frequent chunk comes once per block.
-3. A block's buckets and documents meet again: ids are joined back by position, and decoded.
+3. A block's ids come to its documents, which lie in files dealt out by block: ids are joined back by position,
+   and decoded.
 
 A task remembers at most TABLE_BYTES of chunks of a bucket; beyond that it forgets them and segments again, so
 memory is bounded at any number of distinct chunks, and results stay the same.
@@ -29,23 +30,27 @@ import heapq
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from panelwright.llm.words import struct_of
-from panelwright.session import cut_lineage
+from panelwright.session import scratch_dir
 
 MARK = "▁"
 BLOCK_BYTES = 24 << 20  # text whose distinct chunks are numbered together, one document at least
 LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
 TABLE_BYTES = 64 << 20  # chunks and ids of a bucket that a task remembers
 DECODE_IDS = 1 << 16  # ids decoded at a time
+SHORT, NEVER = 48, -1e300  # characters of a short stretch; the score of what is no piece
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -118,61 +123,73 @@ class Model:
         self.begin, self.end = (controls[name] for name in ("<s>", "</s>"))
         self.is_byte = np.zeros(len(self.surfaces), dtype=bool)
         self.is_byte[list(self.bytes.values())] = True
-        self.neighbours = {pair for piece in self.ids for pair in zip(piece, piece[1:], strict=False)}
+        self.neighbours = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
 
-    def _stretches(self, chunk: str) -> Iterator[str]:
+    def stretches(self, chunk: str) -> Iterator[str]:
         """Parts of the chunk between which no merge can happen."""
-        start = 0
-        for i, pair in enumerate(zip(chunk, chunk[1:], strict=False), 1):
-            if pair not in self.neighbours:
+        start, neighbours = 0, self.neighbours
+        for i in range(1, len(chunk)):
+            if chunk[i - 1 : i + 1] not in neighbours:
                 yield chunk[start:i]
                 start = i
         yield chunk[start:]
 
     def _merged(self, text: str) -> list[str]:
+        """The pieces of a short stretch: neighbours' scores in a list, the highest looked for each time."""
         score = self.scores.get
-        size = len(text)
-        if size == 1:
-            return [text]
+        parts = list(text)
+        values = [score(text[i : i + 2], NEVER) for i in range(len(text) - 1)]
+        while values:
+            best = max(values)
+            if best == NEVER:
+                break
+            i = values.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del values[i]
+            if i < len(values):
+                values[i] = score(parts[i] + parts[i + 1], NEVER)
+            if i:
+                values[i - 1] = score(parts[i - 1] + parts[i], NEVER)
+        return parts
+
+    def _merged_long(self, text: str) -> list[str]:
+        """The same with a heap of neighbours, in a time that grows little faster than the stretch."""
+        score, size = self.scores.get, len(text)
         parts: list[str] = list(text)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         heap = []
-        for i in range(size - 1):
-            joint = parts[i] + parts[i + 1]
-            value = score(joint)
+
+        def offer(i: int, j: int) -> None:
+            value = score(parts[i] + parts[j])
             if value is not None:
-                heap.append((-value, i, joint))
-        heapq.heapify(heap)
+                heapq.heappush(heap, (-value, i, parts[i] + parts[j]))
+
+        for i in range(size - 1):
+            offer(i, i + 1)
         while heap:
             _, i, joint = heapq.heappop(heap)
             j = after[i] if parts[i] else size
             if j >= size or parts[i] + parts[j] != joint:
                 continue  # one of the two was merged elsewhere meanwhile
             parts[i], parts[j] = joint, ""
-            after[i] = k = after[j]
-            if k < size:
-                before[k] = i
-                value = score(joint + parts[k])
-                if value is not None:
-                    heapq.heappush(heap, (-value, i, joint + parts[k]))
-            h = before[i]
-            if h >= 0:
-                value = score(parts[h] + joint)
-                if value is not None:
-                    heapq.heappush(heap, (-value, h, parts[h] + joint))
+            after[i] = after[j]
+            if after[i] < size:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
         return [part for part in parts if part]
 
-    def segment(self, chunk: str) -> bytes:
-        """Ids of one chunk as little-endian unsigned 32-bit integers."""
+    def segment(self, stretch: str) -> bytes:
+        """Ids of one stretch as little-endian unsigned 32-bit integers."""
         ids: list[int] = []
-        for stretch in self._stretches(chunk):
-            for part in self._merged(stretch):
-                number = self.ids.get(part)
-                if number is None:
-                    ids += [self.bytes[byte] for byte in part.encode()]
-                else:
-                    ids.append(number)
-        return np.array(ids, dtype="<u4").tobytes()
+        for part in (self._merged if len(stretch) <= SHORT else self._merged_long)(stretch):
+            number = self.ids.get(part)
+            if number is None:
+                ids += [self.bytes[byte] for byte in part.encode()]
+            else:
+                ids.append(number)
+        return array("I", ids).tobytes()
 
     def framed(self, ids: bytes) -> bytes:
         return struct.pack("<I", self.begin) + ids + struct.pack("<I", self.end)
@@ -344,18 +361,26 @@ def _model_file(docs: DataFrame, path: str | None):
 
 
 class _Table(dict):
-    """Distinct chunk (without its first marker) -> packed ids, segmented when first met."""
+    """Distinct chunk (without its first marker) -> packed ids, segmented when first met. Chunks that differ in
+    punctuation only share their stretches."""
 
     def __init__(self, model: Model):
-        self.segment, self.size = model.segment, 0
+        self.model, self.known, self.size = model, {}, 0
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.segment(MARK + chunk)
-        self.size += len(chunk) + len(ids) + 200
         if self.size > TABLE_BYTES:
             self.clear()
-            self.size = len(chunk) + len(ids) + 200
-        self[chunk] = ids
+            self.known.clear()
+            self.size = 0
+        parts = []
+        for stretch in self.model.stretches(MARK + chunk):
+            ids = self.known.get(stretch)
+            if ids is None:
+                ids = self.known[stretch] = self.model.segment(stretch)
+                self.size += len(stretch) + len(ids) + 200
+            parts.append(ids)
+        ids = self[chunk] = b"".join(parts)
+        self.size += len(chunk) + len(ids) + 200
         return ids
 
 
@@ -387,45 +412,45 @@ def _ids_of(payload: bytes) -> list[bytes]:
 
 def _joined(coded: DataFrame, file, finish, schema: str) -> DataFrame:
     """Joins the ids of a block's chunks to the positions of its documents. `finish` takes the model, doc_ids and
-    the packed ids of some documents and gives columns."""
-    rows = coded.where("place is null or place < 0").union(segmented(coded, file))
+    the packed ids of some documents and gives columns. The documents lie in the files of their block already, so
+    only ids move."""
     struct = struct_of(schema)
     arrow = to_arrow_schema(struct)
 
-    def run(batches):
-        block, table, bucket_of, flat = None, None, b"", []
-        for batch in batches:
-            model, doc_ids, packed, size = _model(file), [], [], 0
-
-            def finished():
-                columns = finish(model, doc_ids, packed)  # noqa: B023
-                return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
-
-            for number, place, doc_id, payload in zip(*(batch[c] for c in ("block", "place", "doc_id", "payload")), strict=True):
-                if number.as_py() != block:
-                    block, table, flat = number.as_py(), None, []
-                if place.as_py() is not None:  # a block's list of buckets comes first, then its buckets in order, then documents
-                    if place.as_py() < 0:
-                        bucket_of = np.frombuffer(_large(payload.as_py()), dtype="<u2")
-                    else:
-                        flat += _ids_of(payload.as_py())
-                    continue
-                if table is None:
-                    inverse = np.empty(len(bucket_of), dtype=np.int64)
-                    inverse[np.argsort(bucket_of, kind="stable")] = np.arange(len(bucket_of))
-                    table, flat = [flat[i] for i in inverse.tolist()], []
-                codes = _unpacked(_large(payload.as_py()))
-                doc_ids.append(doc_id.as_py())
-                packed.append(model.framed(b"".join(map(table.__getitem__, codes.tolist()))))
-                size += len(packed[-1])
-                if size > 1 << 20:
-                    yield finished()
-                    doc_ids, packed, size = [], [], 0
-            if packed:
-                yield finished()
-
-    ordered = rows.repartition("block").sortWithinPartitions("block", F.col("place").asc_nulls_last())
-    return ordered.mapInArrow(run, struct)
+    def run(documents: pa.Table, buckets: pa.Table) -> pa.Table:
+        model, flat, table, made = _model(file), [], [], []
+        buckets = buckets.sort_by("place")
+        for payload in buckets["payload"]:
+            flat += _ids_of(payload.as_py())
+        is_list = pc.is_valid(documents["place"])
+        for payload in documents.filter(is_list)["payload"]:
+            bucket_of = np.frombuffer(_large(payload.as_py()), dtype="<u2")
+            inverse = np.empty(len(bucket_of), dtype=np.int64)
+            inverse[np.argsort(bucket_of, kind="stable")] = np.arange(len(bucket_of))
+            table = [flat[i] for i in inverse.tolist()]
+        documents = documents.filter(pc.invert(is_list))
+        for at in range(0, documents.num_rows, 64):
+            part = documents.slice(at, 64)
+            packed = [
+                model.framed(b"".join(map(table.__getitem__, _unpacked(_large(payload.as_py())).tolist()))) for payload in part["payload"]
+            ]
+            columns = finish(model, part["doc_id"].to_pylist(), packed)
+            made.append(pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow))
+        return pa.Table.from_batches(made, schema=arrow)
+
+    documents = coded.where("place is null or place < 0").groupBy("block")
+    return documents.cogroup(segmented(coded, file).groupBy("block")).applyInArrow(run, struct)
+
+
+def _stored_by_block(rows: DataFrame) -> DataFrame:
+    """The rows as a stored table whose files are dealt out by block, so that no join on block moves them. The
+    catalogue's entry goes at once, the frame keeps to the files in the shared folder."""
+    spark, name = rows.sparkSession, f"coded_{uuid4().hex}"
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(partitions, "block").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def _prepared(docs: DataFrame, path: str | None, id_column: str, text_column: str):
@@ -433,7 +458,7 @@ def _prepared(docs: DataFrame, path: str | None, id_column: str, text_column: st
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(max(LEAST_BUCKETS, 4 * partitions), MOST_BUCKETS)
-    return file, cut_lineage(rows.mapInArrow(_coded(buckets), struct_of(CODED)))
+    return file, _stored_by_block(rows.mapInArrow(_coded(buckets), struct_of(CODED)))
 
 
 def chunk_table(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -447,8 +472,8 @@ def chunk_table(docs: DataFrame, path: str | None = None, id_column: str = "doc_
 
     def run(batches):
         for batch in batches:
-            segment = _model(file).segment
-            ids = [np.frombuffer(segment(chunk), dtype="<u4").astype(np.int32) for chunk in batch["chunk"].to_pylist()]
+            table = _Table(_model(file))
+            ids = [np.frombuffer(table[chunk[1:]], dtype="<u4").astype(np.int32) for chunk in batch["chunk"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["chunk"], pa.array(ids, pa.list_(pa.int32())), batch["n_blocks"]], names=["chunk", "ids", "n_blocks"])
 
     uses = coded.where("place >= 0").select("payload").mapInArrow(listed, struct_of("chunk string"))

@@ -33,7 +33,8 @@ def model():
 
 
 def one_by_one(model, text):
-    return model.framed(b"".join(model.segment(pieces.MARK + chunk) for chunk in pieces.chunks(text)))
+    table = pieces._Table(model)
+    return model.framed(b"".join(map(table.__getitem__, pieces.chunks(text))))
 
 
 def test_segmenting_and_decoding_equal_the_library(model):
@@ -44,6 +45,14 @@ def test_segmenting_and_decoding_equal_the_library(model):
         assert b"".join(model.decoded(packed)).decode() == back
 
 
+def test_a_bounded_table_and_the_heap_change_nothing(model, monkeypatch):
+    texts = AWKWARD + [noise(seed) for seed in range(60)]
+    plain = [one_by_one(model, text) for text in texts]
+    monkeypatch.setattr(pieces, "TABLE_BYTES", 0)
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    assert [one_by_one(model, text) for text in texts] == plain
+
+
 def test_decoding_in_small_blocks_and_of_broken_bytes(model, monkeypatch):
     broken = [model.begin, *(model.bytes[b] for b in (0xE6, 0x97, 0xA5, 0xFF, 0xE6, 0x97)), 400, model.end, model.bytes[0xF0]]
     for size in (1, 2, 3, 1 << 16):
