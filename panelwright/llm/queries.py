@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm import (
-    bpe, decontaminate, exact_dedup, lm_score, near_dup, pieces, pii, quality, repeats, search, secrets,
+    bpe, decontaminate, exact_dedup, lm_score, near_dup, pieces, pii, prefix_trie, quality, repeats, search, secrets,
     toxicity,
 )
 
@@ -66,6 +66,10 @@ def op12_ranked_search(spark, folder):
     return search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op13_prefix_trie(spark, folder):
+    return prefix_trie.trie(_table(spark, folder, "conversations"))
+
+
 def pipeline(spark, folder):
     import corpus_pipeline
 
@@ -77,7 +81,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_pii, op2_minhash_near_dup, op3_suffix_repeats, op4_decontamination, op5_byte_bpe, op6_secret_scan,
         op7_quality, op8_lm_score, op8_word_lm_score, op9_exact_dedup, op10_toxicity, op11_sentencepiece,
-        op12_ranked_search, pipeline,
+        op12_ranked_search, op13_prefix_trie, pipeline,
     )
 }
 
@@ -85,6 +89,11 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS4 = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _WORDS8 = f"regexp_extract_all({_LOWER}, '[^\\x09-\\x0D\\x20]+')"
 
+# DuckDB has no crc32: eight steps of its polynomial for each character of the decimal number.
+_CRC32 = """xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda a, b:
+    list_reduce(list_concat([xor(a, b)], [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda v, z:
+        CASE WHEN v % 2 = 1 THEN xor(v // 2, CAST(3988292384 AS BIGINT)) ELSE v // 2 END), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"""
+
 ORACLE: dict[str, str] = {
     "op4_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS4} AS w FROM documents),
@@ -169,4 +178,31 @@ ORACLE: dict[str, str] = {
             FROM q JOIN f USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY i, item_id, r, doc_id),
         o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS place FROM s WHERE score > 0)
         SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM o WHERE place <= 20""",
+    "op13_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id, sha256(octet_length(encode(r)) || ':' || r || x) AS h, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS words,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(r)) || ':' || r || x)) - 1 AS pos
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+        c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC32} % 4 AS skip FROM (SELECT DISTINCT conv_id FROM t)),
+        b AS (
+            SELECT c.conv_id, t.pos, t.h, t.words FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.skip
+            UNION ALL SELECT c.conv_id, t.pos, t.h, t.words FROM c JOIN t USING (conv_id) WHERE t.pos >= c.skip),
+        p AS (
+            SELECT conv_id, words, row_number() OVER w AS depth, string_agg(h, '') OVER w AS path FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+        m AS (
+            SELECT conv_id, depth, path, substr(path, 1, CAST(64 * (depth - 1) AS BIGINT)) AS above, words FROM p
+            UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM c),
+        longest AS (SELECT conv_id, max(depth) AS size FROM m GROUP BY conv_id),
+        n AS (
+            SELECT path, any_value(depth) AS depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+                (count(*) - 1) * any_value(words) AS gain,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = size), '')) AS ends_sha256
+            FROM m JOIN longest USING (conv_id) GROUP BY path),
+        k AS (SELECT above AS path, count(*) AS n_children FROM n GROUP BY above),
+        v AS (
+            SELECT m.path, count(*) FILTER (WHERE k.path IS NULL) AS n_leaves, sum(n.gain) AS saved
+            FROM n LEFT JOIN k USING (path) JOIN m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.path)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+            n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM n LEFT JOIN n AS u ON u.path = n.above LEFT JOIN k ON k.path = n.path JOIN v ON v.path = n.path""",
 }
