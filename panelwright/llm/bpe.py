@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.words import map_rows
 
 STATES = 250_000  # remembered states of the transducer
-PIECES = 300_000  # remembered pieces of text
+PIECES = 75_000  # remembered pieces of text in each of two generations
 NODE_BITS, TOKEN_BITS = 28, 24  # room for nodes of the prefix tree and for tokens
 NODE, TOKEN = (1 << NODE_BITS) - 1, (1 << TOKEN_BITS) - 1
 LOOKAHEAD = 4_096  # bytes after which tokens leave that are settled; far above the longest token
@@ -210,6 +210,7 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.transducer = Transducer(ranks)
+        self.older: dict[str, bytes] = {}  # what was met before the younger generation was full
         self.matches = regex.compile(pattern).findall
 
     def _tokens(self, text: str) -> bytes:
@@ -228,9 +229,12 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise KeyError(piece)
-        value = self._tokens(" " + piece)
+        value = self.older.get(piece)
+        if value is None:
+            value = self._tokens(" " + piece)
         if len(piece) <= 64:
             if len(self) >= PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = value
         return value
@@ -375,10 +379,11 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
 
 def encode_checked(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids, n_tokens and round_trip (decoding gives the text back) of every whole text."""
+    """doc_id, ids, n_tokens and round_trip (decoding gives the text back) of every whole text. A stage among
+    others: the codec goes with the task, so that a reused Python worker does not carry it into the next stage."""
     vocabulary, pattern = _vocabulary(docs, path, pattern)
 
-    def run(batch: pa.RecordBatch):
+    def coded(batch: pa.RecordBatch):
         encoder, table = _codec(vocabulary, pattern)
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -390,4 +395,5 @@ def encode_checked(docs: DataFrame, path: str | None = None, pattern: str | None
                 "round_trip": ["".join(decoded(ids, table)) == text for ids, text in zip(packed, texts, strict=True)],
             }
 
-    return map_rows(_rows(docs, "doc_id", "text"), run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+    schema = "doc_id long, ids array<int>, n_tokens long, round_trip boolean"
+    return map_rows(_rows(docs, "doc_id", "text"), coded, schema, _built.clear)

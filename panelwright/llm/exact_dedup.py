@@ -112,12 +112,9 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of equal texts; the columns of `docs`."""
-    kept = exact_groups(docs).where("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), (F.col("ties") > 1).alias("_tied")
-    )
-    text = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    rows = docs.join(kept.dropDuplicates(["_kept_id", "_kept_sha"]), docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (text == kept["_kept_sha"]))
-    single = rows.where("not _tied").select(*[docs[c] for c in docs.columns])
-    tied = rows.where("_tied").dropDuplicates(["_kept_id", "_kept_sha"]).select(*[docs[c] for c in docs.columns])
-    return single.union(tied)
+    """One row of each group of equal texts; the columns of `docs`, whatever their names."""
+    kept = exact_groups(docs).where("kept").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).agg((F.max("ties") > 1).alias("tied"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.sha2(F.coalesce(docs["text"], F.lit("")), 256).alias("sha"))
+    rows = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")))
+    tied = rows.where("tied").dropDuplicates(["kept_id", "kept_sha"])
+    return rows.where("not tied").union(tied).select("row.*")

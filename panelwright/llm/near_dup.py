@@ -11,8 +11,8 @@ only pairs that pass two bounds which lose no link: the ratio of the set sizes,
 the counts per hash range allow.
 
 Defined cases: null text is empty; a text without words has an empty set and is linked with nothing;
-rows that repeat a doc_id are judged one by one; a component keeps the row that comes first by
-doc_id (null last), then text key, and rows equal to it; a null doc_id never names a component that has a
+rows that repeat a doc_id are judged one by one; `keep_one` keeps a component's row that comes first by
+doc_id (null last), then text key; a null doc_id never names a component that has a
 member with one; extra columns are not read.
 """
 
@@ -30,6 +30,7 @@ SHINGLE = 5
 BANDS, ROWS = 40, 8  # a pair at similarity 0.85 shares no band with probability 3e-6
 BINS = BANDS * ROWS
 RANGES, LEVELS = 128, 8  # a profile counts the hashes of each range in unary, up to LEVELS
+SALTS, HOT = 64, 1000  # keys that a hot centre is dealt over; a centre is hot above one in HOT of all pairs
 SMALL = 500_000  # rows of (id, text key) that may be broadcast: at most 40 MB
 
 _RNG = np.random.default_rng(85)
@@ -139,10 +140,17 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: in
         F.col("text_key").eqNullSafe(F.col("need_key")) & F.col("doc_id").eqNullSafe(F.col("need_id")),
     ).select("node", "text")
     sets = cut_lineage(map_rows(found, _full_sets, "node long, items array<long>"))
-    both = (
-        pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-        .join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
+    # A centre with many pairs is dealt over SALTS keys, and so are its copies; there are at most HOT such centres.
+    counts = pairs.groupBy(F.col("a").alias("hot")).agg(F.count("*").alias("size"))
+    hot = F.broadcast(counts.where(F.col("size") > F.greatest(F.lit(pairs.count() / HOT), F.lit(HOT))).select("hot"))
+    salted = pairs.join(hot, F.col("a") == F.col("hot"), "left").withColumn(
+        "salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    )
+    centres = sets.join(hot, F.col("node") == F.col("hot"), "left").select(
+        F.col("node").alias("a"), F.col("items").alias("items_a"),
+        F.explode(F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"),
     )
+    both = salted.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b").join(centres, ["a", "salt"])
     overlap = F.size(F.array_intersect("items_a", "items_b"))
     return cut_lineage(both.where(_can_link(percent, overlap, "n_a", "n_b")).select("a", "b"))
 
@@ -174,7 +182,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and text_key for every row of `docs`."""
+    """doc_id, n_shingles, component_id, kept (doc_id names the component), text_key and leads (the row that
+    `keep_one` keeps, or one equal to it) for every row of `docs`."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     texts = texts.withColumn("text_key", F.xxhash64("text"))
     sketches = cut_lineage(
@@ -221,17 +230,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     leads = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("leader_key"))
     return result.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"),
-        ((F.col("n") == 0) | leads).alias("kept"), "text_key",
+        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key", ((F.col("n") == 0) | leads).alias("leads"),
     )
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id (null last), then text key; rows that repeat both its
-    doc_id and its text count once. Returns the columns of `docs`."""
-    kept = near_duplicates(docs, percent).where("kept").groupBy("doc_id", "text_key").agg((F.count("*") > 1).alias("_tied"))
-    kept = kept.withColumnsRenamed({"doc_id": "_kept_id", "text_key": "_kept_key"})
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (key == kept["_kept_key"]))
-    single = rows.where("not _tied").select(*[docs[c] for c in docs.columns])
-    tied = rows.where("_tied").dropDuplicates(["_kept_id", "_kept_key"]).select(*[docs[c] for c in docs.columns])
-    return single.union(tied)
+    doc_id and its text count once. Returns the columns of `docs`, whatever their names."""
+    kept = near_duplicates(docs, percent).where("leads").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).agg((F.count("*") > 1).alias("tied"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("key"))
+    rows = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+    tied = rows.where("tied").dropDuplicates(["kept_id", "kept_key"])
+    return rows.where("not tied").union(tied).select("row.*")

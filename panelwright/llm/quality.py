@@ -24,6 +24,7 @@ from panelwright.llm.words import encoded, map_rows
 
 MODULUS, HELD = 3, 1
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
+PART = 256  # texts whose features are computed at a time
 TURNS, PAIR_TURNS, RATE, SHRINK = 200, 60, 0.1, 5.0
 FEATURES = (
     "log_words", "mean_word", "capitals", "signs", "stops", "digits", "not_ascii", "breaks",
@@ -162,8 +163,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Gam:
     return model
 
 
-def _scores(texts: list[bytes], model: Gam) -> np.ndarray:
-    return model.score(np.array([features(text) for text in texts])) if texts else np.zeros(0)
+def _scores(column: pa.Array, model: Gam) -> np.ndarray:
+    """Scores of a batch's texts, PART of which are Python objects at a time."""
+    parts = [[features(text) for text in encoded(column.slice(at, PART))] for at in range(0, len(column), PART)]
+    return model.score(np.array([x for part in parts for x in part])) if parts else np.zeros(0)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -171,7 +174,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # some hundred numbers
 
     def run(batch: pa.RecordBatch):
-        yield {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": _scores(encoded(batch["text"]), model.value)}
+        yield {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": _scores(batch["text"], model.value)}
 
     rows = docs.select("doc_id", held_out("doc_id", MODULUS, HELD).alias("held_out"), "text")
     scored = map_rows(rows, run, "doc_id long, held_out boolean, score double")
@@ -184,6 +187,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_scores(encoded(batch["text"]), model.value) >= 0.5))
+            yield batch.filter(pa.array(_scores(batch["text"], model.value) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ def op1_pii(spark, folder):
 
 
 def op2_minhash_near_dup(spark, folder):
-    return near_dup.near_duplicates(_table(spark, folder, "documents")).drop("text_key")
+    return near_dup.near_duplicates(_table(spark, folder, "documents")).drop("text_key", "leads")
 
 
 def op3_suffix_repeats(spark, folder):
@@ -43,11 +43,11 @@ def op7_quality(spark, folder):
 
 
 def op8_lm_score(spark, folder):
-    return lm_score.score(_table(spark, folder, "documents"))
+    return lm_score.score_words(_table(spark, folder, "documents"))
 
 
-def op8_word_lm_score(spark, folder):
-    return lm_score.score_words(_table(spark, folder, "documents"))
+def op8_byte_lm_score(spark, folder):
+    return lm_score.score(_table(spark, folder, "documents"))
 
 
 def op9_exact_dedup(spark, folder):
@@ -80,7 +80,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_minhash_near_dup, op3_suffix_repeats, op4_decontamination, op5_byte_bpe, op6_secret_scan,
-        op7_quality, op8_lm_score, op8_word_lm_score, op9_exact_dedup, op10_toxicity, op11_sentencepiece,
+        op7_quality, op8_lm_score, op8_byte_lm_score, op9_exact_dedup, op10_toxicity, op11_sentencepiece,
         op12_ranked_search, op13_prefix_trie, pipeline,
     )
 }
@@ -113,7 +113,7 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN marked USING (r) LEFT JOIN items USING (r)""",
-    "op8_lm_score": """
+    "op8_byte_lm_score": """
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
         x AS (SELECT r, '000000' || hex(encode(t)) AS h, octet_length(encode(t)) AS n FROM d),
         p AS (SELECT r, substr(h, 2 * i + 1, 8) AS g FROM (SELECT r, h, unnest(range(0, n)) AS i FROM x)),
@@ -136,7 +136,7 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, round(coalesce(score, 0), 3) AS log_score,
             CASE WHEN n > 0 THEN round(score / n, 6) END AS mean_log_score
         FROM d LEFT JOIN s USING (r)""",
-    "op8_word_lm_score": f"""
+    "op8_lm_score": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS8} AS w FROM documents),
         p AS (
             SELECT r, l[i] AS w1, l[i + 1] AS w2, l[i + 2] AS w3

@@ -102,8 +102,8 @@ def struct_of(schema: str) -> StructType:
     return StructType.fromDDL(schema)
 
 
-def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
-    """`function` takes an Arrow batch and yields dictionaries of columns."""
+def map_rows(df: DataFrame, function, schema: str, at_end=None) -> DataFrame:
+    """`function` takes an Arrow batch and yields dictionaries of columns; `at_end` is called when the task ends."""
     struct = struct_of(schema)
     arrow = to_arrow_schema(struct)
 
@@ -116,6 +116,8 @@ def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
                         [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(made, arrow, strict=True)],
                         schema=arrow,
                     )
+        if at_end is not None:
+            at_end()
 
     return df.mapInArrow(run, struct)
 

@@ -5,7 +5,8 @@ import random
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, "
     # Names that operators use themselves.
-    "n int, node long, kept string, score double, spans string, label int, row string, text_key string, digest string, held_out string"
+    "n int, node long, kept string, score double, spans string, label int, row string, text_key string, digest string, held_out string, "
+    "_tied string, tied string, leads string, key string, sha string, kept_id string, salt string"
 )
 _draw = random.Random(77)
 VOCABULARY = ["".join(_draw.choice("abcdefgéß") for _ in range(_draw.randrange(1, 7))) for _ in range(400)]
@@ -47,7 +48,7 @@ def texts():
 
 def documents(spark, rows=None):
     content = texts() if rows is None else rows
-    table = [(i, t, "en", "s", -1, i, 5, "k", 0.5, "z", 1, "r", "t", "d", "h") for i, t in content]
+    table = [(i, t, "en", "s", -1, i, 5, "k", 0.5, "z", 1, "r", "t", "d", "h", *"abcdefg") for i, t in content]
     return spark.createDataFrame(table, SCHEMA)
 
 

@@ -78,7 +78,7 @@ def test_near_duplicates_equal_brute_force(spark):
             names[top(i)].append(doc)
     expected = [(doc, len(sets[i]), min(names[top(i)], default=None) if sets[i] else doc) for i, (doc, _) in enumerate(rows)]
     assert sorted(map(str, expected)) == sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in found)
-    assert all(r.kept == (r.doc_id == r.component_id) for r in found if r.doc_id is not None)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
 def test_one_document_of_each_near_group_stays(spark):
@@ -98,7 +98,23 @@ def test_null_ids_and_shared_ids_leave_one_row(spark):
     assert stems == sorted(text[:40] for text in (rows[1][1], shared, other, alone))
     flags = near_dup.near_duplicates(docs).collect()
     assert [r.kept for r in flags if r.component_id == 7 and r.doc_id is None] == [False, False]
-    assert sum(r.kept for r in flags if r.doc_id == 4) == 1
+    assert sum(r.leads for r in flags if r.doc_id == 4) == 1 and all(r.kept for r in flags if r.doc_id == 4)
+
+
+def test_every_row_that_names_its_component_is_kept_by_contract(spark):
+    text = corpus.prose(200, 70)
+    found = near_dup.near_duplicates(corpus.documents(spark, [(1, text + " extra"), (1, text), (2, text)])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(1, 1, True), (1, 1, True), (2, 1, False)]
+    assert sum(r.leads for r in found) == 1
+
+
+def test_a_hot_centre_is_dealt_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT", 5)
+    monkeypatch.setattr(near_dup, "SALTS", 4)
+    base = corpus.prose(150, 71)
+    rows = [(i, f"{base} tail{i}") for i in range(60)] + [(100 + i, corpus.prose(30, 200 + i)) for i in range(10)]
+    found = near_dup.near_duplicates(corpus.documents(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: 0 for i in range(60)} | {100 + i: 100 + i for i in range(10)}
 
 
 def test_bounds_lose_no_link_and_densified_bins_agree():
