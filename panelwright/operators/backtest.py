@@ -22,7 +22,6 @@ GRIDS = {
     "active_last4": [0, 1, 2, 3, 4],
     "inactive_quarters": [0, 1, 2, 3, 4, 8, 12, 16],
 }
-IDENTITY = ("EMPLOYER_ID", "EMPLOYER_NAME", "origin", "target_quarter", "horizon", "target_cases", "target_active")
 
 
 def backtest(examples: DataFrame, selection: Selection) -> DataFrame:
@@ -35,9 +34,10 @@ def backtest(examples: DataFrame, selection: Selection) -> DataFrame:
     training, evaluation = evaluate.rolling_split(examples, origin)
     scored = evaluate.with_baselines(evaluation, training)
     for method, settings in selection.parameters.items():
-        refitted = fit(method, settings, training, origin)
+        refitted = fit(method, settings, training)
         scored = calibrated(predict_with(refitted, scored, method), selection, method, method)
-    return scored.select(*IDENTITY, *selection.parameters, *evaluate.BASELINES)
+    identity = [name for name in examples.columns if name not in FEATURES]
+    return scored.select(*identity, *selection.parameters, *evaluate.BASELINES)
 
 
 def backtest_metrics(predictions: DataFrame, methods: Sequence[str]) -> DataFrame:

@@ -9,19 +9,18 @@ from dataclasses import dataclass, field
 from statistics import median
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Matrices
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.calendar import number_label
 from panelwright.functions.numeric import log_odds
+from panelwright.operators.boosting import WEIGHT, fit_boosted
 from panelwright.operators.evaluate import log_loss, rolling_split
 from panelwright.operators.features import FEATURES
 from panelwright.operators.quality import enforce_splits
-from panelwright.session import shared_dir
 
 SEED = 42
 LABEL = "target_active"
@@ -99,58 +98,20 @@ def forest(settings: dict) -> Pipeline:
     return Pipeline(stages=[_assembler(FEATURES, "features"), trees])
 
 
-def boosting(settings: dict) -> GBTClassifier:
-    trees = GBTClassifier(
-        featuresCol="level_features", labelCol=LABEL, predictionCol="level", maxIter=settings["trees"],
-        maxDepth=settings["depth"], stepSize=settings["rate"], minInstancesPerNode=settings.get("leaf", 20),
-        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED,
-    )
-    return trees.setProbabilityCol("level_probability").setRawPredictionCol("level_margins")
-
-
-def level_features() -> VectorAssembler:
-    """Inputs without a required direction; the boosted trees see only these."""
-    return _assembler([name for name in FEATURES if name not in TRENDS], "level_features")
-
-
-def trend_line() -> LogisticRegression:
-    """Logistic line over the trees' margin and the trends, coefficients held to their signs."""
-    # Finite, since saved models do not load infinite bounds; far beyond any coefficient.
-    bound = 1e6
-    signs = [1, *TRENDS.values()]
-    low = [0.0 if sign > 0 else -bound for sign in signs]
-    high = [bound if sign > 0 else 0.0 for sign in signs]
-    return LogisticRegression(
-        featuresCol="trend_features", labelCol=LABEL, family="binomial", maxIter=200,
-        lowerBoundsOnCoefficients=Matrices.dense(1, len(low), low),
-        upperBoundsOnCoefficients=Matrices.dense(1, len(high), high),
-    )
-
+def fit_monotone(training: DataFrame, settings: dict, evaluation: DataFrame | None = None) -> PipelineModel:
+    """Boosted trees that hold every trend's direction; with `evaluation` they stop once its loss does not fall."""
+    trees = fit_boosted(
+        training, FEATURES, LABEL, TRENDS, settings["trees"], settings["depth"], settings["rate"],
+        settings.get("leaf", WEIGHT), evaluation, PATIENCE, SEED,
+    )
+    return PipelineModel(stages=[trees])
 
-def fit_monotone(training: DataFrame, settings: dict, origin: int) -> PipelineModel:
-    """Boosted trees on the free inputs, then a sign-bounded line that adds the trends.
 
-    The line is fitted on margins of trees that did not see its rows: trees for it stop two quarters
-    earlier. The trees kept are fitted on all training rows."""
-    assemble = level_features()
-    rows = assemble.transform(training)
-    earlier, later = rows.where(F.col("target_quarter") <= origin - 2), rows.where(F.col("target_quarter") > origin - 2)
-    outcomes = earlier.agg(F.min(LABEL).alias("low"), F.max(LABEL).alias("high")).first()
-    if outcomes["low"] is None or outcomes["low"] == outcomes["high"]:
-        raise ValueError(f"Outcomes up to {number_label(origin - 2)} have a single class; the trends cannot be fitted on unseen rows")
-    trees, unseen = boosting(settings).fit(rows), boosting(settings).fit(earlier)
-    margin = VectorSlicer(inputCol="level_margins", outputCol="margin", indices=[1])
-    trends = _assembler(["margin", *TRENDS], "trend_features")
-    seen = trends.transform(margin.transform(unseen.transform(later)))
-    line = trend_line().fit(seen)
-    return PipelineModel(stages=[assemble, trees, margin, trends, line])
-
-
-def fit(method: str, settings: dict, training: DataFrame, origin: int) -> PipelineModel:
+def fit(method: str, settings: dict, training: DataFrame, evaluation: DataFrame | None = None) -> PipelineModel:
     if method == "random_forest":
         return forest(settings).fit(training)
     if method == "boosted":
-        return fit_monotone(training, settings, origin)
+        return fit_monotone(training, settings, evaluation)
     raise ValueError(f"Unknown model: {method}")
 
 
@@ -164,24 +125,6 @@ def mean_loss(scored: DataFrame, probability: str = "probability") -> float:
     return scored.agg(F.avg(log_loss(F.col(LABEL), F.col(probability)))).first()[0]
 
 
-def best_iteration(losses: Sequence[float], patience: int = PATIENCE) -> int:
-    """Trees to keep: the best loss so far once ``patience`` further rounds bring no better one."""
-    best = 0
-    for at, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = at
-        elif at - best >= patience:
-            break
-    return best + 1
-
-
-def stopped_trees(settings: dict, training: DataFrame, evaluation: DataFrame) -> int:
-    """Trees the boosting should keep, judged by its loss on the evaluation rows."""
-    assemble = level_features()
-    trees = boosting(settings).fit(assemble.transform(training))
-    return best_iteration(trees.evaluateEachIteration(assemble.transform(evaluation)))
-
-
 def search(examples: DataFrame, candidates: dict[str, list[dict]], origins: Sequence[int]) -> tuple[dict, list[dict]]:
     """Best settings of each method by mean log loss over the tuning origins."""
     losses = []
@@ -189,13 +132,10 @@ def search(examples: DataFrame, candidates: dict[str, list[dict]], origins: Sequ
         training, evaluation = (side.persist() for side in rolling_split(examples, origin))
         for method, options in candidates.items():
             for index, settings in enumerate(options):
-                tried = dict(settings)
-                if method == "boosted":
-                    tried["trees"] = stopped_trees(settings, training, evaluation)
-                scored = predict_with(fit(method, tried, training, origin), evaluation)
-                losses.append(
-                    {"method": method, "candidate": index, "origin": origin, "trees": tried["trees"], "log_loss": mean_loss(scored)}
-                )
+                fitted = fit(method, settings, training, evaluation)
+                trees = len(fitted.stages[0].model()["trees"]) if method == "boosted" else settings["trees"]
+                loss = mean_loss(predict_with(fitted, evaluation))
+                losses.append({"method": method, "candidate": index, "origin": origin, "trees": trees, "log_loss": loss})
         training.unpersist()
         evaluation.unpersist()
     return {name: best_candidate(losses, name, options) for name, options in candidates.items()}, losses
@@ -240,9 +180,9 @@ def choose_calibration(examples: DataFrame, parameters: dict[str, dict], plan: d
     lines, used = {}, {}
     for method, settings in parameters.items():
         training, rows = rolling_split(examples, plan["calibration_origin"])
-        lines[method] = fit_calibration(predict_with(fit(method, settings, training, plan["calibration_origin"]), rows))
+        lines[method] = fit_calibration(predict_with(fit(method, settings, training), rows))
         training, rows = rolling_split(examples, plan["selection_origin"])
-        raw = predict_with(fit(method, settings, training, plan["selection_origin"]), rows).persist()
+        raw = predict_with(fit(method, settings, training), rows).persist()
         adjusted = raw.withColumn("probability", calibrate(F.col("probability"), lines[method]))
         allowed = method != "boosted" or lines[method][0] > 0
         used[method] = bool(allowed and mean_loss(adjusted) < mean_loss(raw))
@@ -253,14 +193,13 @@ def choose_calibration(examples: DataFrame, parameters: dict[str, dict], plan: d
 def train(examples: DataFrame, last: int, candidates: dict[str, list[dict]] | None = None, version: str = "") -> tuple[Selection, dict[str, PipelineModel]]:
     """Search, calibrate and fit through the last quarter; pass a stored examples table."""
     candidates = candidates or CANDIDATES
-    shared_dir(examples.sparkSession)  # boosting cuts its lineage there
     plan = time_plan(last)
     origins = [*plan["tuning_origins"], plan["calibration_origin"], plan["selection_origin"]]
     enforce_splits(examples, origins, FEATURES)
     parameters, losses = search(examples, candidates, plan["tuning_origins"])
     lines, used = choose_calibration(examples, parameters, plan)
     training = examples.where(F.col(LABEL).isNotNull() & (F.col("target_quarter") <= last)).persist()
-    models = {method: fit(method, settings, training, last) for method, settings in parameters.items()}
+    models = {method: fit(method, settings, training) for method, settings in parameters.items()}
     selection = Selection(parameters, lines, used, plan, last, training.count(), version, losses)
     training.unpersist()
     return selection, models

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions.calendar import label_number, number_label
-from panelwright.operators import backtest, features, model
+from panelwright.operators import backtest, boosting, model
 from panelwright.operators.features import FEATURES
 from panelwright.plans import refresh
 from panelwright.sources import ledger as store
@@ -18,10 +18,10 @@ SMALL = {
 
 
 def test_early_stopping_waits_for_its_patience():
-    assert model.best_iteration([3.0, 2.0, 2.5, 1.9, 2.0]) == 4
+    assert boosting.kept_trees([3.0, 2.0, 2.5, 1.9, 2.0], 40) == 4
     falling_late = [1.0, 0.5] + [0.6] * 45 + [0.1]
-    assert model.best_iteration(falling_late) == 2
-    assert model.best_iteration(falling_late, patience=60) == len(falling_late)
+    assert boosting.kept_trees(falling_late, 40) == 2
+    assert boosting.kept_trees(falling_late, 60) == len(falling_late)
     losses = [
         {"method": "boosted", "candidate": c, "trees": t, "log_loss": x}
         for c, t, x in ((0, 10, 0.5), (0, 30, 0.7), (1, 20, 0.55), (1, 41, 0.5))
@@ -46,7 +46,7 @@ def test_trends_only_move_the_probability_their_way(spark):
         rows.append((f"r{i}", 10 + i % 4, label, *[float(values[n]) for n in FEATURES]))
     schema = "EMPLOYER_ID string, target_quarter int, target_active double, " + ", ".join(f"{n} float" for n in FEATURES)
     frame = spark.createDataFrame(rows, schema).persist()
-    fitted = model.fit("boosted", {"trees": 5, "depth": 3, "rate": 0.1}, frame, 13)
+    fitted = model.fit("boosted", {"trees": 30, "depth": 3, "rate": 0.2}, frame)
     report = {r["feature"]: r for r in backtest.monotonicity_audit(fitted, frame).collect()}
     assert set(report) == set(model.TRENDS) and sum(r["violations"] for r in report.values()) == 0
     assert report["recent_slope"]["rows"] == 512 and report["recent_slope"]["comparisons"] == 512 * 8
@@ -55,13 +55,6 @@ def test_trends_only_move_the_probability_their_way(spark):
     assert spread > 0.2
 
 
-def test_trends_are_never_fitted_on_rows_the_trees_saw(spark):
-    rows = [(f"r{i}", 10 + i % 4, float(i % 4 == 3 and i % 8 > 3), *[1.0] * len(FEATURES)) for i in range(80)]
-    schema = "EMPLOYER_ID string, target_quarter int, target_active double, " + ", ".join(f"{n} float" for n in FEATURES)
-    with pytest.raises(ValueError, match="single class"):
-        model.fit("boosted", {"trees": 2, "depth": 2, "rate": 0.1}, spark.createDataFrame(rows, schema), 13)
-
-
 def test_calibration_is_a_penalised_line_over_log_odds(spark):
     import numpy as np
 
