@@ -47,7 +47,11 @@ def latest_cases(raw: DataFrame, date_column: str, order_by: Sequence[str] = ORD
     """Newest version of every case with its quarter and position count, all classes."""
     needed = ["CASE_NUMBER", *order_by, "VISA_CLASS", "CASE_STATUS", "EMPLOYER_NAME", "TOTAL_WORKER_POSITIONS"]
     dated = with_case_date(canonical_cases(raw), date_column).select(*needed, "quarter")
-    latest = latest_version(dated, ["CASE_NUMBER"], order_by)
+    return typed_cases(latest_version(dated, ["CASE_NUMBER"], order_by))
+
+
+def typed_cases(latest: DataFrame) -> DataFrame:
+    """Newest cases with their position count as a number."""
     positions = F.when(
         strip(F.col("TOTAL_WORKER_POSITIONS")).rlike(POSITIONS_PATTERN),
         strip(F.col("TOTAL_WORKER_POSITIONS")).try_cast("long"),

@@ -108,10 +108,13 @@ def case_violations(raw: DataFrame, latest: DataFrame, class_value: str) -> Data
     unkeyed = raw.where(~has_text(F.col("CASE_NUMBER"))).select(
         *violation("missing_case_number", F.col("SOURCE_RELEASE"), F.lit("row without case number"))
     )
-    undated = latest.where(
-        (F.col("VISA_CLASS") == class_value) & (F.col("quarter").isNull() | ~has_text(F.col("EMPLOYER_NAME")))
-    ).select(*violation("case_without_company_or_date", F.col("CASE_NUMBER"), F.col("quarter")))
-    return unkeyed.unionByName(undated)
+    return unkeyed.unionByName(undated_cases(latest, class_value))
+
+
+def undated_cases(latest: DataFrame, class_value: str) -> DataFrame:
+    """Newest cases of the class without company or quarter."""
+    undated = (F.col("VISA_CLASS") == class_value) & (F.col("quarter").isNull() | ~has_text(F.col("EMPLOYER_NAME")))
+    return latest.where(undated).select(*violation("case_without_company_or_date", F.col("CASE_NUMBER"), F.col("quarter")))
 
 
 def count_mismatches(counts: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.calendar import label_number, number_label, quarter_label, quarter_number
 from panelwright.operators import backtest, cumulative, evaluate, features, links, model, panel, profile, quality, versions
+from panelwright.plans import incremental
 from panelwright.session import clear_scratch, cut_lineage
 from panelwright.sources import ledger as store
 from panelwright.sources import releases as landed
 
 CLASS = "H-1B"
 MIN_QUARTERS = 5
+MAIN_AUDIT = ("release_quality", "release_values", "cross_release_duplicates", "release_overlaps")
+LINK_AUDIT = (
+    "worksite_links", "worksite_orphans", "worksite_other_year", "worksite_locations", "multi_worksite_cases", "case_links_by_year",
+    "global_case_links",
+)
 
 
 def ingest(spark: SparkSession, landing: str, root: str, force: bool = False, with_worksites: bool = False) -> list[str]:
@@ -42,7 +48,12 @@ def ingest(spark: SparkSession, landing: str, root: str, force: bool = False, wi
 
 
 def audit(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Quality of the stored releases and, where worksites are stored, their links."""
+    """Quality of the stored releases and, where worksites are stored, their links; read back where the
+    stored releases are those of the last audit."""
+    version = store.input_version(spark, root, "main", "worksites")
+    known = {row["name"]: row["path"] for row in store.output_ledger(spark, root).where(F.col("version") == version).collect()}
+    if set(MAIN_AUDIT) <= set(known):
+        return {name: spark.read.parquet(known[name]) for name in (*MAIN_AUDIT, *LINK_AUDIT) if name in known}
     main = store.read_releases(spark, root)
     tables = {
         "release_quality": profile.release_quality(main),
@@ -61,7 +72,8 @@ def audit(spark: SparkSession, root: str) -> dict[str, DataFrame]:
             "case_links_by_year": links.case_links_by_year(sites, main),
             "global_case_links": links.global_case_links(sites, main),
         }
-    version = store.input_version(spark, root, "main", "worksites")
+    # Links first: the tables of the main releases tell that the audit is complete.
+    tables = dict(sorted(tables.items(), key=lambda item: item[0] in MAIN_AUDIT))
     return {name: store.write_output(table, root, name, version) for name, table in tables.items()}
 
 
@@ -107,21 +119,29 @@ def receipt_panel(spark: SparkSession, root: str) -> DataFrame:
     first, last = release_window(spark, root)
     if last - first + 1 < MIN_QUARTERS:
         raise ValueError(f"Need at least {MIN_QUARTERS} quarters of releases")
-    raw = stored_cases(spark, root)
-    latest = cut_lineage(panel.latest_cases(raw, "RECEIVED_DATE"))
-    quality.enforce(quality.case_violations(raw, latest, CLASS))
-    cases = panel.in_window(panel.eligible_cases(latest, CLASS), first, last)
+    newest = incremental.newest_cases(spark, root, CLASS)
+    quality.enforce(incremental.unkeyed_violations(spark, root))
+
+    def typed(rows: DataFrame) -> DataFrame:
+        return panel.typed_cases(panel.with_case_date(rows, "RECEIVED_DATE"))
+
+    def eligible(rows: DataFrame) -> DataFrame:
+        return panel.eligible_cases(typed(rows), CLASS)
+
+    quality.enforce(quality.undated_cases(typed(newest), CLASS))
+    cases = panel.in_window(eligible(newest), first, last)
     totals = profile.period_totals(cases)
     quality.enforce(profile.empty_period_violations(totals, first, last))
-    built = panel.company_quarters(panel.dense_panel(panel.rollup_cases(cases), last=last))
+    built = incremental.receipt_panel(spark, root, version, cases, newest, (first, last), eligible)
 
     def matches_source(stored: DataFrame) -> None:
         quality.enforce(profile.check_totals(with_quarter(stored), totals))
 
-    outside = panel.outside_window(panel.eligible_cases(latest, CLASS), first, last)
+    outside = panel.outside_window(eligible(newest), first, last)
     store.write_output(outside, root, "excluded_cases", version)
-    keys = ["EMPLOYER_ID", "FISCAL_QUARTER"]
-    return with_quarter(store.write_output(built, root, "receipt_panel", version, keys, matches_source))
+    stored = store.write_output(built, root, "receipt_panel", version, incremental.KEYS, matches_source)
+    incremental.publish_basis(spark, root, version, (first, last))
+    return with_quarter(stored)
 
 
 def model_version(spark: SparkSession, root: str) -> str:
