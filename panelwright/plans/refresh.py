@@ -107,8 +107,17 @@ def decision_panel(spark: SparkSession, root: str) -> DataFrame:
     raw = stored_cases(spark, root)
     cases = panel.eligible_cases(cut_lineage(panel.latest_cases(raw, "DECISION_DATE")), CLASS)
     built = panel.company_quarters(panel.dense_panel(cut_lineage(panel.rollup_cases(cases))))
-    store.write_output(profile.case_quality(raw, CLASS), root, "company_activity_quality", version)
-    return store.write_output(built, root, "company_activity", version, ["EMPLOYER_ID", "FISCAL_QUARTER"])
+
+    def publish_quality(stored: DataFrame) -> None:
+        # A company's first quarter is the one without a change.
+        totals = {
+            "companies": F.count_if(F.col("CHANGE_FROM_PREVIOUS_QUARTER").isNull()), "company_quarter_rows": F.count("*"),
+            "latest_quarter": F.max("FISCAL_QUARTER"),
+        }
+        found = profile.case_quality(raw, CLASS).withColumns({name: stored.agg(total).scalar() for name, total in totals.items()})
+        store.write_output(found, root, "company_activity_quality", version)
+
+    return store.write_output(built, root, "company_activity", version, incremental.KEYS, publish_quality)
 
 
 def receipt_panel(spark: SparkSession, root: str) -> DataFrame:

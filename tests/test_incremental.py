@@ -112,3 +112,14 @@ def test_an_audit_of_the_same_releases_writes_nothing(spark, tmp_path):
     again = refresh.audit(spark, root)
     assert store.output_ledger(spark, root).agg(F.max("seq"), F.count("*")).first() == entries
     assert set(first) == set(again) and all(first[name].count() == again[name].count() for name in first)
+
+
+def test_panel_quality_counts_companies_rows_and_the_last_quarter(spark, tmp_path):
+    raw, root = tmp_path / "raw", str(tmp_path / "store")
+    case = lambda number, name, day: (number, "Certified", day, day, "", "H-1B", name, "15-2051", "X", "NY", "1", 1)
+    rows = [case("a", "One", DAYS[QUARTERS[0]]), case("b", "Two", DAYS[QUARTERS[1]]), case("c", "One", DAYS[QUARTERS[2]])]
+    land(raw, QUARTERS[2], rows, COLUMNS)
+    refresh.ingest(spark, str(raw), root)
+    assert refresh.decision_panel(spark, root).count() == 5
+    found = store.read_output(spark, root, "company_activity_quality").collect()
+    assert [(r.companies, r.company_quarter_rows, r.latest_quarter) for r in found] == [(2, 5, QUARTERS[2])]
