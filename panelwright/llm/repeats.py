@@ -4,12 +4,14 @@ Words are lower-cased (A-Z) and split at ASCII white space. A suffix is retained
 are the smallest of WINDOW neighbouring positions (a minimiser), so copies of a passage retain the same
 places. The retained suffixes of all documents are sorted by their first PREFIX words (as a hash), and
 neighbours are compared: suffixes equal in these words in different documents match. Matches of a document that overlap
-form a run. The ends of every run are sorted again by the words to the left or right of them, and the
+form a run. The places at both ends of every run are sorted again by the words to the left or right of them, and the
 longest agreement with a neighbour extends the run.
 
 Any passage of at least PASSAGE = PREFIX + WINDOW - 1 words that two documents share holds a retained suffix whose
-PREFIX words lie inside it, so none is missed; runs shorter than PASSAGE after extension are not reported. Every word of
-a reported run lies in a passage that another document has.
+PREFIX words lie inside it, so an extended run holds it whole and none is missed. But a run may join matches with several
+documents, none of which has PASSAGE of its words. So the windows of PASSAGE words inside the extended runs, one per word
+of repeated text at most, are sorted and compared like the suffixes, and a run is cut down to the windows that another
+document has: a word is reported exactly if it lies in such a window.
 
 Sorting is by range with the document as last key, so the copies of one passage spread over many tasks; a
 partition knows its own rows, and what the rows at its borders miss is settled on a table with a few rows
@@ -114,16 +116,13 @@ def _lists(values: np.ndarray, keep: np.ndarray) -> pa.ListArray:
 
 
 def _surroundings(batch: pa.RecordBatch):
-    """For each asked place: word hashes before it and after its PREFIX words, nearest first, and where they start and end."""
+    """For each asked place: word hashes before it and after its PREFIX words, nearest first."""
     texts, docs = encoded(batch["text"]), batch["doc"].to_numpy()
     asked, ends_of = batch["places"].flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(batch["places"]).to_numpy())
     steps = np.arange(REACH + 1)
     for a, b in slices(texts):
-        hashes, starts, ends, first = hashed_words(texts[a:b])
+        hashes, _, _, first = hashed_words(texts[a:b])
         words = hashes.view(np.int64)
-        joined = np.frombuffer(b"\n".join(texts[a:b]) + b"\n", dtype=np.uint8)
-        points = np.concatenate(([0], np.cumsum((joined & 0xC0) != 0x80)))  # code points before each byte
-        begin = points[np.cumsum([0] + [len(text) + 1 for text in texts[a:b]])]
         from_row, to_row = (ends_of[a - 1] if a else 0), ends_of[b - 1]
         counts = np.diff(np.concatenate(([from_row], ends_of[a:b])))
         owner, place = np.repeat(np.arange(b - a), counts), asked[from_row:to_row]
@@ -134,15 +133,56 @@ def _surroundings(batch: pa.RecordBatch):
             right = (first[own] + here + PREFIX - 1)[:, None] + steps  # its last word, then the words after it
             in_left, in_right = left >= low, right < high
             left, right = np.maximum(left, 0), np.minimum(right, len(words) - 1)
-            offset = begin[own][:, None]
             yield {
                 "doc": docs[a:b][own], "place": here,
                 "before": _lists(words[left[:, 1:]], in_left[:, 1:]), "after": _lists(words[right[:, 1:]], in_right[:, 1:]),
-                "starts": _lists((points[starts[left]] - offset).astype(np.int32), in_left),
-                "stops": _lists((points[ends[right]] - offset).astype(np.int32), in_right),
             }
 
 
+def _runs(batch: pa.RecordBatch, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first word and number of words of the runs of texts a to b."""
+    counts = pa.compute.list_value_length(batch["runs"]).to_numpy()
+    ends_of = np.concatenate(([0], np.cumsum(counts)))
+    flat = batch["runs"].flatten()
+    start, words = (flat.field(i).to_numpy()[ends_of[a] : ends_of[b]] for i in (0, 1))
+    return np.repeat(np.arange(b - a), counts[a:b]), start, words
+
+
+def _passages(batch: pa.RecordBatch):
+    """Every window of PASSAGE words inside the runs of a document."""
+    texts, docs = encoded(batch["text"]), batch["doc"].to_numpy()
+    for a, b in slices(texts):
+        hashes, _, _, first = hashed_words(texts[a:b])
+        owner, start, words = _runs(batch, a, b)
+        if len(owner):
+            count = words - PASSAGE + 1
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            owner, place = np.repeat(owner, count), np.repeat(start, count) + within
+            key = sequences(hashes, PASSAGE)[first[owner] + place]
+            yield {"key": key.view(np.int64), "doc": docs[a:b][owner], "place": place.astype(np.int32)}
+
+
+def _spans(batch: pa.RecordBatch):
+    """The runs of each document in code points."""
+    texts = encoded(batch["text"])
+    for a, b in slices(texts):
+        _, starts, ends, first = hashed_words(texts[a:b])
+        joined = np.frombuffer(b"\n".join(texts[a:b]) + b"\n", dtype=np.uint8)
+        points = np.concatenate(([0], np.cumsum((joined & 0xC0) != 0x80)))  # code points before each byte
+        begin = points[np.cumsum([0] + [len(text) + 1 for text in texts[a:b]])]
+        owner, start, words = _runs(batch, a, b)
+        left = points[starts[first[owner] + start]] - begin[owner]
+        right = points[ends[first[owner] + start + words - 1]] - begin[owner]
+        spans = [[] for _ in range(b - a)]
+        for i, x, y in zip(owner.tolist(), left.tolist(), right.tolist(), strict=True):
+            spans[i].append(f"{x}:{y}")
+        total = np.bincount(owner, weights=words, minlength=b - a).astype(np.int64)
+        yield {
+            "doc_id": batch["doc_id"][a : b], "n_passages": [len(s) for s in spans],
+            "n_repeated_words": total, "spans": [",".join(s) for s in spans],
+        }
+
+
 def _agreement(side: str):
     """Compares neighbours of one partition sorted by (key, words of `side`): the words in which a row agrees with a neighbour
     of another document. Rows of the first document at a border may have such a neighbour behind it; `top` and `bottom` tell
@@ -258,34 +298,39 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     by_place = Window.partitionBy("doc").orderBy("place")  # one document's suffixes
     apart = F.coalesce(F.col("place") > F.lag("place").over(by_place) + PREFIX, F.lit(True))
     numbered = matched.withColumn("run", F.sum(apart.cast("int")).over(by_place))
-    ends = F.struct("place", "key")
-    runs = cut_lineage(numbered.groupBy("doc", "run").agg(F.min(ends).alias("left"), F.max(ends).alias("right")))
-    end_keys = cut_lineage(runs.select(F.col("left.key").alias("key")).union(runs.select(F.col("right.key").alias("key"))).distinct())
+    by_run = Window.partitionBy("doc", "run")
+    low, high = F.min("place").over(by_run), F.max("place").over(by_run)
+    # Only places less than REACH words from an end of their run can reach beyond it.
+    near = numbered.withColumns({"low": low, "high": high}).where(f"place < low + {REACH} OR place > high - {REACH}")
+    ends = cut_lineage(near.select("doc", "run", "place", "key"))
+    end_keys = cut_lineage(ends.select("key").distinct())
     wanted = cut_lineage(matched.join(end_keys, "key"))
 
     places = cut_lineage(wanted.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places")))  # of one document
     held = F.broadcast(places) if wanted.count() <= SMALL else places
     asked = texts.join(held.withColumnRenamed("doc", "asked"), F.col("doc") == F.col("asked")).select("doc", "text", "places")
-    around = map_rows(
-        asked, _surroundings,
-        "doc long, place int, before array<long>, after array<long>, starts array<int>, stops array<int>",
-    ).join(wanted, ["doc", "place"])
+    around = map_rows(asked, _surroundings, "doc long, place int, before array<long>, after array<long>").join(wanted, ["doc", "place"])
     around = cut_lineage(around.dropDuplicates(["doc", "place"]))
 
-    def end(side: str, offsets: str, name: str) -> DataFrame:
-        grown = _extension(around, side).join(around.select("doc", "place", offsets), ["doc", "place"])
-        return grown.select("doc", F.col("place").alias(f"{name}_place"), F.col("agree").alias(f"{name}_grown"), F.col(offsets)[F.col("agree")].alias(f"{name}_point"))
-
-    extended = (
-        runs.select("doc", F.col("left.place").alias("left_place"), F.col("right.place").alias("right_place"))
-        .join(end("before", "starts", "left"), ["doc", "left_place"]).join(end("after", "stops", "right"), ["doc", "right_place"])
-    )
-    words = F.col("right_place") + PREFIX + F.col("right_grown") - F.col("left_place") + F.col("left_grown")
-    long_runs = extended.withColumn("words", words).where(F.col("words") >= PASSAGE)
-    spans = F.sort_array(F.collect_list(F.struct("left_point", "right_point")))  # of one document
-    per_doc = long_runs.groupBy("doc").agg(
-        F.count("*").alias("n_passages"), F.sum("words").cast("long").alias("n_repeated_words"), spans.alias("found")
+    grown = ends
+    for side, name in (("before", "left"), ("after", "right")):
+        grown = grown.join(_extension(around, side).withColumnRenamed("agree", name), ["doc", "place"])
+    start = F.min(F.col("place") - F.col("left"))
+    words = F.max(F.col("place") + PREFIX + F.col("right")) - start
+    extended = grown.groupBy("doc", "run").agg(start.alias("start"), words.alias("words"))
+    extended = cut_lineage(extended.select("doc", "start", "words").where(F.col("words") >= PASSAGE))
+
+    windows = cut_lineage(map_rows(_with_runs(texts, extended), _passages, "key long, doc long, place int"))
+    shared = matching_suffixes(windows).select("doc", "place").distinct()
+    apart = F.coalesce(F.col("place") > F.lag("place").over(by_place) + PASSAGE, F.lit(True))
+    numbered = shared.withColumn("run", F.sum(apart.cast("int")).over(by_place))
+    kept = numbered.groupBy("doc", "run").agg(F.min("place").alias("start"), (F.max("place") - F.min("place") + PASSAGE).alias("words"))
+    return map_rows(
+        _with_runs(texts, cut_lineage(kept)), _spans, f"doc_id {docs.schema[id_column].dataType.simpleString()}, n_passages long, n_repeated_words long, spans string"
     )
-    joined = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["left_point"], x["right_point"])), ",")
-    ids = texts.select("doc", "doc_id")
-    return per_doc.join(ids, "doc").select("doc_id", "n_passages", "n_repeated_words", joined.alias("spans"))
+
+
+def _with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Documents that have runs, with their runs in order. A document's runs are short beside its text."""
+    lists = runs.groupBy(F.col("doc").alias("asked")).agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("runs"))
+    return texts.join(lists, F.col("doc") == F.col("asked")).select("doc", "doc_id", "text", "runs")

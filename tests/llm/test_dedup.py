@@ -179,6 +179,49 @@ def test_repeated_passages_equal_brute_force(spark):
     assert {19, 20, 21} <= {doc for doc, _ in found}
 
 
+def _brute_passages(rows):
+    """Word numbers of each document that lie in a window of PASSAGE words of another document."""
+    size, owners = repeats.PASSAGE, defaultdict(set)
+    for i, text in rows:
+        w = words(text)
+        for at in range(len(w) - size + 1):
+            owners[tuple(w[at : at + size])].add(i)
+    held = defaultdict(set)
+    for i, text in rows:
+        w = words(text)
+        for at in range(len(w) - size + 1):
+            if len(owners[tuple(w[at : at + size])]) > 1:
+                held[i].update(range(at, at + size))
+    return held
+
+
+def test_passages_of_several_documents_are_not_joined(spark):
+    """A shares 46 words with B and 46 others with C, overlapping or in a row: nothing is a passage of any two."""
+    rows, size = [], repeats.PASSAGE
+    for n in range(24):
+        base = words(corpus.prose(200, 40_000 + n))
+        step = (20, 46, 30, 4)[n % 4]
+        left, right = base[60:106], base[60 + step : 106 + step]
+        other = [corpus.prose(40, 50_000 + 4 * n + k) for k in range(4)]
+        rows += [
+            (10 * n, " ".join(base)), (10 * n + 1, f"{other[0]} {' '.join(left)} {other[1]}"),
+            (10 * n + 2, f"{other[2]} {' '.join(right)} {other[3]}"),
+        ]
+    assert repeats.repeated_passages(corpus.documents(spark, rows)).count() == 0 == len(_brute_passages(rows))
+    draw = random.Random(17)  # cuts of one long text of any length: some share a passage, some only stitched ones
+    long = words(corpus.prose(900, 777))
+    rows = []
+    for i in range(160):
+        parts = []
+        for k in range(draw.randrange(1, 4)):
+            at = draw.randrange(800)
+            parts += [corpus.prose(draw.randrange(30), 60_000 + 5 * i + k), " ".join(long[at : at + draw.randrange(30, 90)])]
+        rows.append((i, " ".join(parts)))
+    held = _brute_passages(rows)
+    found = {r.doc_id: r.n_repeated_words for r in repeats.repeated_passages(corpus.documents(spark, rows)).collect()}
+    assert found == {i: len(places) for i, places in held.items()} and size == 50
+
+
 def test_neighbours_in_order_have_the_longest_agreement():
     draw = random.Random(21)
     for _ in range(60):
