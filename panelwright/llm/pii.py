@@ -4,8 +4,8 @@ Seeds are what four fixed formats find (e-mail, ip, card, phone). Every identifi
 digit or an @, without the punctuation around it; groups of digits and capitals may be apart by one blank) is
 an instance; the two words before an occurrence and the two after it are its lexical patterns, whatever its
 form. Patterns and instances form a graph of distinct edges. Spark scores it in rounds: a pattern scores the share of its
-instances' weight that belongs to a kind, an instance the noisy-or of its patterns. Patterns of high
-confidence, with enough different seeds, then mark instances that no format knows. Marked spans are added
+instances' weight that belongs to a kind, an instance the noisy-or of its other patterns, so that no pattern
+raises itself. Patterns of high confidence, with enough different seeds, then mark instances that no format knows. Marked spans are added
 to the fixed ones, which stay as they are.
 
 Edges are aggregated before they move, hot patterns are split by adaptive joins, and a document gets back
@@ -18,6 +18,7 @@ table gives an empty result; extra columns are not read.
 import hashlib
 import re
 import string
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +32,7 @@ ROUNDS = 3
 CONFIDENCE = 0.9  # of a pattern whose instances are marked
 SUPPORT = 5  # different seed instances a pattern needs
 DOUBT = 2.0  # weight of unknown instances added to every pattern
+NEAR = 60  # characters read first around a place, and of a pattern that is kept as text
 SHORTEST = 6  # characters of an identifier-like token
 
 # Fixed formats.
@@ -104,12 +106,40 @@ def _shape(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", token.translate(_SHAPE))
 
 
-def _words_before(text: str, at: int) -> str:
-    return " ".join(_WORD.findall(text[max(0, at - 60) : at])[-2:]).lower()
+class Surroundings:
+    """The two words before and after places of a text, whole whatever their length."""
 
+    def __init__(self, text: str):
+        self.text, self.words = text, None
 
-def _words_after(text: str, at: int) -> str:
-    return " ".join(_WORD.findall(text[at : at + 60])[:2]).lower()
+    def _far(self) -> list[tuple[int, int]]:
+        if self.words is None:  # once per text, so that long stretches without words are not read again and again
+            self.words = [match.span() for match in _WORD.finditer(self.text)]
+        return self.words
+
+    def before(self, at: int) -> str:
+        for start in (max(0, at - NEAR), max(0, at - 16 * NEAR)):
+            found = [match.span() for match in _WORD.finditer(self.text, start, at)]
+            if not start or len(found) > 2 or (len(found) == 2 and found[0][0] > start):
+                return self._named(found[-2:])
+        words = self._far()
+        last = bisect_left(words, (at,))  # the words that start before the place
+        return self._named([(a, min(b, at)) for a, b in words[max(0, last - 2) : last]])
+
+    def after(self, at: int) -> str:
+        size = len(self.text)
+        for stop in (min(size, at + NEAR), min(size, at + 16 * NEAR)):
+            found = [match.span() for match in _WORD.finditer(self.text, at, stop)]
+            if stop == size or len(found) > 2 or (len(found) == 2 and found[1][1] < stop):
+                return self._named(found[:2])
+        words = self._far()
+        first = bisect_right(words, at, key=lambda span: span[1])  # the words that end behind the place
+        return self._named([(max(a, at), b) for a, b in words[first : first + 2]])
+
+    def _named(self, spans: list[tuple[int, int]]) -> str:
+        """The words, or a digest of long ones, which tells them apart as well."""
+        words = " ".join(self.text[a:b] for a, b in spans).lower()
+        return words if len(words) <= NEAR else "#" + hashlib.blake2b(words.encode(), digest_size=16).hexdigest()
 
 
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -174,11 +204,11 @@ def _find(batch: pa.RecordBatch):
         spans = listed(base)
         rows["base"].append(spans)
         rows["base_sha256"].append(hashlib.sha256(spans.encode()).hexdigest())
-        seen = []
+        seen, around = [], Surroundings(text)
         for kind, a, b in instances(text, base):
             seen.append({
                 "kind": kind, "start": a, "stop": b, "instance": hashlib.blake2b(text[a:b].encode(), digest_size=12).hexdigest(),
-                "left_pattern": f"<{_words_before(text, a)}", "right_pattern": f">{_words_after(text, b)}",
+                "left_pattern": f"<{around.before(a)}", "right_pattern": f">{around.after(b)}",
             })
         rows["seen"].append(seen)
     yield rows | {"doc_id": batch["doc_id"], "text_key": batch["text_key"]}
@@ -199,10 +229,11 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     confidence = lambda weight: weight / (F.col("size") + F.lit(DOUBT))
     scored = base.withColumn("confidence", confidence(F.col("seeds")))
     for _ in range(rounds - 1):
-        missed = F.sum(F.log1p(-F.least("confidence", F.lit(0.999))))
-        weights = unknown.join(scored.select("pattern", "kind", "confidence"), "pattern")
-        weights = weights.groupBy("instance", "kind").agg((1 - F.exp(missed)).alias("weight"))
-        gained = unknown.join(weights, "instance").groupBy("pattern", "kind").agg(F.sum("weight").alias("gained"))
+        own = F.log1p(-F.least("confidence", F.lit(0.999)))
+        votes = unknown.join(scored.select("pattern", "kind", own.alias("own")), "pattern")
+        totals = votes.groupBy("instance", "kind").agg(F.sum("own").alias("total"))
+        others = F.greatest(1 - F.exp(F.col("total") - F.col("own")), F.lit(0.0))  # without the pattern's own vote
+        gained = votes.join(totals, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum(others).alias("gained"))
         scored = cut_lineage(
             base.join(gained, ["pattern", "kind"], "left")
             .withColumn("confidence", confidence(F.col("seeds") + F.coalesce("gained", F.lit(0.0)))).drop("gained")

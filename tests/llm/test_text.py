@@ -81,11 +81,12 @@ def test_confident_contexts_find_unseen_identifiers(spark):
         rows.append((i, f"{corpus.prose(6, i)} client phone +1 (555) 200-{1000 + i:04d} thanks"))
         rows.append((50 + i, f"{corpus.prose(6, 90 + i)} order number {draw.randrange(10**7, 10**8)} shipped"))
     rows.append((99, "our client phone +1.555.2.01-77 thanks"))  # eight digits: no fixed format
-    shape = pii._shape("+1 (555) 200-1000")
     rows += [(200 + i, f"reach us, client mail u{i}@x{i}.example.org soon") for i in range(12)]
     rows.append((300, "reach us, client mail u77@x77_example.org soon"))
     found = {r.doc_id: r for r in pii.extract(corpus.documents(spark, rows)).collect()}
-    assert shape and all(found[i].n_phone == 1 and found[i].n_added == 0 for i in range(30))
+    at = len("our client phone ")
+    assert found[99].spans == f"phone:{at}:{at + len('+1.555.2.01-77')}" and found[300].spans == ""  # 12 seeds are too few
+    assert all(found[i].n_phone == 1 and found[i].n_added == 0 for i in range(30))
     assert all(found[50 + i].n_added == 0 for i in range(30))
     edges = [(p, f"i{k}", "email") for p in ("good", "mixed") for k in range(20)]
     edges += [("mixed", f"u{k}", None) for k in range(40)] + [("good", "u0", None), ("weak", "u0", None), ("weak", "i0", "email")]
@@ -102,7 +103,57 @@ def test_contexts_mark_spans(spark):
     assert found[3].n_email == 1 and found[900].n_email == 0
     text = rows[-1][1]
     at = text.index("a777")
-    assert found[900].spans in ("", f"email:{at}:{at + len('a777@corp77')}")
+    assert found[900].spans == f"email:{at}:{at + len('a777@corp77')}"
+
+
+def plain_scores(edges, rounds):
+    seeds, every, unknown = {}, {}, {}
+    for pattern, instance, kind in edges:
+        every.setdefault(pattern, set()).add(instance)
+        if kind:
+            seeds.setdefault((pattern, kind), set()).add(instance)
+        else:
+            unknown.setdefault(pattern, set()).add(instance)
+    weight = lambda pattern, gained, known: (known + gained) / (len(every[pattern]) + pii.DOUBT)
+    scores = {(p, k): weight(p, 0, len(s)) for (p, k), s in seeds.items()}
+    for _ in range(rounds - 1):
+        before = dict(scores)
+        for (p, k), known in seeds.items():
+            gained = 0
+            for instance in unknown.get(p, ()):
+                missed = 1.0
+                for (q, kind), score in before.items():
+                    if q != p and kind == k and instance in unknown.get(q, ()):
+                        missed *= 1 - min(score, 0.999)
+                gained += 1 - missed
+            scores[p, k] = weight(p, gained, len(known))
+    return scores
+
+
+def test_pattern_scores_equal_plain_loops(spark):
+    draw, edges = random.Random(12), []
+    for _ in range(500):
+        kind = draw.choice([None, None, "email", "phone"])
+        edges.append((f"p{draw.randrange(12)}", f"{kind or 'u'}{draw.randrange(40)}", kind))
+    edges += [("alone", f"s{k}", "ip") for k in range(30)] + [("alone", f"x{k}", None) for k in range(10)]
+    edges = sorted(set(edges), key=str)
+    table = spark.createDataFrame(edges, "pattern string, instance string, kind string")
+    for rounds in (1, 2, 6):
+        found = {(r.pattern, r.kind): r.confidence for r in pii.score_patterns(table, rounds).collect()}
+        assert found == pytest.approx(plain_scores(edges, rounds), abs=1e-9)
+        assert found["alone", "ip"] == pytest.approx(30 / 42)  # a pattern is no evidence for itself
+
+
+def test_contexts_are_whole_words():
+    draw = random.Random(2)
+    for _ in range(300):
+        parts = [draw.choice(["a", "Word", "x" * 70, "y" * 2000, " ", " . ", "-" * 100, "." * 3000, "@" * 7]) for _ in range(9)]
+        text = "".join(parts)
+        at = draw.randrange(len(text) + 1)
+        named = lambda words: w if len(w := " ".join(words).lower()) <= pii.NEAR else pii.Surroundings(w)._named([(0, len(w))])
+        around = pii.Surroundings(text)
+        assert around.before(at) == named(re.findall(r"\w+", text[:at])[-2:])
+        assert around.after(at) == named(re.findall(r"\w+", text[at:])[:2])
 
 
 def test_secrets_of_every_row(spark):
