@@ -77,6 +77,13 @@ def audit(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: store.write_output(table, root, name, version) for name, table in tables.items()}
 
 
+def remove_expired(spark: SparkSession, root: str, older_than: float = 7 * 24 * 3600.0) -> list[str]:
+    """Remove what was replaced ``older_than`` seconds ago or more; the cases that the current panel was made of stay."""
+    basis = store.output_ledger(spark, root).where("name = 'receipt_panel_basis'").first()
+    keep = [] if basis is None else [row["cases_path"] for row in spark.read.parquet(basis["path"]).collect()]
+    return store.remove_expired(spark, root, older_than, keep)
+
+
 def stored_cases(spark: SparkSession, root: str) -> DataFrame:
     """All stored main rows, once their counts agree with the ledger and every position is a number."""
     raw = store.read_releases(spark, root)

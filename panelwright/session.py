@@ -41,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 _scratch: dict[str, str] = {}
 
 
-def _file_system(spark: SparkSession, folder: str):
+def file_system(spark: SparkSession, folder: str):
+    """A path and its file system, both of the JVM."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -51,7 +52,7 @@ def scratch_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         folder = f"{shared_dir(spark).rstrip('/')}/tables/{app}"
-        path, system = _file_system(spark, folder)
+        path, system = file_system(spark, folder)
         system.mkdirs(path)
         system.deleteOnExit(path)
         _scratch[app] = folder
@@ -62,7 +63,7 @@ def clear_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables written so far; frames read from them must not be used afterwards."""
     folder = _scratch.pop(spark.sparkContext.applicationId, None)
     if folder is not None:
-        path, system = _file_system(spark, folder)
+        path, system = file_system(spark, folder)
         system.delete(path, True)
 
 

@@ -1,14 +1,23 @@
-"""Stored releases and outputs. Data goes to a new folder each time; an appended ledger row points
-readers to it, so a failed or repeated write is never seen half done."""
+"""Stored releases and outputs. Data goes to a new folder each time; a numbered commit file points
+readers to it, so a failed or repeated write is never seen half done.
 
+A commit file appears whole and only if its number is free. Of two writers that want the same number one
+takes the next, so every commit is kept and all readers agree on the newest one. Folders that no reader can need
+any more are removed by ``remove_expired``."""
+
+import json
+import os
+import time
 from collections.abc import Callable, Sequence
+from datetime import datetime, timezone
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.numeric import round_binary
+from panelwright.session import file_system
 from panelwright.sources.releases import content_fingerprint
 
 RELEASES = "release string, kind string, name string, size_bytes long, modified_at timestamp, sha256 string, path string, rows long, seq long"
@@ -16,16 +25,21 @@ OUTPUTS = "name string, version string, path string, rows long, seq long"
 
 
 def _entries(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All commits, numbered by their file, with the time (epoch seconds) they were made at."""
+    stored = schema.removesuffix(", seq long")
     try:
-        return spark.read.schema(schema).parquet(path)
+        commits = spark.read.schema(stored).json(path)
     except AnalysisException:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{schema}, made_at double")
+    number = F.regexp_extract("_metadata.file_name", r"^(\d+)\.json$", 1).cast("long")
+    return commits.select(
+        "*", number.alias("seq"), F.unix_millis("_metadata.file_modification_time").cast("double").alias("made_at")
+    ).withColumn("made_at", F.col("made_at") / 1000)
 
 
 def _current(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [name for name in entries.columns if name not in keys]
-    # Two writers can take the same number; the folder then decides, so that all readers see one of them.
-    newest = entries.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("seq", "path")).alias("e")).select(*keys, "e.*")
+    newest = entries.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("e")).select(*keys, "e.*").drop("made_at")
     return newest.where(F.col("path").isNotNull())
 
 
@@ -42,8 +56,47 @@ def _next_seq(spark: SparkSession, path: str, schema: str) -> int:
     return (_entries(spark, path, schema).agg(F.max("seq")).first()[0] or 0) + 1
 
 
-def _append(spark: SparkSession, path: str, schema: str, rows: list[tuple]) -> None:
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+def _text(value):
+    """JSON for what JSON has no type for; a collected timestamp is in the driver's time zone."""
+    return value.astimezone(timezone.utc).isoformat() if isinstance(value, datetime) else value
+
+
+def _create(spark: SparkSession, path: str, name: str, text: str) -> bool:
+    """Make a small file with all its text, unless one of that name is there already; False if it is."""
+    folder, system = file_system(spark, path)
+    system.mkdirs(folder)
+    jvm, draft = spark.sparkContext._jvm, f".{name}.{uuid4().hex}"
+    if system.getUri().getScheme() == "file":  # its rename replaces files, a link never does
+        local = folder.toUri().getPath()
+        with open(f"{local}/{draft}", "w", encoding="utf-8") as out:
+            out.write(text)
+        try:
+            os.link(f"{local}/{draft}", f"{local}/{name}")
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(f"{local}/{draft}")
+    target, source = (jvm.org.apache.hadoop.fs.Path(folder, part) for part in (name, draft))
+    out = system.create(source, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    made = not system.exists(target) and system.rename(source, target)  # a rename fails where the target exists
+    if not made:
+        system.delete(source, False)
+    return made
+
+
+def _append(spark: SparkSession, path: str, schema: str, rows: list[tuple]) -> int:
+    """Commit rows whose last field is the first number to try; returns the number taken."""
+    names = [field.split()[0] for field in schema.split(", ")][:-1]
+    text = "".join(json.dumps({n: _text(v) for n, v in zip(names, row, strict=False)}) + "\n" for row in rows)
+    seq = min(row[-1] for row in rows)
+    while not _create(spark, path, f"{seq:012d}.json", text):
+        seq += 1
+    return seq
 
 
 def pending_releases(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -156,3 +209,34 @@ def output_path(spark: SparkSession, root: str, name: str) -> tuple[str, str]:
 
 def read_output(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(output_path(spark, root, name)[0])
+
+
+def remove_expired(spark: SparkSession, root: str, older_than: float, keep: Sequence[str] = ()) -> list[str]:
+    """Delete version folders that stopped being current ``older_than`` seconds ago or more, and those of that age that
+    were never published; returns their paths. Folders named in ``keep`` stay, as do all that are current.
+
+    ``older_than`` must exceed the longest job that reads or writes the store."""
+    limit = time.time() - older_than
+    live = {_plain(spark, path) for path in keep}
+    replaced = {}
+    for ledger, schema, keys in (("releases", RELEASES, ["release", "kind"]), ("outputs", OUTPUTS, ["name"])):
+        entries = _entries(spark, f"{root}/ledger/{ledger}", schema)
+        after = F.lead("made_at").over(Window.partitionBy(*keys).orderBy("seq"))
+        for row in entries.withColumn("until", after).where("path is not null").select("path", "until").collect():  # metadata only
+            path = _plain(spark, row.path)
+            if row.until is None or row.until > limit:
+                live.add(path)
+            replaced[path] = row.until
+    folder, system = file_system(spark, f"{root}/*/*/v*")
+    removed = []
+    for status in system.globStatus(folder) or ():
+        path = _plain(spark, status.getPath().toString())
+        if path not in live and (path in replaced or status.getModificationTime() / 1000 <= limit):
+            system.delete(status.getPath(), True)
+            removed.append(path)
+    return sorted(removed)
+
+
+def _plain(spark: SparkSession, path: str) -> str:
+    """A path without scheme and host, however it was written."""
+    return file_system(spark, path)[0].toUri().getPath()

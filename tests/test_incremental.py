@@ -1,4 +1,5 @@
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,46 @@ def test_an_audit_of_the_same_releases_writes_nothing(spark, tmp_path):
     assert set(first) == set(again) and all(first[name].count() == again[name].count() for name in first)
 
 
+def test_writers_at_the_same_time_keep_every_commit(spark, tmp_path):
+    path = f"{tmp_path}/ledger/outputs"
+    with ThreadPoolExecutor(8) as pool:  # all try the same first number
+        taken = list(pool.map(lambda i: store._append(spark, path, store.OUTPUTS, [(f"n{i % 5}", f"v{i}", f"p{i}", i, 1)]), range(40)))
+    assert sorted(taken) == list(range(1, 41))
+    entries = {(r.seq, r.version) for r in store._entries(spark, path, store.OUTPUTS).collect()}
+    assert entries == {(seq, f"v{i}") for i, seq in enumerate(taken)}
+    newest = {r.name: r.version for r in store.output_ledger(spark, str(tmp_path)).collect()}
+    assert newest == {f"n{k}": f"v{max(range(k, 40, 5), key=lambda i: taken[i])}" for k in range(5)}
+    root = str(tmp_path / "both")
+    with ThreadPoolExecutor(2) as pool:
+        frames = [spark.range(n + 1) for n in range(6)]
+        list(pool.map(lambda n: store.write_output(frames[n], root, "shared", f"v{n}"), range(6)))
+    assert store._entries(spark, f"{root}/ledger/outputs", store.OUTPUTS).count() == 6
+    found = store.output_ledger(spark, root).first()
+    assert store.read_output(spark, root, "shared").count() == found.rows == int(found.version[1:]) + 1
+
+
+def test_replaced_folders_go_after_their_time(spark, tmp_path):
+    raw, root, draw = tmp_path / "raw", str(tmp_path / "store"), random.Random(6)
+    for quarter in QUARTERS[:5]:
+        land(raw, quarter, release_rows(quarter, draw), COLUMNS)
+    folders = lambda: {str(path) for path in (tmp_path / "store").glob("*/*/v*")}
+    sizes = []
+    for step in range(4):
+        land(raw, QUARTERS[step % 2], release_rows(QUARTERS[step % 2], draw, version=step), COLUMNS)
+        refresh.ingest(spark, str(raw), root)
+        agree(spark, root)
+        assert refresh.remove_expired(spark, root, 3600.0) == [] or step  # nothing is old enough
+        before = folders()
+        gone = refresh.remove_expired(spark, root, 0.0)
+        assert folders() == before - set(gone) and bool(gone) == bool(step)
+        sizes.append(len(folders()))
+        agree(spark, root)  # what is current can still be read and carried over
+    assert len(set(sizes[1:])) == 1
+    orphan = tmp_path / "store/outputs/lost/v00000001-0"
+    orphan.mkdir(parents=True)
+    assert refresh.remove_expired(spark, root, 3600.0) == [] and refresh.remove_expired(spark, root, -5.0) == [str(orphan)]
+
+
 def test_panel_quality_counts_companies_rows_and_the_last_quarter(spark, tmp_path):
     raw, root = tmp_path / "raw", str(tmp_path / "store")
     case = lambda number, name, day: (number, "Certified", day, day, "", "H-1B", name, "15-2051", "X", "NY", "1", 1)
