@@ -9,9 +9,11 @@ longest agreement with a neighbour extends the run.
 
 Any passage of at least PASSAGE = PREFIX + WINDOW - 1 words that two documents share holds a retained suffix whose
 PREFIX words lie inside it, so an extended run holds it whole and none is missed. But a run may join matches with several
-documents, none of which has PASSAGE of its words. So the windows of PASSAGE words inside the extended runs, one per word
-of repeated text at most, are sorted and compared like the suffixes, and a run is cut down to the windows that another
-document has: a word is reported exactly if it lies in such a window.
+documents, none of which has PASSAGE of its words. Matches next to each other form a chain if the same documents have
+both, at the same distance (told by sums of hashes over the documents of a key, two moduli of 31 bits). A run made of
+chains of PASSAGE words is sound, and so is what extends it. For all other runs the windows of PASSAGE words around their
+matches are sorted and compared like the suffixes, and those that another document has are reported: a word is
+reported exactly if it lies in such a window.
 
 Sorting is by range with the document as last key, so the copies of one passage spread over many tasks; a
 partition knows its own rows, and what the rows at its borders miss is settled on a table with a few rows
@@ -35,6 +37,7 @@ from panelwright.session import cut_lineage
 GRAM, WINDOW, PREFIX = 7, 16, 35  # words; PREFIX is a multiple of GRAM, WINDOW a power of two
 PASSAGE = PREFIX + WINDOW - 1
 REACH = WINDOW - 1
+PRIMES = (2**31 - 1, 2**31 - 19)
 SMALL = 2_000_000  # places, of at most 16 bytes each, that may be broadcast
 
 
@@ -149,13 +152,15 @@ def _runs(batch: pa.RecordBatch, a: int, b: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _passages(batch: pa.RecordBatch):
-    """Every window of PASSAGE words inside the runs of a document."""
+    """Every window of PASSAGE words inside the ranges (of words, which may reach beyond the text) of a document."""
     texts, docs = encoded(batch["text"]), batch["doc"].to_numpy()
     for a, b in slices(texts):
         hashes, _, _, first = hashed_words(texts[a:b])
         owner, start, words = _runs(batch, a, b)
         if len(owner):
-            count = words - PASSAGE + 1
+            stop = np.minimum(start + words, (first[1:] - first[:-1])[owner])
+            start = np.maximum(start, 0)
+            count = np.maximum(stop - start - PASSAGE + 1, 0)
             within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             owner, place = np.repeat(owner, count), np.repeat(start, count) + within
             key = sequences(hashes, PASSAGE)[first[owner] + place]
@@ -296,13 +301,33 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     matched = cut_lineage(matching_suffixes(suffixes).distinct())
 
     by_place = Window.partitionBy("doc").orderBy("place")  # one document's suffixes
-    apart = F.coalesce(F.col("place") > F.lag("place").over(by_place) + PREFIX, F.lit(True))
-    numbered = matched.withColumn("run", F.sum(apart.cast("int")).over(by_place))
-    by_run = Window.partitionBy("doc", "run")
-    low, high = F.min("place").over(by_run), F.max("place").over(by_run)
+    chained = F.lit(True)
+    sums, hashed = {"n": F.count("*")}, {}
+    for i, prime in enumerate(PRIMES):
+        hashed[f"h{i}"] = F.pmod(F.xxhash64("doc", F.lit(i)), F.lit(prime))
+        sums[f"docs{i}"] = F.pmod(F.sum(f"h{i}"), F.lit(prime))
+        sums[f"places{i}"] = F.pmod(F.sum(F.pmod(F.col(f"h{i}") * F.col("place"), F.lit(prime))), F.lit(prime))
+    for name in ("n", *(f"docs{i}" for i in range(len(PRIMES)))):
+        chained &= F.col(name) == F.lag(name).over(by_place)
+    gap = F.col("place") - F.lag("place").over(by_place)
+    for i, prime in enumerate(PRIMES):
+        moved = F.col(f"places{i}") - F.lag(f"places{i}").over(by_place) - F.pmod(gap * F.col(f"docs{i}"), F.lit(prime))
+        chained &= F.pmod(moved, F.lit(prime)) == 0
+    of_key = matched.withColumns(hashed).groupBy("key").agg(*[total.alias(name) for name, total in sums.items()])
+    apart = F.coalesce(gap > PREFIX, F.lit(True))
+    numbered = matched.join(of_key, "key").withColumns({"apart": apart, "chained": F.coalesce(chained, F.lit(False)) & ~apart})
+    numbered = numbered.select(
+        "key", "doc", "place", F.sum(F.col("apart").cast("int")).over(by_place).alias("run"),
+        F.sum((~F.col("chained")).cast("int")).over(by_place).alias("chain"),
+    )
+    by_chain, by_run = Window.partitionBy("doc", "run", "chain"), Window.partitionBy("doc", "run")
+    length = F.max("place").over(by_chain) - F.min("place").over(by_chain)
+    judged = numbered.withColumn("solid", length >= REACH).withColumns(
+        {"sound": F.min("solid").over(by_run), "low": F.min("place").over(by_run), "high": F.max("place").over(by_run)}
+    )
+    judged = cut_lineage(judged.select("key", "doc", "place", "run", "sound", "low", "high"))
     # Only places less than REACH words from an end of their run can reach beyond it.
-    near = numbered.withColumns({"low": low, "high": high}).where(f"place < low + {REACH} OR place > high - {REACH}")
-    ends = cut_lineage(near.select("doc", "run", "place", "key"))
+    ends = judged.where("sound").where(f"place < low + {REACH} OR place > high - {REACH}").select("doc", "run", "place", "key")
     end_keys = cut_lineage(ends.select("key").distinct())
     wanted = cut_lineage(matched.join(end_keys, "key"))
 
@@ -318,13 +343,20 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     start = F.min(F.col("place") - F.col("left"))
     words = F.max(F.col("place") + PREFIX + F.col("right")) - start
     extended = grown.groupBy("doc", "run").agg(start.alias("start"), words.alias("words"))
-    extended = cut_lineage(extended.select("doc", "start", "words").where(F.col("words") >= PASSAGE))
 
-    windows = cut_lineage(map_rows(_with_runs(texts, extended), _passages, "key long, doc long, place int"))
-    shared = matching_suffixes(windows).select("doc", "place").distinct()
-    apart = F.coalesce(F.col("place") > F.lag("place").over(by_place) + PASSAGE, F.lit(True))
-    numbered = shared.withColumn("run", F.sum(apart.cast("int")).over(by_place))
-    kept = numbered.groupBy("doc", "run").agg(F.min("place").alias("start"), (F.max("place") - F.min("place") + PASSAGE).alias("words"))
+    # What is not sound: every window that holds a match whose key lies in such a run, in all documents.
+    unsure = matched.join(judged.where("not sound").select("key").distinct(), "key", "left_semi").select("doc", "place")
+    close = F.coalesce(F.col("place") > F.lag("place").over(by_place) + REACH + 1, F.lit(True))
+    unsure = unsure.withColumn("range", F.sum(close.cast("int")).over(by_place)).groupBy("doc", "range")
+    ranges = unsure.agg((F.min("place") - REACH).alias("start"), (F.max("place") - F.min("place") + REACH + PASSAGE).alias("words"))
+    windows = cut_lineage(map_rows(_with_runs(texts, cut_lineage(ranges)), _passages, "key long, doc long, place int"))
+    shared = matching_suffixes(windows).select("doc", F.col("place").alias("start"), F.lit(PASSAGE).alias("words"))
+
+    parts = extended.select("doc", "start", "words").union(shared).withColumn("stop", F.col("start") + F.col("words"))
+    before = Window.partitionBy("doc").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("start") > F.max("stop").over(before), F.lit(True)).cast("int")
+    parts = parts.withColumn("apart", apart).withColumn("run", F.sum("apart").over(Window.partitionBy("doc").orderBy("start", "stop")))
+    kept = parts.groupBy("doc", "run").agg(F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("words"))
     return map_rows(
         _with_runs(texts, cut_lineage(kept)), _spans, f"doc_id {docs.schema[id_column].dataType.simpleString()}, n_passages long, n_repeated_words long, spans string"
     )
