@@ -76,16 +76,22 @@ def multi_child_keys(children: DataFrame) -> DataFrame:
 
 
 def linked_children(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """Distinct (release, case) of the children with flags: a main in the same year, a main at all."""
-    years = parent_years(parents, empty=True)
-    same = years.withColumn("same_year", F.lit(True))
-    anywhere = years.select("CASE_NUMBER").distinct().withColumn("any_year", F.lit(True))
-    return (
-        child_cases(children, empty=True)
-        .join(same, ["fiscal_year", "CASE_NUMBER"], "left")
-        .join(anywhere, "CASE_NUMBER", "left")
-        .na.fill(False, ["same_year", "any_year"])
+    """Distinct (release, case) of the children with flags: a main in the same year, a main at all.
+
+    Both sides meet in one grouping by case, in which a case has one entry per release and year at most."""
+    none = F.lit(None)
+    sites = child_cases(children, empty=True)
+    site = F.struct("SOURCE_RELEASE", "fiscal_year", "rows")
+    rows = sites.select("CASE_NUMBER", site.alias("site"), none.cast("string").alias("year"), F.lit(False).alias("main"))
+    mains = _keyed(parents, empty=True).select(
+        "CASE_NUMBER", none.cast(rows.schema["site"].dataType).alias("site"), F.col("fiscal_year").alias("year"), F.lit(True).alias("main")
+    )
+    per_case = rows.unionByName(mains).groupBy("CASE_NUMBER").agg(
+        F.collect_list("site").alias("sites"), F.collect_set("year").alias("years"), F.max("main").alias("any_year")
     )
+    unfolded = per_case.select("CASE_NUMBER", "years", "any_year", F.inline("sites"))
+    same = F.coalesce(F.array_contains("years", F.col("fiscal_year")), F.lit(False))
+    return unfolded.withColumn("same_year", same).drop("years")
 
 
 def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -104,11 +110,7 @@ def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
 
 def linked_elsewhere(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Per release: worksite cases whose main is only found in another year."""
-    years = parent_years(parents, empty=True)
-    cases = child_cases(children, empty=True)
-    elsewhere = cases.join(years, ["fiscal_year", "CASE_NUMBER"], "left_anti").join(
-        years.select("CASE_NUMBER").distinct(), "CASE_NUMBER", "left_semi"
-    )
+    elsewhere = linked_children(children, parents).where("any_year AND NOT same_year")
     return elsewhere.groupBy("SOURCE_RELEASE").agg(F.count("*").alias("worksite_cases_with_main_in_other_year"))
 
 

@@ -12,6 +12,7 @@ from panelwright.functions.calendar import date_of, fiscal_quarter_index, quarte
 from panelwright.functions.text import case_key, has_text, strip, text_differs
 
 ORDER = ("SOURCE_RELEASE", "SOURCE_ROW_NUMBER")
+SALTS = 8  # shares of a key's rows that are looked up apart
 # The compared fields of a case, in landed order.
 COMPARED = (
     "VISA_CLASS", "EMPLOYER_NAME", "CASE_STATUS", "DECISION_DATE", "RECEIVED_DATE",
@@ -62,6 +63,15 @@ def source_chunk(rows: int = 1_000_000) -> list[Column]:
     return [F.col("SOURCE_RELEASE"), F.floor(F.col("SOURCE_ROW_NUMBER") / rows)]
 
 
+def _of_repeated_keys(df: DataFrame, key: str, keys: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Rows whose key occurs more than once in ``keys``. The salt spreads a hot key's rows over tasks,
+    and what follows is not bound to the join's partitions, so that adaptive splitting may cut them too."""
+    counted = keys.groupBy(F.col(key).alias("repeated")).agg(F.count("*").alias("versions")).where("versions > 1")
+    salted = counted.select("repeated", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    part = F.pmod(F.xxhash64(*order_by), F.lit(SALTS)).cast("int")
+    return df.join(salted, F.col(key).eqNullSafe(F.col("repeated")) & (part == F.col("part")), "left_semi")
+
+
 def revision_counts(
     df: DataFrame,
     chunk: Sequence[Column],
@@ -73,13 +83,18 @@ def revision_counts(
     date_column: str = "DECISION_DATE",
     unique_order: bool = True,
     levels: Sequence[int] = (),
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """How often a key's next version differs from the one before, in total and per field.
 
     ``chunk`` must follow ``order_by``: its columns split a key's rows into consecutive runs that
     each fit a task. Runs then meet at their edges: first inside each shorter prefix of the chunk
     columns named by ``levels``, at last inside the key, so that no step sees too many of them.
-    Where the order may tie, exact copies are counted before anything is sorted."""
+    Where the order may tie, exact copies are counted before anything is sorted.
+
+    A key with one row has no revision, so only rows of repeated keys are compared. ``keys`` may name
+    a narrower source of the same keys to count them in."""
+    df = _of_repeated_keys(df, key, df if keys is None else keys, order_by)
     compared = [name for name in fields if name in df.columns]
     rows = df.withColumn("copies", F.lit(1))
     if not unique_order:

@@ -87,7 +87,8 @@ def first_version(spark, folder):
 def revision_counts(spark, folder):
     cases = versions.canonical_cases(src.line_cases(spark, folder, names=True, received=True))
     return versions.revision_counts(
-        cases, src.line_chunk(), class_value=src.CLASS, unique_order=False, levels=src.LINE_LEVELS
+        cases, src.line_chunk(), class_value=src.CLASS, unique_order=False, levels=src.LINE_LEVELS,
+        keys=versions.canonical_cases(src.line_cases(spark, folder)),
     )
 
 
