@@ -363,6 +363,8 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
 
 def _with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Documents that have runs, with their runs in order. A document's runs are short beside its text."""
+    """Documents that have runs, with their runs in order. A document's runs are short beside its text; up to SMALL of
+    them are broadcast, so that texts stay where they are."""
     lists = runs.groupBy(F.col("doc").alias("asked")).agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("runs"))
+    lists = F.broadcast(lists) if runs.count() <= SMALL else lists
     return texts.join(lists, F.col("doc") == F.col("asked")).select("doc", "doc_id", "text", "runs")

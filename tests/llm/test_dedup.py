@@ -195,6 +195,13 @@ def _brute_passages(rows):
     return held
 
 
+def test_runs_that_are_not_broadcast_give_the_same_passages(spark, monkeypatch):
+    docs = corpus.documents(spark)
+    held = sorted(map(str, repeats.repeated_passages(docs).collect()))
+    monkeypatch.setattr(repeats, "SMALL", -1)
+    assert held == sorted(map(str, repeats.repeated_passages(docs).collect()))
+
+
 def test_passages_of_several_documents_are_not_joined(spark):
     """A shares 46 words with B and 46 others with C, overlapping or in a row: nothing is a passage of any two."""
     rows, size = [], repeats.PASSAGE
