@@ -10,6 +10,8 @@ from panelwright.functions.text import case_key, has_text, strip
 from panelwright.operators.versions import ORDER, canonical_cases, latest_version
 
 MISSING = "<missing>"
+TASK_ROWS = 500_000  # rows whose cases one task counts
+SHARES = 64  # parts that a release's rows without a key are counted in
 
 
 def case_quality(raw: DataFrame, class_value: str, date_column: str = "DECISION_DATE", order_by: Sequence[str] = ORDER) -> DataFrame:
@@ -61,37 +63,52 @@ def release_quality(
     since: str = "2022-01-01",
     release: str = "SOURCE_RELEASE",
     key: str = "CASE_NUMBER",
+    rows: int | None = None,
 ) -> DataFrame:
     """Counters of each release on raw keys: rows, missing and invalid fields, repeats, dates.
 
     Counting first by (release, case) keeps the distinct count exact without holding a release's
-    keys anywhere; a case repeated very often is already one row per map task."""
+    keys anywhere. Cases are dealt over as many tasks as there are TASK_ROWS among ``rows`` (counted
+    if not given), so a task's table of cases does not grow with the input; a case repeated very often is
+    one entry of it, and rows without a key, which are no case, are spread."""
     decided = date_of(df, "DECISION_DATE")
     in_class = F.coalesce(case_key(F.col("VISA_CLASS")) == class_value, F.lit(False))
-    no_date = _is_empty("DECISION_DATE")
 
     def absent(name: str) -> Column:
-        return F.count_if(in_class & _is_empty(name)) if name in df.columns else F.lit(0).cast("long")
-
-    per_key = df.groupBy(release, F.col(key).alias("key")).agg(
+        return in_class & _is_empty(name) if name in df.columns else F.lit(False)
+
+    no_key = F.col(key).isNull() | (F.col(key) == "")
+    flagged = df.select(
+        release,
+        F.col(key).alias("key"),
+        F.when(no_key, F.pmod(F.monotonically_increasing_id(), F.lit(SHARES)).cast("int")).alias("share"),
+        in_class.alias("in_class"),
+        _is_empty("DECISION_DATE").alias("no_date"),
+        decided.alias("decided"),
+        absent("EMPLOYER_NAME").alias("no_name"),
+        absent("SOC_CODE").alias("no_code"),
+    )
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-(df.count() if rows is None else rows) // TASK_ROWS))
+    in_class, no_date, decided = F.col("in_class"), F.col("no_date"), F.col("decided")
+    per_key = flagged.repartition(tasks, release, "key", "share").groupBy(release, "key", "share").agg(
         F.count("*").alias("source_rows"),
         F.count_if(in_class).alias("h1b_rows"),
         F.count_if(in_class & (decided >= F.lit(since).cast("date"))).alias("h1b_rows_since_start"),
         F.count_if(no_date).alias("missing_decision_date"),
         F.count_if(~no_date & decided.isNull()).alias("invalid_decision_date"),
         F.count_if(in_class & no_date).alias("h1b_missing_decision_date"),
-        absent("EMPLOYER_NAME").alias("h1b_missing_employer_name"),
-        absent("SOC_CODE").alias("h1b_missing_soc_code"),
+        F.count_if("no_name").alias("h1b_missing_employer_name"),
+        F.count_if("no_code").alias("h1b_missing_soc_code"),
         F.min(decided).alias("first_date"),
         F.max(decided).alias("last_date"),
     )
     missing = F.col("key").isNull() | (F.col("key") == "")
-    summed = [name for name in per_key.columns if name not in (release, "key", "first_date", "last_date")]
-    rows = F.col("source_rows")
+    summed = [name for name in per_key.columns if name not in (release, "key", "share", "first_date", "last_date")]
+    counted = F.col("source_rows")
     return per_key.groupBy(release).agg(
         *[F.sum(name).alias(name) for name in summed],
-        F.coalesce(F.sum(F.when(missing, rows)), F.lit(0)).alias("missing_case_number"),
-        F.coalesce(F.sum(F.when(~missing, rows - 1)), F.lit(0)).alias("duplicate_case_number_rows"),
+        F.coalesce(F.sum(F.when(missing, counted)), F.lit(0)).alias("missing_case_number"),
+        F.coalesce(F.sum(F.when(~missing, counted - 1)), F.lit(0)).alias("duplicate_case_number_rows"),
         F.count_if(~missing).alias("unique_case_numbers"),
         F.min("first_date").alias("decision_date_min"),
         F.max("last_date").alias("decision_date_max"),

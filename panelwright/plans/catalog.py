@@ -118,7 +118,8 @@ def source_profile(spark, folder):
 
 @query
 def release_quality(spark, folder):
-    return profile.release_quality(src.line_cases(spark, folder, names=True), src.CLASS, SINCE)
+    lines = src.line_cases(spark, folder, names=True)
+    return profile.release_quality(lines, src.CLASS, SINCE, rows=src.table(spark, folder, "lineitem").count())
 
 
 @query
@@ -445,7 +446,8 @@ def dirty_source_profile(spark, folder):
 
 @query
 def dirty_release_quality(spark, folder):
-    return profile.release_quality(src.dirty_lines(spark, folder), src.CLASS, SINCE)
+    lines = src.dirty_lines(spark, folder)
+    return profile.release_quality(lines, src.CLASS, SINCE, rows=src.table(spark, folder, "lineitem").count())
 
 
 @query

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from panelwright.operators import links, profile, versions
 
 MAIN = (
@@ -42,6 +44,25 @@ def test_release_quality(spark):
     assert maps["FY2018_Q4"]["h1b_case_status_counts"] == {"Certified": 1, "Denied": 1}
 
 
+def test_release_quality_deals_cases_by_their_number(spark, monkeypatch, capsys):
+    monkeypatch.setattr(profile, "TASK_ROWS", 10)
+    keys = [None, "", *[f"K{i % 150}" for i in range(200)], *["HOT"] * 98]
+    rows = [(key, "2020-01-01" if i % 3 else "", "H-1B", "Ash" if i % 5 else None, "R1" if i % 2 else "R2") for i, key in enumerate(keys * 2)]
+    df = spark.createDataFrame(rows, "CASE_NUMBER string, DECISION_DATE string, VISA_CLASS string, EMPLOYER_NAME string, SOURCE_RELEASE string")
+    quality = profile.release_quality(df, rows=len(rows))
+    quality.explain()
+    assert ", 60), REPARTITION_BY_NUM" in capsys.readouterr().out  # ten rows a task
+    for name in ("R1", "R2"):
+        inside = [r for r in rows if r[4] == name]
+        known = [r[0] for r in inside if r[0]]
+        found = quality.where(F.col("SOURCE_RELEASE") == name).first()
+        assert found["source_rows"] == found["h1b_rows"] == len(inside)
+        assert found["missing_case_number"] == len(inside) - len(known) and found["unique_case_numbers"] == len(set(known))
+        assert found["duplicate_case_number_rows"] == len(known) - len(set(known))
+        assert found["missing_decision_date"] == sum(not r[1] for r in inside)
+        assert found["h1b_missing_employer_name"] == sum(r[3] is None for r in inside) and found["h1b_missing_soc_code"] == 0
+
+
 def test_repeats_across_releases(spark):
     main, _ = tables(spark)
     assert tuple(versions.cross_release_duplicates(main).first()) == (1, 1)
