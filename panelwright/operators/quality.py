@@ -138,12 +138,22 @@ SPLIT_CHECKS = (
 
 
 def split_violations(examples: DataFrame, origins: Sequence[int], features: Sequence[str]) -> DataFrame:
-    """What makes a rolling split at each origin unusable; one aggregation over the examples."""
-    label, target = F.col("target_active"), F.col("target_quarter")
-    finite = F.lit(True)
+    """What makes a rolling split at each origin unusable.
+
+    Examples are counted once by all that the checks ask of them, quarters and label, which leaves as
+    many rows as there are pairs of quarters; every check at every origin reads those."""
+    # Zero times a value that is null, infinite or no number is not zero.
+    zero = F.lit(0.0)
     for name in features:
-        value = F.col(name).cast("double")
-        finite = finite & F.coalesce(~F.isnan(value) & (F.abs(value) != float("inf")), F.lit(False))
+        zero = zero + F.col(name).cast("double") * F.lit(0.0)
+    by = ("origin", "target_quarter", "horizon", "target_active")
+    kinds = examples.select(*by, (zero.isNull() | F.isnan(zero)).alias("unusable")).groupBy(*by).agg(
+        F.count("*").alias("rows"), F.count_if("unusable").alias("unusable")
+    )
+    label, target = F.col("target_active"), F.col("target_quarter")
+
+    def count(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("rows"))), F.lit(0))
 
     def absent(rows: Column) -> Column:
         return F.when(F.count_if(rows) == 0, 1).otherwise(0)
@@ -153,14 +163,14 @@ def split_violations(examples: DataFrame, origins: Sequence[int], features: Sequ
         evaluation = label.isNotNull() & (F.col("origin") == origin)
         one_class = (F.count_if(training & (label == 1)) == 0) | (F.count_if(training & (label == 0)) == 0)
         return [
-            F.count_if(training & (F.col("origin") >= origin)),
+            count(training & (F.col("origin") >= origin)),
             absent(training),
             absent(evaluation),
             F.when(one_class, 1).otherwise(0),
             absent(evaluation & (target == origin + 1)) + absent(evaluation & (target == origin + 2)),
-            F.count_if(label.isNotNull() & ~label.isin(0, 1)),
-            F.count_if(target != F.col("origin") + F.col("horizon")),
-            F.count_if(~finite),
+            count(label.isNotNull() & ~label.isin(0, 1)),
+            count(target != F.col("origin") + F.col("horizon")),
+            F.coalesce(F.sum("unusable"), F.lit(0)),
         ]
 
     reports = [
@@ -168,7 +178,7 @@ def split_violations(examples: DataFrame, origins: Sequence[int], features: Sequ
         for origin in origins
         for check, value in zip(SPLIT_CHECKS, found(origin))
     ]
-    return examples.agg(F.array(*reports).alias("reports")).select(F.inline("reports"))
+    return kinds.agg(F.array(*reports).alias("reports")).select(F.inline("reports"))
 
 
 def enforce_splits(examples: DataFrame, origins: Sequence[int], features: Sequence[str]) -> None:

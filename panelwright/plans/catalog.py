@@ -253,8 +253,9 @@ def _examples(spark, folder):
 
 
 def _dated_examples(spark, folder) -> tuple[DataFrame, int]:
-    """Stored examples, which all parts of a query read, and the panel's last quarter (one row)."""
-    examples = cut_lineage(_examples(spark, folder))
+    """Examples over the stored panel, of which a query computes the columns it reads, and the panel's last
+    quarter (one row)."""
+    examples = _examples(spark, folder)
     return examples, examples.agg(F.coalesce(F.max("origin"), F.lit(0))).first()[0]
 
 
@@ -391,7 +392,7 @@ def split_checks(spark, folder):
 
 def _baseline_predictions(spark, folder):
     examples, last = _dated_examples(spark, folder)
-    training, evaluation = evaluate.rolling_split(examples, last - EVALUATED_BACK)
+    training, evaluation = evaluate.rolling_split(cut_lineage(examples), last - EVALUATED_BACK)
     return evaluate.with_baselines(evaluation, training)
 
 

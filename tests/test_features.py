@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.calendar import label_number, number_label
 from panelwright.operators import evaluate, features, quality
+from panelwright.plans import catalog
 from tests import data
 
 ORIGIN = label_number("FY2017_Q2")
@@ -141,3 +142,28 @@ def test_ranking_metrics_count_ties_by_brute_force(spark):
     assert row["roc_auc"] == pytest.approx(won / (len(hits) * len(misses)))
     precision = sum(hits.count(v) * sum(h >= v for h in hits) / sum(x >= v for x in p) for v in set(hits))
     assert row["average_precision"] == pytest.approx(precision / len(hits))
+
+
+def test_split_checks_count_examples_that_are_not_stored(spark, monkeypatch):
+    stored = []
+    keep = catalog.cut_lineage
+    monkeypatch.setattr(catalog, "cut_lineage", lambda df: stored.append(df.columns) or keep(df))
+    found = {(r["check"], r["split_origin"]): r["violations"] for r in catalog.split_checks(spark, "/root/testdata/sf0.001").collect()}
+    assert stored and not any("history_mean" in columns for columns in stored)
+    assert len(found) == 16 and sum(violations > 0 for violations in found.values()) == 1  # an unknown outcome quarter
+
+
+def test_split_violations_of_odd_examples(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, 2, 1.0, 1.0, 0.5), (1, 3, 2.0, 0.0, -3.0), (2, 3, 1.0, 1.0, nan), (2, 4, 2.0, None, inf), (2, 5, 2.0, 7.0, None),
+        (None, None, 1.0, 0.0, 1.0), (3, 4, 1.0, 0.0, -inf), (2, 3, 1.0, 1.0, 1e308),
+    ]
+    df = spark.createDataFrame(rows, "origin int, target_quarter int, horizon double, target_active double, f double")
+    found = {r["check"]: r["violations"] for r in quality.split_violations(df, [2], ["f", "horizon"]).collect()}
+    assert found == {
+        "training_overlaps_origin": 0, "missing_training_rows": 0, "missing_evaluation_rows": 0, "single_training_class": 1,
+        "missing_outcome_quarter": 1, "invalid_label": 1, "horizon_mismatch": 1, "nonfinite_feature": 4,
+    }
+    none = {r["check"]: r["violations"] for r in quality.split_violations(df.where("false"), [2], ["f"]).collect()}
+    assert none["missing_training_rows"] == 1 and none["missing_outcome_quarter"] == 2 and none["nonfinite_feature"] == 0
