@@ -14,6 +14,7 @@ class CharNet:
             "conv": scale(span * embedding, filters), "conv_bias": np.zeros(filters, np.float32),
             "out": scale(2 * filters, 1)[:, 0], "out_bias": np.zeros(1, np.float32),
         }
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         self.slope, self.offset = 1.0, 0.0
 
     def _forward(self, codes: np.ndarray):
@@ -34,14 +35,32 @@ class CharNet:
     def probability(self, codes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.logits(codes) + self.offset)))
 
-    def fit(self, codes: np.ndarray, labels: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 5) -> None:
+    def vector(self) -> np.ndarray:
+        """All weights and the moments of their gradients in one row."""
+        return np.concatenate([value.ravel() for part in (self.p, self.first, self.second) for value in part.values()])
+
+    def load(self, vector: np.ndarray) -> None:
+        at = 0
+        for part in (self.p, self.first, self.second):
+            for key, value in part.items():
+                part[key] = np.array(vector[at : at + value.size], dtype=np.float32).reshape(value.shape)
+                at += value.size
+
+    def fit(
+        self, codes: np.ndarray, labels: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 5, share: float | None = None, done: int = 0
+    ) -> None:
+        """Goes on after the epochs that are `done`. `share` is that of the positives in all rows, if these are only some of them."""
         random = np.random.default_rng(seed)
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
-        step = 0
-        for _ in range(epochs):
+        if not done:
+            self.first, self.second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        first, second = self.first, self.second
+        share = labels.mean() if share is None else share
+        weight = np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
+        step = done * -(-len(codes) // 128)
+        for epoch in range(done + epochs):
             order = random.permutation(len(codes))
+            if epoch < done:
+                continue
             for i in range(0, len(order), 128):
                 rows = order[i : i + 128]
                 gradient = self._gradient(codes[rows], labels[rows], weight[rows])
@@ -75,21 +94,25 @@ class CharNet:
         }
 
     def calibrate(self, codes: np.ndarray, labels: np.ndarray) -> None:
-        """Platt scaling on rows that were not fitted, by Newton steps that are halved while they do not help."""
-        logits = self.logits(codes).astype(np.float64)
+        """Platt scaling on rows that were not fitted."""
+        self.calibrate_logits(self.logits(codes), labels, np.ones(len(labels)))
+
+    def calibrate_logits(self, logits: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> None:
+        """The same on their logits, each met `counts` times, by Newton steps that are halved while they do not help."""
+        logits, positives = logits.astype(np.float64), (counts * labels).sum()
         scale = max(float(np.abs(logits).max()), 1e-6)
-        target = np.where(labels == 1, (labels.sum() + 1) / (labels.sum() + 2), 1 / ((1 - labels).sum() + 2))
+        target = np.where(labels == 1, (positives + 1) / (positives + 2), 1 / (counts.sum() - positives + 2))
         x = np.stack([logits / scale, np.ones_like(logits)], axis=1)
 
         def loss(beta):
             z = x @ beta
-            return float(np.sum(np.logaddexp(0, z) - target * z)) + 0.5e-3 * float(beta @ beta)
+            return float(np.sum(counts * (np.logaddexp(0, z) - target * z))) + 0.5e-3 * float(beta @ beta)
 
         beta = np.array([1.0, 0.0])
         for _ in range(50):
             p = 1 / (1 + np.exp(-x @ beta))
-            hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-            step = np.linalg.solve(hessian, x.T @ (p - target) + 1e-3 * beta)
+            hessian = (x * (counts * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+            step = np.linalg.solve(hessian, x.T @ (counts * (p - target)) + 1e-3 * beta)
             while loss(beta - step) > loss(beta) and np.abs(step).max() > 1e-9:
                 step /= 2
             beta = beta - step
@@ -98,10 +121,12 @@ class CharNet:
         self.slope, self.offset = float(max(beta[0] / scale, 1e-3)), float(beta[1])
 
 
-def recall_threshold(probability: np.ndarray, labels: np.ndarray, recall: float) -> float:
-    """The highest threshold that still finds the wanted share of the positives."""
-    positive = np.sort(probability[labels == 1])
-    if not len(positive):
+def recall_threshold(probability: np.ndarray, labels: np.ndarray, recall: float, counts: np.ndarray | None = None) -> float:
+    """The highest threshold that still finds the wanted share of the positives, each met `counts` times."""
+    found = labels == 1
+    if not found.any():
         return 1.0
-    missed = int(np.floor((1 - recall) * len(positive)))
-    return float(positive[missed])
+    order = np.argsort(probability[found], kind="stable")
+    upto = np.cumsum((np.ones(len(labels)) if counts is None else counts)[found][order])
+    missed = int(np.floor((1 - recall) * upto[-1]))
+    return float(probability[found][order][np.searchsorted(upto, missed, side="right")])

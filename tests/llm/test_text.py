@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -180,6 +181,45 @@ def test_the_network_learns_findings_and_keeps_recall(spark):
     assert result[5000].n_hex == 0 and result[5000].max_score > 0.5  # no format knows it
 
 
+def test_the_network_fits_and_checks_every_finding(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SHARD", 50)
+    draw, rows = random.Random(12), []
+    for i in range(2_400):  # more of each label than a sample of 1,500 held
+        key = "".join(draw.choice("0123456789abcdef") for _ in range(40))
+        rows.append((i, f"secret={key} and part {draw.randrange(10**9, 10**10)}"))
+    seen = spark.sparkContext.accumulator(0)
+    made, checked = secrets._shard_fit, []
+
+    def counting(*settings):
+        fit = made(*settings)
+
+        def run(table: pa.Table) -> pa.Table:
+            seen.add(table.num_rows)
+            return fit(table)
+
+        return run
+
+    monkeypatch.setattr(secrets, "_shard_fit", counting)
+    calibrate = CharNet.calibrate_logits
+    monkeypatch.setattr(CharNet, "calibrate_logits", lambda self, logits, labels, counts: checked.append(counts.sum()) or calibrate(self, logits, labels, counts))
+    net, threshold = secrets.train(corpus.documents(spark, rows).select("text"))
+    again, same = secrets.train(corpus.documents(spark, rows[::-1]).repartition(7).select("text"))
+    assert checked[0] == checked[1] and checked[0] + seen.value / (2 * secrets.EPOCHS) == 2 * 2_400  # keys and parts
+    assert threshold == same and (net.vector() == again.vector()).all()
+
+
+def test_counted_logits_calibrate_like_single_ones():
+    draw = np.random.default_rng(4)
+    logits, labels = draw.integers(-6, 7, 500) / 2, draw.integers(0, 2, 500)
+    pairs, counts = np.unique(np.stack([logits, labels], axis=1), axis=0, return_counts=True)
+    one, many = CharNet(width=20), CharNet(width=20)
+    one.calibrate_logits(logits, labels, np.ones(500))
+    many.calibrate_logits(pairs[:, 0], pairs[:, 1], counts)
+    assert abs(one.slope - many.slope) < 1e-9 and abs(one.offset - many.offset) < 1e-9
+    for recall in (0.5, 0.98, 1.0):
+        assert recall_threshold(logits, labels, recall) == recall_threshold(pairs[:, 0], pairs[:, 1], recall, counts)
+
+
 def test_gradients_and_thresholds_of_the_network():
     draw = np.random.default_rng(1)
     net = CharNet(width=20, embedding=3, filters=4)
