@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.words import map_rows
 
 STATES = 250_000  # remembered states of the transducer
-PIECES = 75_000  # remembered pieces of text in each of two generations
+PIECES = 250_000  # remembered pieces of text in each of two generations, some 170 bytes each
 NODE_BITS, TOKEN_BITS = 28, 24  # room for nodes of the prefix tree and for tokens
 NODE, TOKEN = (1 << NODE_BITS) - 1, (1 << TOKEN_BITS) - 1
 LOOKAHEAD = 4_096  # bytes after which tokens leave that are settled; far above the longest token

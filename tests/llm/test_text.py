@@ -181,6 +181,15 @@ def test_the_network_learns_findings_and_keeps_recall(spark):
     assert result[5000].n_hex == 0 and result[5000].max_score > 0.5  # no format knows it
 
 
+def test_pieces_met_again_after_very_many_are_remembered():
+    encoder = bpe.Encoder({bytes([i]): i for i in range(256)}, r" ?\S+")
+    encoder.encode("x " + " ".join(f"w{i}" for i in range(240_000)))
+    tokens, again = encoder._tokens, []
+    encoder._tokens = lambda text: again.append(text) or tokens(text)
+    assert encoder.encode("x w7 w8 w9") == b"".join(bytes([c, 0, 0, 0]) for c in b"x w7 w8 w9")
+    assert again == ["x"]  # the first piece is never remembered
+
+
 def test_the_network_fits_and_checks_every_finding(spark, monkeypatch):
     monkeypatch.setattr(secrets, "SHARD", 50)
     draw, rows = random.Random(12), []
