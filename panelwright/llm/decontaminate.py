@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.words import encoded, map_rows
+from panelwright.llm.words import encoded, map_rows, releasing
 from panelwright.session import cut_lineage
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20  # text of benchmark items that is broadcast at a time
+PART = 256  # documents that are Python objects at a time
 
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -177,9 +178,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, held=held):
             for batch in batches:
                 tables = _compiled(held)
-                texts = map(words, encoded(batch["text"]))
-                free = [not any(True for matcher in tables for _ in matcher.occurrences(text)) for text in texts]
-                yield batch.filter(pa.array(free, pa.bool_()))
+                for at in range(0, batch.num_rows, PART):
+                    part = batch.slice(at, PART)
+                    texts = map(words, encoded(part["text"]))
+                    free = [not any(True for matcher in tables for _ in matcher.occurrences(text)) for text in texts]
+                    yield part.filter(pa.array(free, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(releasing(run), docs.schema)
     return docs

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.labelled import held_out, training_rows
-from panelwright.llm.words import encoded, map_rows
+from panelwright.llm.words import encoded, map_rows, releasing
 
 MODULUS, HELD = 3, 1
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -189,4 +189,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch["text"], model.value) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -1,9 +1,11 @@
 """Spans, windows, tokens and language-model scores against brute force."""
 
+import gc
 import hashlib
 import math
 import random
 import re
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -14,6 +16,7 @@ import tiktoken
 
 from panelwright.llm import bpe, decontaminate, lm_score, pii, secrets
 from panelwright.llm.nets import CharNet, recall_threshold
+from panelwright.llm.words import releasing
 from tests.llm import corpus
 
 SMALL = [(i, t) for i, t in corpus.texts() if t is None or len(t) < 30_000]
@@ -458,3 +461,33 @@ def test_stretches_cover_a_candidate():
     places = [text.index("abc") + o for o in (0, 24, 48, 52)]
     assert [bytes(row.astype(np.uint8)).decode() for row in middle] == [text[p : p + secrets.ROOM] for p in places]
     assert len(next(secrets.windows("a1b2c3d4", 0, 8))) == 1
+
+
+def test_a_task_gives_memory_back_at_its_end():
+    class Held(list):
+        pass
+
+    left = []
+
+    def run(batches):
+        for batch in batches:
+            ring = Held()
+            ring.append(ring)
+            left.append(weakref.ref(ring))
+            yield batch
+
+    gc.disable()
+    try:
+        batches = releasing(run)(iter([1, 2, 3]))
+        assert next(batches) == 1 and left[0]() is not None
+        assert list(batches) == [2, 3] and all(ref() is None for ref in left)
+    finally:
+        gc.enable()
+
+
+def test_clean_rows_come_in_parts(spark):
+    """More documents than are Python objects at a time, in one batch."""
+    count = 3 * decontaminate.PART + 5
+    rows = [(i, corpus.BENCHMARK[0][1] if i % 7 == 3 else f"document {i}") for i in range(count)]
+    found = decontaminate.clean(corpus.documents(spark, rows).coalesce(1), corpus.benchmark(spark)).collect()
+    assert sorted(r.doc_id for r in found) == [i for i in range(count) if i % 7 != 3]
