@@ -1,7 +1,7 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
-Every partition turns its rows into a run: digests in order, each with the identifier that stays and the
-rows it stands for. Runs then move in binomial rounds: in a round, partitions whose numbers differ in
+Every partition turns its rows into runs (one for each 200,000 rows): digests in order, each with the identifier
+that stays and the rows it stands for. Runs then move in binomial rounds: in a round, partitions whose numbers differ in
 one digit exchange the parts of their runs whose digests carry the other's digit, and each merges what
 it receives. After the last round every digest lies in one partition. A text with a third of all rows is
 one entry of each run at every level, so no partition meets its copies.
@@ -20,13 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.words import struct_of
+from panelwright.llm.words import releasing, struct_of
 from panelwright.session import cut_lineage
 
 FAN_IN = 8  # runs merged at a time
 RUN = "place int, digest binary, n_bytes long, second long, keep_id long, ties long, size long"
 KEYS = ["digest", "n_bytes", "second"]
-RUN_ROWS = 200_000  # rows merged at a time while a run is built
+RUN_ROWS = 200_000  # rows of a run as it is built, and rows merged at a time later
 
 
 def _merged(table: pa.Table) -> pa.Table:
@@ -52,12 +52,31 @@ def _merged(table: pa.Table) -> pa.Table:
     })
 
 
+def _as_table(batch: pa.RecordBatch) -> pa.Table:
+    """By names alone: Spark marks columns that are never null, Arrow joins tables of one schema only, and merged ones have no marks."""
+    return pa.Table.from_arrays(batch.columns, names=batch.schema.names)
+
+
+def _build_runs(batches):
+    """One task's rows as runs of RUN_ROWS at most and a batch, so that its memory does not follow the partition's size."""
+    held: list[pa.Table] = []
+    rows = 0
+    for batch in batches:
+        held.append(_as_table(batch))
+        rows += batch.num_rows
+        if rows >= RUN_ROWS:
+            yield from _by_place(held).to_batches(max_chunksize=10_000)
+            held, rows = [], 0
+    if rows:
+        yield from _by_place(held).to_batches(max_chunksize=10_000)
+
+
 def _merge_runs(batches):
     """One task's runs, merged by partition number and digest."""
     held: list[pa.Table] = []
     rows = 0
     for batch in batches:
-        held.append(pa.Table.from_batches([batch]))
+        held.append(_as_table(batch))
         rows += batch.num_rows
         if len(held) > 1 and rows > 2 * held[0].num_rows + RUN_ROWS:
             held = [_by_place(held)]
@@ -92,12 +111,12 @@ def merge_tree(rows: DataFrame) -> DataFrame:
     runs = rows.select(
         F.pmod(F.spark_partition_id(), places).alias("place"), *KEYS,
         F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("ties"), F.lit(1).cast("long").alias("size"),
-    ).mapInArrow(_merge_runs, struct_of(RUN))
+    ).mapInArrow(releasing(_build_runs), struct_of(RUN))
     for round_number in range(rounds):
         unit = FAN_IN**round_number
         digit = lambda value, unit=unit: F.floor(value / unit) % FAN_IN
         moved = (F.col("place") + (digit(target) - digit(F.col("place"))) * unit).cast("int")
-        runs = runs.withColumn("place", moved).repartition("place").mapInArrow(_merge_runs, struct_of(RUN))
+        runs = runs.withColumn("place", moved).repartition("place").mapInArrow(releasing(_merge_runs), struct_of(RUN))
     return cut_lineage(runs.drop("place"))
 
 

@@ -8,6 +8,8 @@ from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from panelwright.llm import exact_dedup, near_dup, repeats
 from panelwright.llm.words import hashed_words, sequences
@@ -56,6 +58,32 @@ def test_digests_that_agree_by_chance_stay_apart(spark):
     assert merged == {(3, 7): (4, 2, 1), (3, 8): (2, 1, 1), (4, 7): (3, 1, 1)}
 
 
+def test_a_task_with_many_rows_merges_them(spark):
+    """More rows in one task than a run is built of."""
+    docs = spark.range(0, 450_000, 1, 1).selectExpr("id AS doc_id", "concat('t', id % 300000) AS text")
+    found = exact_dedup.exact_groups(docs).groupBy("group_size", F.expr("doc_id < 150000"), F.expr("keep_id - doc_id"), "kept", "ties").count().collect()
+    assert sorted(map(tuple, found)) == [(1, False, 0, True, 1, 150_000), (2, False, 0, True, 1, 150_000), (2, True, 300_000, False, 1, 150_000)]
+
+
+@pytest.mark.parametrize("run", ["_build_runs", "_merge_runs"])
+def test_runs_are_merged_whatever_their_columns_say_of_nulls(run, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "RUN_ROWS", 40)
+    marked = {"ties", "size"}
+    kinds = {"place": pa.int32(), "digest": pa.binary(), "n_bytes": pa.int64(), "second": pa.int64(), "keep_id": pa.int64(), "ties": pa.int64(), "size": pa.int64()}
+    schema = pa.schema([pa.field(name, kind, name not in marked) for name, kind in kinds.items()])
+    rows = [{"place": i % 3, "digest": b"%d" % (i % 30), "n_bytes": i % 2, "second": 7, "keep_id": None if i % 7 == 0 else i, "ties": 1, "size": 1} for i in range(1000)]
+    made = getattr(exact_dedup, run)(pa.RecordBatch.from_pylist(rows[at : at + 10], schema=schema) for at in range(0, 1000, 10))
+    got = defaultdict(list)
+    for r in pa.Table.from_batches(list(made)).to_pylist():
+        got[r["place"], r["digest"]].append((r["keep_id"], r["size"]))
+    wanted = defaultdict(list)
+    for r in rows:
+        wanted[r["place"], r["digest"]].append((r["keep_id"], 1))
+    largest_and_rows = lambda found: {k: (max(i for i, _ in v if i is not None), sum(n for _, n in v)) for k, v in found.items()}
+    assert largest_and_rows(got) == largest_and_rows(wanted)
+    assert all(len(v) == 1 for v in got.values()) or run == "_build_runs"
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rows = corpus.texts()
     found = near_dup.near_duplicates(corpus.documents(spark)).collect()
