@@ -65,6 +65,13 @@ def test_a_task_with_many_rows_merges_them(spark):
     assert sorted(map(tuple, found)) == [(1, False, 0, True, 1, 150_000), (2, False, 0, True, 1, 150_000), (2, True, 300_000, False, 1, 150_000)]
 
 
+def test_one_row_of_each_group_stays_when_a_task_has_many_rows(spark):
+    docs = spark.range(0, 450_000, 1, 1).selectExpr("id AS doc_id", "concat('t', id % 300000) AS text", "id % 3 AS other")
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert kept.agg(F.count("*"), F.countDistinct("text"), F.min("doc_id"), F.sum("doc_id")).first() == (300_000, 300_000, 150_000, sum(range(150_000, 450_000)))
+
+
 @pytest.mark.parametrize("run", ["_build_runs", "_merge_runs"])
 def test_runs_are_merged_whatever_their_columns_say_of_nulls(run, monkeypatch):
     monkeypatch.setattr(exact_dedup, "RUN_ROWS", 40)
